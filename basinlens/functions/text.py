@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # fixed values: accented Latin letters and the plain letters they decompose to
 ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
 UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-# fixed values: character references found in report pages
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 
 
 def _col(c) -> Column:
@@ -71,10 +71,30 @@ def query_param(url, key: str) -> Column:
 
 
 def unescape(text) -> Column:
-    out = _col(text)
-    for entity, plain in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(plain))
-    return out
+    """Decode named and numeric character references; unknown names stay as written.
+
+    The text is cut before each reference, so decoded text is never decoded again.
+    """
+    t = _col(text)
+    names = F.create_map(*[F.lit(x) for name, code in name2codepoint.items() for x in (name, chr(code))])
+
+    def character(number: Column) -> Column:
+        return F.decode(F.unhex(F.lpad(F.conv(number, 10, 16), 8, "0")), "UTF-32")
+
+    def piece(p: Column) -> Column:
+        ref = F.regexp_extract(p, "^&(#?[0-9A-Za-z]+);", 1)
+        decimal = F.regexp_extract(ref, "^#([0-9]{1,7})$", 1)
+        hexadecimal = F.regexp_extract(ref, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
+        plain = (
+            F.when(decimal != "", character(decimal))
+            .when(hexadecimal != "", character(F.conv(hexadecimal, 16, 10)))
+            .otherwise(F.try_element_at(names, ref))
+        )
+        rest = F.regexp_replace(p, "^&#?[0-9A-Za-z]+;", "")
+        return F.when((ref == "") | plain.isNull(), p).otherwise(F.concat(plain, rest))
+
+    decoded = F.array_join(F.transform(F.split(t, "(?=&#?[0-9A-Za-z]+;)"), piece), "")
+    return F.when(t.contains("&"), decoded).otherwise(t)
 
 
 def collapse_spaces(text) -> Column:

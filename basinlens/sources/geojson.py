@@ -78,10 +78,14 @@ def write_features(df: DataFrame, path: str, properties: Sequence[str]) -> None:
     point_features(df, properties).select("feature").write.mode("overwrite").text(path)
 
 
-def feature_collection(df: DataFrame, key: str, properties: Sequence[str]) -> DataFrame:
-    """One FeatureCollection text per ``key``: for keys whose features fit in one document, such as
-    one watershed picked beforehand.  Large exports use ``write_features``."""
-    lines = point_features(df, properties)
-    body = F.array_join(F.array_sort(F.collect_list("feature")), ",")
+def feature_collections(df: DataFrame, key: str, properties: Sequence[str], id_column: str, page_size: int = 1000):
+    """FeatureCollection texts per ``key``, paged by id: a page holds at most ``page_size`` features.
+
+    Ids must be whole numbers and unique, which bounds every page however many features a key has.
+    """
+    page = F.floor(F.col(id_column) / page_size)
+    lines = point_features(df, properties).withColumn("page", page)
+    ordered = F.array_sort(F.collect_list(F.struct(id_column, "feature")))
+    body = F.array_join(F.transform(ordered, lambda x: x["feature"]), ",")
     text = F.concat(F.lit('{"type":"FeatureCollection","features":['), body, F.lit("]}"))
-    return lines.groupBy(key).agg(text.alias("collection"))
+    return lines.groupBy(key, "page").agg(F.count(F.lit(1)).alias("n_features"), text.alias("collection"))
