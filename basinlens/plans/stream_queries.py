@@ -1 +1,97 @@
-"""Queries."""
+"""Streams over the test tables, run until the present input is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from basinlens.functions.geo import hash_from_halves
+from basinlens.plans.catalogue import query
+from basinlens.plans.record_queries import HASHES, NOW, SCORED
+from basinlens.plans.tables import Tables
+from basinlens.session import scratch_path
+from basinlens.streaming import ingest, live_counts, photo_state
+
+
+def table_stream(t: Tables, name: str) -> DataFrame:
+    """A base table's file as a stream (a glob, since file streams watch folders)."""
+    schema = t.base(name).schema
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}*.parquet")
+
+
+@query(
+    "stream_ingest",
+    f"with {SCORED} select record_id, mws_id, p_gps+p_inside+p_exif+p_dup+p_time geo_score from sc",
+)
+def stream_ingest(t: Tables) -> DataFrame:
+    """Orders arrive as records; every batch is scored against all earlier photos."""
+    out, checkpoint = scratch_path(t.spark, "ingest"), scratch_path(t.spark, "ingest-state")
+    customers = t.base("customer")
+    arriving = table_stream(t, "orders").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    k = F.col("record_id")
+    text = t.record_expressions()
+    records = arriving.selectExpr(*text).withColumns({"is_synthetic": F.lit(False), "photo_source": F.lit(None).cast("string")})
+
+    def photos_of(batch: DataFrame) -> DataFrame:
+        first = batch.select(
+            "record_id",
+            F.when(k % 29 != 0, F.md5(F.floor(k / 3).cast("string").cast("binary"))).alias("base"),
+            F.when(k % 3 == 0, 0).when(k % 3 == 1, 7).otherwise(127).alias("flip"),
+        )
+        second = batch.where("record_id % 4 = 0").select(
+            "record_id",
+            F.md5(F.concat(F.lit("p"), F.floor(k / 8).cast("string")).cast("binary")).alias("base"),
+            F.when(k % 8 == 0, 0).otherwise(63).alias("flip"),
+        )
+        return photo_hashes(first.unionByName(second))
+
+    body = ingest.ingest_batch(t.spark, t.mws, t.edges, photos_of, out, F.lit(NOW).cast("timestamp_ntz"))
+    ingest.start_ingest(records, body, checkpoint).awaitTermination()
+    return t.spark.read.parquet(f"{out}/scored").select("record_id", "mws_id", "geo_score")
+
+
+def photo_hashes(hex_rows: DataFrame) -> DataFrame:
+    high = F.conv(F.substring("base", 1, 8), 16, 10).cast("bigint").bitwiseXOR(F.col("flip").cast("bigint"))
+    low = F.conv(F.substring("base", 9, 8), 16, 10).cast("bigint")
+    return hex_rows.select("record_id", hash_from_halves(high, low).alias("phash"))
+
+
+_HASHES1 = HASHES.replace("where base is not null)", "where base is not null and slot=1)")
+
+
+@query(
+    "stream_duplicates",
+    f"with {_HASHES1} select record_id, cast(min_distance as int) min_distance from dup",
+)
+def stream_duplicates(t: Tables) -> DataFrame:
+    """Keyed state finds each photo's near-duplicates among all earlier ones."""
+    out, checkpoint = scratch_path(t.spark, "dups"), scratch_path(t.spark, "dups-state")
+    k = F.col("o_orderkey")
+    hexes = table_stream(t, "orders").where(k % 29 != 0).select(
+        k.alias("record_id"),
+        F.md5(F.floor(k / 3).cast("string").cast("binary")).alias("base"),
+        F.when(k % 3 == 0, 0).when(k % 3 == 1, 7).otherwise(127).alias("flip"),
+    )
+    spark = t.spark
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", photo_state.ROCKSDB)
+    try:
+        found = photo_state.stream_duplicates(photo_hashes(hexes), blocks=7)
+        q = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+        q.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    return photo_state.least_distances(spark.read.schema(photo_state.OUTPUT).parquet(out))
+
+
+@query(
+    "stream_backlog",
+    "select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) n from events group by 1,2",
+)
+def stream_backlog(t: Tables) -> DataFrame:
+    """Daily counts per status kept current by a watermarked stream."""
+    out, checkpoint = scratch_path(t.spark, "backlog"), scratch_path(t.spark, "backlog-state")
+    counts = live_counts.windowed_counts(table_stream(t, "events"), ["event_type"])
+    live_counts.keep_latest(counts, out, checkpoint, ["event_type"]).awaitTermination()
+    current = live_counts.current_counts(t.spark.read.parquet(out), ["event_type"])
+    return current.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")

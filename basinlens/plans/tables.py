@@ -161,6 +161,17 @@ class Tables:
             raise AttributeError(name)
         return self.spark.sql(self._text(key))
 
+    def record_expressions(self) -> list[str]:
+        """Select list of ``a_records``, for inputs that are already joined (such as streams)."""
+        body = ADAPTERS["a_records"].split("from {orders}")[0].strip()[len("select ") :]
+        parts, depth, start = [], 0, 0
+        for i, ch in enumerate(body):
+            depth += (ch == "(") - (ch == ")")
+            if ch == "," and depth == 0:
+                parts.append(body[start:i].strip())
+                start = i + 1
+        return [*parts, body[start:].strip()]
+
     def photos(self) -> DataFrame:
         """record_id, phash (bigint); one row per photo, null without a hash."""
         high = F.conv(F.substring("base", 1, 8), 16, 10).cast("bigint").bitwiseXOR(F.col("flip").cast("bigint"))
