@@ -33,6 +33,28 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_scalars", packed.scalar()).select(*df.columns, "_scalars.*")
 
 
+BROADCAST_LIMIT = 1_000_000  # rows (or array items) a broadcast side may hold
+
+
+def sized_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: Sequence[str],
+    how: str = "inner",
+    weight: Column | None = None,
+    limit: int = BROADCAST_LIMIT,
+) -> DataFrame:
+    """Join a large ``left`` with a ``right`` made by explode or grouping.
+
+    Size estimates do not see what an explode adds, so the planner might broadcast such a
+    side at any size.  Here its rows (or ``weight``, such as the items of an array) are
+    counted first: up to ``limit`` it is broadcast and ``left`` is not shuffled, beyond
+    it both sides are sorted and merged, where AQE splits skewed partitions.
+    """
+    size = right.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
+    return left.join(right.hint("broadcast" if size <= limit else "merge"), list(on), how)
+
+
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:
     """Dense 1-based position in a total order, without a single-partition window.
 
@@ -89,18 +111,28 @@ def forward_fill(
 
 
 def split_hot_join(
-    left: DataFrame, right: DataFrame, key: str, how: str = "left", hot_share: float = 0.001
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    spread: str,
+    counts: DataFrame | None = None,
+    hot_share: float = 0.001,
+    pieces: int = 64,
 ) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``key``), with hot keys of ``left`` broadcast.
+    """Inner join of ``left`` with ``right`` (unique on ``key``), hot keys of ``left`` cut into pieces.
 
-    Keys holding more than ``hot_share`` of the rows number at most ``1 / hot_share``
-    by counting, which bounds the broadcast; all other keys are shuffled.
+    Keys holding more than ``hot_share`` of the rows number fewer than ``1 / hot_share``,
+    which bounds the broadcast list.  Their rows are spread over ``pieces`` by the hash of
+    ``spread`` and the matching right row is repeated once per piece; other keys are
+    joined as they are.  ``counts`` (key, n) saves counting the left side.
     """
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    hot = attach_scalars(counts, total).where(F.col("_n") > F.col("_total") * hot_share).select(key)
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    hot_right = right.join(F.broadcast(hot), key, "left_semi")
-    hot_rows = marked.where("_hot").drop("_hot").join(F.broadcast(hot_right), key, how)
-    other = marked.where("_hot is null").drop("_hot").join(right, key, how)
-    return hot_rows.unionByName(other)
+    if counts is None:
+        counts = left.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("_total"))
+    hot = attach_scalars(counts.select(key, "n"), total).where(F.col("n") > F.col("_total") * hot_share)
+    hot = F.broadcast(hot.select(key, F.lit(True).alias("_hot")))
+    piece = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(pieces))).otherwise(F.lit(0)).cast("int")
+    cut = left.join(hot, key, "left").select(*left.columns, piece.alias("_piece"))
+    all_pieces = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(hot, key, "left").select(*right.columns, F.explode(all_pieces).alias("_piece"))
+    return cut.join(copied, [key, "_piece"]).drop("_piece")

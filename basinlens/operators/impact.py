@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basinlens import constants as C
-from basinlens.operators.common import attach_scalars, global_row_number
+from basinlens.operators.common import attach_scalars, global_row_number, sized_join
 
 
 def control_mean(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -58,17 +58,25 @@ def number_units(controls: DataFrame) -> DataFrame:
     return global_row_number(controls.select("unit_id").distinct(), [F.asc("unit_id")], "k", start=0)
 
 
-def bootstrap_weights(units: DataFrame, draws: int, seed: int) -> DataFrame:
-    """(b, k, w): how often unit ``k`` is drawn in resample ``b`` of n out of n.
+def bootstrap_draws(units: DataFrame, draws: int, seed: int, per_task: int = 100) -> DataFrame:
+    """(b, k): the units of every resample, n draws of n with replacement.
 
     Draw ``i`` of resample ``b`` is the first 32 bits of md5("seed-b-i") modulo n, so every
-    engine and every rerun draws the same units.  Draws are summed on the map side.
+    engine and every rerun draws the same units.  Resamples are dealt to tasks in groups
+    of ``per_task`` before they are drawn, so few units still keep a cluster busy, and
+    one resample's draws lie together for the map-side aggregation that follows.
     """
+    spark = units.sparkSession
     n = units.agg(F.count(F.lit(1)).alias("_units"))
-    slots = attach_scalars(units.select("k"), n).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    groups = F.sequence(F.lit(0), F.lit((draws - 1) // per_task))
+    dealt = attach_scalars(units.select("k"), n).withColumn("_group", F.explode(groups))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_group")
+    first = F.col("_group") * per_task
+    last = F.least(first + (per_task - 1), F.lit(draws - 1))
+    slots = dealt.withColumn("b", F.explode(F.sequence(first, last)))
     text = F.concat(F.lit(f"{seed}-"), F.col("b").cast("string"), F.lit("-"), F.col("k").cast("string"))
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return slots.select("b", (number % F.col("_units")).alias("k")).groupBy("b", "k").agg(F.count(F.lit(1)).alias("w"))
+    return slots.select("b", (number % F.col("_units")).alias("k"))
 
 
 def bootstrap_effects(
@@ -79,15 +87,17 @@ def bootstrap_effects(
     seed: int = 42,
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """(by, b, effect) of every resample with years on both sides."""
+    """(by, b, effect) of every resample with years on both sides.
+
+    Years the treated series lacks are dropped first; a mean over a resample is the mean
+    over its draws, so draws are joined and averaged without collapsing them.
+    """
     units = number_units(controls)
-    weights = bootstrap_weights(units, draws, seed)
-    drawn = weights.join(units, "k").select("b", "w", "unit_id")
-    weighted = controls.where("value is not null").join(drawn, "unit_id")
-    means = weighted.groupBy("b", *by, "year").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("control"))
     own = treated.select(*by, "year", F.col("value").alias("treated")).where("treated is not null")
-    gaps = means.join(own, [*by, "year"]).withColumn("gap", F.col("treated") - F.col("control"))
-    sides = gaps.groupBy("b", *by).agg(*_effect_columns(start_year, years=False))
+    usable = controls.where("value is not null").join(own, [*by, "year"]).join(units, "unit_id")
+    drawn = sized_join(bootstrap_draws(units, draws, seed), usable.select("k", *by, "year", "value", "treated"), ["k"])
+    means = drawn.groupBy("b", *by, "year").agg((F.first("treated") - F.avg("value")).alias("gap"))
+    sides = means.groupBy("b", *by).agg(*_effect_columns(start_year, years=False))
     return sides.select(*by, "b", (F.col("_post") - F.col("_pre")).alias("effect")).where("effect is not null")
 
 

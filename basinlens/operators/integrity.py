@@ -28,18 +28,26 @@ def _flag(rule: str, passed: Column, points: Column, detail: Column) -> Column:
     )
 
 
-def gps_accuracy_flag(accuracy="gps_accuracy_m") -> Column:
+# Each rule has a case (a short code, the costly part) and a flag made from the case.  A plan
+# that needs points, pass mark and text evaluates the case once, as a column of its own.
+
+
+def gps_case(accuracy="gps_accuracy_m") -> Column:
     a = _col(accuracy)
-    text = a.cast("string")
-    good, fair = a <= C.GPS_GOOD_M, a <= C.GPS_OK_M
-    points = F.when(good, _PTS["gps_accuracy"]).when(fair, C.GPS_PARTIAL_POINTS).otherwise(0)
+    return F.when(a.isNull(), "missing").when(a <= C.GPS_GOOD_M, "good").when(a <= C.GPS_OK_M, "fair").otherwise("poor")
+
+
+def gps_accuracy_flag(accuracy="gps_accuracy_m", case=None) -> Column:
+    case = gps_case(accuracy) if case is None else _col(case)
+    text = _col(accuracy).cast("string")
+    points = F.when(case == "good", _PTS["gps_accuracy"]).when(case == "fair", C.GPS_PARTIAL_POINTS).otherwise(0)
     detail = (
-        F.when(a.isNull(), F.lit(C.DETAIL["gps_missing"]))
-        .when(good, F.concat(text, F.lit(f"m <= {C.GPS_GOOD_M}m")))
-        .when(fair, F.concat(text, F.lit(f"m within {C.GPS_GOOD_M}-{C.GPS_OK_M}m band (partial credit)")))
+        F.when(case == "missing", F.lit(C.DETAIL["gps_missing"]))
+        .when(case == "good", F.concat(text, F.lit(f"m <= {C.GPS_GOOD_M}m")))
+        .when(case == "fair", F.concat(text, F.lit(f"m within {C.GPS_GOOD_M}-{C.GPS_OK_M}m band (partial credit)")))
         .otherwise(F.concat(text, F.lit(f"m exceeds {C.GPS_OK_M}m threshold")))
     )
-    return _flag("gps_accuracy", F.coalesce(good, F.lit(False)), points, detail)
+    return _flag("gps_accuracy", case == "good", points, detail)
 
 
 def inside_boundary_flag(inside="inside") -> Column:
@@ -48,24 +56,21 @@ def inside_boundary_flag(inside="inside") -> Column:
     return _flag("inside_boundary", i, F.when(i, _PTS["inside_boundary"]).otherwise(0), detail)
 
 
-def exif_consistency_flag(
+def exif_case(
     lat="lat", lon="lon", captured_date="captured_date", exif_lat="exif_lat", exif_lon="exif_lon", exif_ts="exif_ts"
 ) -> Column:
-    """Both tags: full for two matches, partial for one; one tag alone: partial whatever it says.
-
-    ``captured_date`` is the date as written in the record's own offset.
-    """
+    """``captured_date`` is the date as written in the record's own offset."""
     elat, elon, ets = _col(exif_lat), _col(exif_lon), _col(exif_ts)
     has_gps, has_time = elat.isNotNull() & elon.isNotNull(), ets.isNotNull()
-    gps_ok = F.coalesce(haversine_m(lat, lon, elat, elon) <= C.EXIF_TOLERANCE_M, F.lit(False))
-    time_ok = F.coalesce(F.to_date(ets) == _col(captured_date), F.lit(False))
-    case = (
-        F.when(~has_gps & ~has_time, "exif_none")
-        .when(has_gps != has_time, "exif_partial")
-        .when(gps_ok & time_ok, "exif_both")
-        .when(gps_ok | time_ok, "exif_one_matches")
-        .otherwise("exif_neither")
-    )
+    gps_ok = F.coalesce(haversine_m(lat, lon, elat, elon) <= C.EXIF_TOLERANCE_M, F.lit(False)).cast("int")
+    time_ok = F.coalesce(F.to_date(ets) == _col(captured_date), F.lit(False)).cast("int")
+    outcome = F.element_at(F.array(*[F.lit(x) for x in ("exif_neither", "exif_one_matches", "exif_both")]), gps_ok + time_ok + 1)
+    return F.when(has_gps & has_time, outcome).when(has_gps | has_time, "exif_partial").otherwise("exif_none")
+
+
+def exif_consistency_flag(case=None) -> Column:
+    """Both tags: full for two matches, partial for one; one tag alone: partial whatever it says."""
+    case = exif_case() if case is None else _col(case)
     points = (
         F.when(case == "exif_both", _PTS["exif_consistency"])
         .when(case.isin("exif_partial", "exif_one_matches"), C.EXIF_PARTIAL_POINTS)
@@ -91,23 +96,33 @@ def duplicate_photo_flag(min_distance="min_distance", has_photo=None) -> Column:
     return _flag("duplicate_photo", ~near, F.when(near, 0).otherwise(_PTS["duplicate_photo"]), detail)
 
 
-def timestamp_sane_flag(
+def time_case(
     now, captured_at="captured_at", captured_date="captured_date", window_start="window_start", window_end="window_end"
 ) -> Column:
     """``now`` is given by the caller, so a rerun scores the same."""
-    ts, day, lo, hi = (_col(c) for c in (captured_at, captured_date, window_start, window_end))
-    early, late = day < lo, day > hi
-    when = F.concat(F.lit("captured_at "), day.cast("string"))
-    ok = ts.isNotNull() & ~(ts > now) & ~F.coalesce(early, F.lit(False)) & ~F.coalesce(late, F.lit(False))
+    ts, day = _col(captured_at), _col(captured_date)
+    return (
+        F.when(ts.isNull(), "missing")
+        .when(ts > now, "future")
+        .when(day < _col(window_start), "early")
+        .when(day > _col(window_end), "late")
+        .otherwise("ok")
+    )
+
+
+def timestamp_sane_flag(
+    now=None, captured_date="captured_date", window_start="window_start", window_end="window_end", case=None
+) -> Column:
+    case = time_case(now) if case is None else _col(case)
+    when = F.concat(F.lit("captured_at "), _col(captured_date).cast("string"))
     detail = (
-        F.when(ts.isNull(), F.lit(C.DETAIL["time_missing"]))
-        .when(ts > now, F.lit(C.DETAIL["time_future"]))
-        .when(early, F.concat(when, F.lit(" is before project window start "), lo.cast("string")))
-        .when(late, F.concat(when, F.lit(" is after project window end "), hi.cast("string")))
-        .otherwise(F.lit(C.DETAIL["time_ok"]))
+        F.when(case == "ok", F.lit(C.DETAIL["time_ok"]))
+        .when(case == "missing", F.lit(C.DETAIL["time_missing"]))
+        .when(case == "future", F.lit(C.DETAIL["time_future"]))
+        .when(case == "early", F.concat(when, F.lit(" is before project window start "), _col(window_start).cast("string")))
+        .otherwise(F.concat(when, F.lit(" is after project window end "), _col(window_end).cast("string")))
     )
-    ok = F.coalesce(ok, F.lit(False))
-    return _flag("timestamp_sane", ok, F.when(ok, _PTS["timestamp_sane"]).otherwise(0), detail)
+    return _flag("timestamp_sane", case == "ok", F.when(case == "ok", _PTS["timestamp_sane"]).otherwise(0), detail)
 
 
 def geo_score(flags="geo_flags") -> Column:
@@ -137,14 +152,15 @@ def score_records(
     # a record without a readable hash still "has a photo" when any hash text was given
     joined = located.join(windows, "mws_id", "left").join(near, "record_id", "left")
     has_photo = F.col("has_photo") if "has_photo" in records.columns else F.lit(True)
+    cased = joined.withColumns({"_gps": gps_case(), "_exif": exif_case(), "_time": time_case(now)})
     flags = F.array(
-        gps_accuracy_flag(),
+        gps_accuracy_flag(case="_gps"),
         inside_boundary_flag(),
-        exif_consistency_flag(),
+        exif_consistency_flag(case="_exif"),
         duplicate_photo_flag(has_photo=has_photo),
-        timestamp_sane_flag(now),
+        timestamp_sane_flag(case="_time"),
     )
-    return joined.select(*records.columns, flags.alias("geo_flags")).withColumn("geo_score", geo_score())
+    return cased.select(*records.columns, flags.alias("geo_flags")).withColumn("geo_score", geo_score())
 
 
 def ingest(records: DataFrame, watersheds: DataFrame, edges: DataFrame, photos: DataFrame, now, **options):

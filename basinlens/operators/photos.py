@@ -21,15 +21,19 @@ from pyspark.sql import functions as F
 from basinlens.constants import DUPLICATE_MAX_HAMMING
 from basinlens.functions.geo import hamming
 from basinlens.operators.common import split_hot_join
+from basinlens.session import cut_lineage
 
 
-def choose_blocks(n_hashes: int, k: int = DUPLICATE_MAX_HAMMING) -> int:
-    """Block count with the least expected work per hash (keys listed + chance meetings)."""
+def choose_blocks(n_hashes: int, k: int = DUPLICATE_MAX_HAMMING, row_cost: float = 30.0) -> int:
+    """Block count with the least expected work per hash.
+
+    Listing a key (shuffle and sort of a row) costs about ``row_cost`` chance meetings.
+    """
 
     def work(m: int) -> float:
         keys = comb(m, k)
         key_bits = 64 * (m - k) / m
-        return keys * (1 + n_hashes / 2.0**key_bits)
+        return keys * (row_cost + n_hashes / 2.0**key_bits)
 
     return min(range(k + 1, k + 7), key=work)
 
@@ -38,48 +42,64 @@ def block_masks(blocks: int, k: int = DUPLICATE_MAX_HAMMING) -> list[int]:
     """Signed 64-bit masks, one per choice of ``blocks - k`` blocks."""
     bounds = [round(64 * i / blocks) for i in range(blocks + 1)]
     block = [((1 << hi) - (1 << lo)) for lo, hi in zip(bounds, bounds[1:])]
-    masks = [sum(chosen) for chosen in combinations(block, blocks - k)]
-    return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
+    return [_signed(sum(chosen)) for chosen in combinations(block, blocks - k)]
+
+
+def _signed(value: int) -> int:
+    value &= (1 << 64) - 1
+    return value - (1 << 64) if value >= 1 << 63 else value
 
 
 def hash_keys(hashes: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING) -> DataFrame:
-    """``hashes`` repeated once per block choice, with ``choice`` and ``masked``."""
-    masks = F.array(*[F.lit(m).cast("bigint") for m in block_masks(blocks, k)])
-    masked = F.transform(masks, lambda m: F.col("phash").bitwiseAND(m))
-    return hashes.select("*", F.posexplode(masked).alias("choice", "masked"))
+    """``hashes`` repeated once per block choice, with a 64-bit ``key`` per choice.
+
+    The key is the masked hash mixed with a constant of its choice.  Keys of two choices
+    may coincide; that only adds a candidate, which the distance test then judges.
+    """
+    keys = [
+        F.col("phash").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(_signed((i + 1) * 0x9E3779B97F4A7C15)))
+        for i, m in enumerate(block_masks(blocks, k))
+    ]
+    return hashes.select("*", F.explode(F.array(*keys)).alias("key"))
 
 
 def stored_hashes(photos: DataFrame) -> DataFrame:
-    """Distinct ``phash`` with the first and last record that carries it."""
-    return (
-        photos.where("phash is not null")
-        .groupBy("phash")
-        .agg(F.min("record_id").alias("first_id"), F.max("record_id").alias("last_id"))
-    )
-
+    """Distinct ``phash`` with the first and last record that carries it, and how many photos do."""
+    ids = F.col("record_id")
+    found = photos.where("phash is not null").groupBy("phash")
+    return found.agg(F.min(ids).alias("first_id"), F.max(ids).alias("last_id"), F.count(F.lit(1)).alias("n"))
 
-def _at_distance(d: int, what: str) -> Column:
-    return (F.min if what == "first_id" else F.max)(F.when(F.col("_d") == d, F.col(what)))
 
+def near_hashes(
+    probe: DataFrame, stored: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING, history: str = "before"
+) -> DataFrame:
+    """Per probe hash: ``first_d`` (and for history "all" ``last_d``), the extreme record ids stored at distance d.
 
-def near_hashes(probe: DataFrame, stored: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING) -> DataFrame:
-    """Per probe hash and distance d: ``first_d`` / ``last_d``, the extreme record ids of stored hashes at d."""
+    Distance 0 comes from the hash itself; hashes with no one near but themselves are kept.
+    """
+    ends = ["first", "last"] if history == "all" else ["first"]
     left = hash_keys(probe.select("phash"), blocks, k)
-    right = hash_keys(stored.select("phash", "first_id", "last_id"), blocks, k).withColumnRenamed("phash", "_other")
-    met = left.join(right, ["choice", "masked"]).withColumn("_d", hamming(F.col("phash"), F.col("_other")))
+    right = hash_keys(stored.select(F.col("phash").alias("_other"), *[f"{e}_id" for e in ends], "phash"), blocks, k)
+    # the keys outnumber the hashes many times over, which size estimates do not see: never broadcast them
+    met = left.hint("merge").join(right.drop("phash"), "key").withColumn("_d", hamming(F.col("phash"), F.col("_other")))
+    near = met.where((F.col("_d") <= k) & (F.col("_d") > 0)).select("phash", "_d", *[f"{e}_id" for e in ends])
+    own = stored.join(probe.select("phash"), "phash", "left_semi") if stored is not probe else stored
+    both = near.unionByName(own.select("phash", F.lit(0).alias("_d"), *[f"{e}_id" for e in ends]))
+    pick = {"first": F.min, "last": F.max}
     columns = [
-        _at_distance(d, f"{end}_id").alias(f"{end}_{d}") for d in range(k + 1) for end in ("first", "last")
+        pick[e](F.when(F.col("_d") == d, F.col(f"{e}_id"))).alias(f"{e}_{d}") for d in range(k + 1) for e in ends
     ]
-    return met.where(F.col("_d") <= k).groupBy("phash").agg(*columns)
+    return both.groupBy("phash").agg(*columns)
 
 
 def _least_distance(k: int, history: str) -> Column:
     """Smallest d at which a record before this one (or any other record) has a photo."""
     tests = []
     for d in range(k + 1):
-        earlier = F.col(f"first_{d}") < F.col("record_id")
-        later = F.col(f"last_{d}") > F.col("record_id")
-        tests.append(F.when(earlier | later if history == "all" else earlier, F.lit(d)))
+        hit = F.col(f"first_{d}") < F.col("record_id")
+        if history == "all":
+            hit = hit | (F.col(f"last_{d}") > F.col("record_id"))
+        tests.append(F.when(hit, F.lit(d)))
     return F.coalesce(*tests)
 
 
@@ -95,17 +115,20 @@ def duplicate_distance(
     ``photos``: record_id, phash (bigint, null when missing or unreadable), one row per photo.
     ``history='before'`` compares with smaller record ids only, as ingest order does;
     ``'all'`` with every other record.  ``stored`` adds hashes of earlier loads.
-    Records without a near photo are absent.
+    Records without a near photo are absent.  The distinct hashes are written once
+    (checkpoint); without ``blocks`` their number chooses it.
     """
-    own = stored_hashes(photos)
+    readable = photos.where("phash is not null").select("record_id", "phash")
+    own = cut_lineage(stored_hashes(readable))  # read several times below
     known = own
     if stored is not None:
-        both = own.unionByName(stored.select("phash", "first_id", "last_id"))
-        known = both.groupBy("phash").agg(F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
+        both = own.unionByName(stored.select("phash", "first_id", "last_id", "n"))
+        known = both.groupBy("phash").agg(
+            F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n")
+        )
     if blocks is None:
-        n = known.agg(F.approx_count_distinct("phash")).first()[0]
-        blocks = choose_blocks(n, k)
-    near = near_hashes(own, known, blocks, k)
-    joined = split_hot_join(photos.where("phash is not null").select("record_id", "phash"), near, "phash", "inner")
+        blocks = choose_blocks(known.count(), k)
+    near = near_hashes(own, known, blocks, k, history)
+    joined = split_hot_join(readable, near, "phash", spread="record_id", counts=own)
     found = joined.select("record_id", _least_distance(k, history).alias("_d")).where("_d is not null")
     return found.groupBy("record_id").agg(F.min("_d").alias("min_distance"))

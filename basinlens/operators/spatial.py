@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from basinlens import constants as C
 from basinlens.functions.geo import cell, cell_range, haversine_m
+from basinlens.operators.common import sized_join
 
 EDGE_STRUCT = ["x1", "y1", "x2", "y2"]
 
@@ -93,7 +94,7 @@ def flag_inside_own_polygon(
     """Whether each point lies in the polygon named by its own ``key``; rows are kept one to one."""
     index = edge_index(edges, band_size, key)
     banded = points.withColumn("yband", cell(lat, band_size))
-    joined = banded.join(index, [key, "yband"], "left")
+    joined = sized_join(banded, index, [key, "yband"], "left", weight=F.size("edges"))
     return joined.select(*points.columns, inside_edges(F.col(lon), F.col(lat), F.col("edges")).alias(name))
 
 
@@ -114,7 +115,7 @@ def points_in_polygons(
     )
     cells = bands.withColumn("xcell", F.explode(cell_range(F.col("_xlo"), F.col("_xhi"), cell_size))).drop("_xlo", "_xhi")
     located = points.withColumn("xcell", cell(lon, cell_size)).withColumn("ycell", cell(lat, cell_size))
-    pairs = located.join(cells, ["xcell", "ycell"])
+    pairs = sized_join(located, cells, ["xcell", "ycell"], weight=F.size("edges"))
     return pairs.where(inside_edges(F.col(lon), F.col(lat), F.col("edges"))).select(*points.columns, key)
 
 
@@ -195,7 +196,7 @@ def polygons_within(
     a = _edges_in_cells(left, key, "l_", cell_size, distance)
     b = _edges_in_cells(right, key, "r_", cell_size, 0.0)
     near = segment_distance_sq([F.col(f"l_{c}") for c in EDGE_STRUCT], [F.col(f"r_{c}") for c in EDGE_STRUCT])
-    close = a.join(b, ["xcell", "ycell"]).where(near <= F.lit(distance * distance))
+    close = a.hint("merge").join(b, ["xcell", "ycell"]).where(near <= F.lit(distance * distance))
     pairs = close.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"))
     left_inside = points_in_polygons(_anchor_points(left, key), right, cell_size, key).select(
         F.col("anchor_id").alias("left_id"), F.col(key).alias("right_id")
@@ -293,7 +294,7 @@ def near_pairs(
         ys.alias("_ys"),
     ).withColumn("ycell", F.explode("_ys")).drop("_ys")
     located = pixels.select(pixel_key, "lon", "lat", cell("lon", step).alias("xcell"), cell("lat", step).alias("ycell"))
-    pairs = spread.join(located, ["xcell", "ycell"])
+    pairs = sized_join(located, spread, ["xcell", "ycell"])
     dist = haversine_m(F.col("_plat"), F.col("_plon"), F.col("lat"), F.col("lon"))
     return pairs.select(place_key, pixel_key, dist.alias("dist_m")).where(F.col("dist_m") <= radius_m)
 

@@ -95,24 +95,21 @@ def extract_json_object(text) -> Column:
 
 # --- strict response schema -------------------------------------------------------
 
-RESPONSE_TYPE = T.StructType(
-    [
-        T.StructField(k, T.DoubleType() if k == "confidence" else T.StringType())
-        for k in C.RESPONSE_KEYS
-    ]
-)
+def response_fields(raw="raw_json") -> Column:
+    """All fields of a response as ``map<string,string>``, in one parse; null for other text."""
+    return F.from_json(_col(raw), "map<string,string>")
 
 
-def parse_response(raw="raw_json", fill_evidence: bool = False) -> Column:
-    """``struct`` of the eight response fields.
+def parse_response(fields="fields", fill_evidence: bool = False) -> Column:
+    """``struct`` of the eight response fields, from ``response_fields``.
 
     ``fill_evidence`` puts the fixed text in place of a blank justification, which is
     what the adapter for local models does; the strict schema itself refuses blanks.
     """
-    j = _col(raw)
+    m = _col(fields)
 
     def field(k: str) -> Column:
-        value = F.get_json_object(j, f"$.{k}")
+        value = F.try_element_at(m, F.lit(k))
         if k == "confidence":
             return value.try_cast("double").alias(k)
         if k == "evidence" and fill_evidence:
@@ -123,9 +120,9 @@ def parse_response(raw="raw_json", fill_evidence: bool = False) -> Column:
     return F.struct(*[field(k) for k in C.RESPONSE_KEYS])
 
 
-def response_errors(raw="raw_json", parsed="parsed") -> Column:
+def response_errors(fields="fields", parsed="parsed") -> Column:
     """Reasons a response breaks the strict schema; empty when it is valid."""
-    j, r = _col(raw), _col(parsed)
+    m, r = _col(fields), _col(parsed)
 
     def outside(k: str, allowed: list[str]) -> Column:
         return F.when(~F.coalesce(r[k].isin(allowed), F.lit(False)), F.lit(f"{k} is not an allowed value"))
@@ -134,12 +131,12 @@ def response_errors(raw="raw_json", parsed="parsed") -> Column:
         ok = F.length(r[k]).between(1, top)
         return F.when(~F.coalesce(ok, F.lit(False)), F.lit(f"{k} must have 1 to {top} characters"))
 
-    keys = F.json_object_keys(j)
+    keys = F.map_keys(m)
     expected = F.array(*[F.lit(k) for k in C.RESPONSE_KEYS])
     extra = F.array_sort(F.array_except(keys, expected))
     missing = F.array_except(expected, keys)
     rules = F.array(
-        F.when(keys.isNull(), F.lit("not a JSON object")),
+        F.when(m.isNull(), F.lit("not a JSON object")),
         F.when(F.size(extra) > 0, F.concat(F.lit("unexpected fields: "), F.array_join(extra, ", "))),
         F.when(F.size(missing) > 0, F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))),
         outside("predicted_category", [*C.CATEGORY_CODES, C.UNKNOWN_CODE]),
@@ -154,6 +151,13 @@ def response_errors(raw="raw_json", parsed="parsed") -> Column:
     return F.filter(rules, lambda x: x.isNotNull())
 
 
+def check_responses(df: DataFrame, raw: str = "raw_json", fill_evidence: bool = False) -> DataFrame:
+    """Adds ``parsed`` and ``response_errors``."""
+    fields = df.withColumn("_fields", response_fields(raw))
+    parsed = fields.withColumn("parsed", parse_response("_fields", fill_evidence))
+    return parsed.withColumn("response_errors", response_errors("_fields", "parsed")).drop("_fields")
+
+
 def invalid_response(reason: Column, attempts: int) -> Column:
     """The honest stand-in for a response that never became valid."""
     evidence = F.concat(
@@ -177,12 +181,11 @@ def validate_or_degrade(
     df: DataFrame, raw: str = "raw_json", attempts: int = 2, fill_evidence: bool = False
 ) -> DataFrame:
     """Adds ``result`` (valid response or its stand-in), ``response_errors``, score, gate and flags."""
-    parsed = df.withColumn("_parsed", parse_response(raw, fill_evidence))
-    checked = parsed.withColumn("response_errors", response_errors(raw, "_parsed"))
+    checked = check_responses(df, raw, fill_evidence)
     bad = F.size("response_errors") > 0
     reason = F.coalesce(F.array_join("response_errors", "; "), F.lit("unknown error"))
-    result = F.when(bad, invalid_response(reason, attempts)).otherwise(F.col("_parsed"))
-    return score_result(checked.withColumn("result", result).drop("_parsed"))
+    result = F.when(bad, invalid_response(reason, attempts)).otherwise(F.col("parsed"))
+    return score_result(checked.withColumn("result", result).drop("parsed"))
 
 
 def score_result(df: DataFrame) -> DataFrame:

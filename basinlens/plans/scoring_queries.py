@@ -40,8 +40,7 @@ ERRORS = """case kind when 'truncated' then 'not a JSON object; predicted_catego
 
 @query("response_schema_check", f"select record_id, {ERRORS} errors from a_raw")
 def response_schema_check(t: Tables) -> DataFrame:
-    parsed = t.raw.withColumn("parsed", visual.parse_response("raw_json"))
-    return parsed.select("record_id", F.array_join(visual.response_errors("raw_json", "parsed"), "; ").alias("errors"))
+    return visual.check_responses(t.raw).select("record_id", F.array_join("response_errors", "; ").alias("errors"))
 
 
 @query(

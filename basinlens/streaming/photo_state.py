@@ -1,7 +1,7 @@
 """Near-duplicate search over an endless stream, with one state entry per hash key.
 
 Each photo hash is listed under its block choices (see ``operators.photos``); the state
-of a (choice, masked) key holds the distinct hashes seen there with their first record.
+of a key holds the distinct hashes seen there with their first record.
 A hash shared by many records is stored once per key.
 """
 
@@ -64,7 +64,7 @@ def stream_duplicates(photos: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAM
     Needs the RocksDB state store.  Take the least distance per record downstream.
     """
     keyed = hash_keys(photos.select("record_id", "phash"), blocks, k)
-    return keyed.groupBy("choice", "masked").transformWithStateInPandas(
+    return keyed.groupBy("key").transformWithStateInPandas(
         statefulProcessor=_NearHashes(k), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
     )
 
