@@ -7,6 +7,7 @@ index name in ``by``).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -95,12 +96,41 @@ def bootstrap_effects(
     units = number_units(controls)
     own = treated.select(*by, "year", F.col("value").alias("treated")).where("treated is not null")
     usable = controls.where("value is not null").join(own, [*by, "year"]).join(units, "unit_id")
-    drawn = sized_join(bootstrap_draws(units, draws, seed), usable.select("k", *by, "year", "value", "treated"), ["k"])
-    means = drawn.groupBy("b", *by, "year").agg((F.first("treated") - F.avg("value")).alias("gap"))
-    sides = means.groupBy("b", *by).agg(*_effect_columns(start_year, years=False))
+    drawn = bootstrap_draws(units, draws, seed)
+    cells = own.limit(WIDE_CELLS + 1).collect()  # the treated series itself: years x groups
+    if len(cells) <= WIDE_CELLS:
+        gaps = _wide_gaps(drawn, usable, cells, by)
+    else:
+        long = sized_join(drawn, usable.select("k", *by, "year", "value", "treated"), ["k"])
+        gaps = long.groupBy("b", *by, "year").agg((F.first("treated") - F.avg("value")).alias("gap"))
+    sides = gaps.groupBy("b", *by).agg(*_effect_columns(start_year, years=False))
     return sides.select(*by, "b", (F.col("_post") - F.col("_pre")).alias("effect")).where("effect is not null")
 
 
+WIDE_CELLS = 200  # (group, year) cells up to which a unit's series is held as columns of one row
+
+
+def _wide_gaps(drawn: DataFrame, usable: DataFrame, cells: list, by: Sequence[str]) -> DataFrame:
+    """(b, by, year, gap) with one row per draw instead of one per draw, group and year."""
+    names = [f"_v{i}" for i in range(len(cells))]
+
+    def holds(cell) -> Column:
+        return reduce(lambda a, c: a & (F.col(c) == F.lit(cell[c])), by, F.col("year") == F.lit(cell["year"]))
+
+    panel = usable.groupBy("k").agg(*[F.max(F.when(holds(c), F.col("value"))).alias(n) for n, c in zip(names, cells)])
+    means = sized_join(drawn, panel, ["k"]).groupBy("b").agg(*[F.avg(n).alias(n) for n in names])
+    rows = [
+        F.struct(
+            *[F.lit(c[g]).alias(g) for g in by],
+            F.lit(c["year"]).alias("year"),
+            (F.lit(float(c["treated"])) - F.col(n)).alias("gap"),
+        )
+        for n, c in zip(names, cells)
+    ]
+    long = means.select("b", F.explode(F.array(*rows)).alias("_r")).select("b", "_r.*")
+    return long.where("gap is not null")
+
+
 def percentile_bounds(effects: DataFrame, ci: float = C.BOOTSTRAP_CI, by: Sequence[str] = ()) -> DataFrame:
     """Interval bounds by position in the sorted effects (as many as there are draws)."""
     alpha = (1.0 - ci) / 2.0
