@@ -62,15 +62,15 @@ def read_summaries(spark: SparkSession, pattern: str, schema: T.StructType = SUM
 
 def write_registry_csv(rows: DataFrame, path: str, source_url: str, retrieved_at: str) -> None:
     out = rows.withColumn("source_url", F.lit(source_url)).withColumn("retrieved_at", F.lit(retrieved_at))
-    # empty texts are written as "" and nulls as nothing, so both come back as they were
-    out.select(*REGISTRY_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').option(
-        "emptyValue", '""'
-    ).csv(path)
+    # empty texts are written as "" and nulls as nothing; the reader tells them apart
+    out.select(*REGISTRY_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def read_registry_csv(spark: SparkSession, path: str, columns: Sequence[str] = REGISTRY_COLUMNS) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    # a null mark that no cell holds keeps "" from being read as null
+    options = {"header": True, "escape": '"', "nullValue": "\\N"}
+    return spark.read.schema(schema).options(**options).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
