@@ -27,12 +27,69 @@ def in_window(start, end, ts: str = "ts") -> Column:
     return (F.col(ts) >= lo.cast("date")) & (F.col(ts) < hi.cast("date"))
 
 
-def median_composite(clear: DataFrame, keys: Sequence[str] = ("pixel_id",)) -> DataFrame:
-    """Per pixel (and any further key): median of each index and the number of clear images."""
+HOT_ROWS = 50_000_000  # observations of one pixel and window above which its median is found in steps
+_STEPS = 1 << 20  # value steps per unit of an index
+
+
+def median_composite(
+    clear: DataFrame, keys: Sequence[str] = ("pixel_id",), hot_rows: int = HOT_ROWS, sample: float = 0.001
+) -> DataFrame:
+    """Per pixel (and any further key): median of each index and the number of clear images.
+
+    A median needs a key's values in one place.  Satellite pixels have few of them, but a
+    sample is looked at first, and keys that seem to hold more than ``hot_rows`` go
+    through ``hot_medians``.  Both ways are exact, so a missed or extra key changes only
+    where the work is done.
+    """
+    seen = clear.select(*keys) if sample >= 1 else clear.select(*keys).sample(sample, 17)
+    hot = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows * min(sample, 1.0))
+    hot_keys = [r.asDict() for r in hot.select(*keys).limit(1000).collect()]  # the list is short: its keys are hot
+    if not hot_keys:
+        return _plain_medians(clear, keys)
+    listed = F.broadcast(clear.sparkSession.createDataFrame(hot_keys, clear.select(*keys).schema))
+    usual = _plain_medians(clear.join(listed, list(keys), "left_anti"), keys)
+    return usual.unionByName(hot_medians(clear.join(listed, list(keys), "left_semi"), keys))
+
+
+def _plain_medians(clear: DataFrame, keys: Sequence[str]) -> DataFrame:
     medians = [F.median(i).alias(i) for i in INDICES]
     return clear.groupBy(*keys).agg(*medians, F.count("ndvi").alias("clear_obs"))
 
 
+def hot_medians(clear: DataFrame, keys: Sequence[str], steps: int = _STEPS) -> DataFrame:
+    """Exact medians of keys too large for one task.
+
+    Values are counted in narrow steps first (a partial aggregation).  The running count
+    of a key's steps shows which one or two hold the middle; only their values are read
+    again, equal values counted together, and the middle is picked among those.
+    """
+    names = ", ".join(f"'{i}', {i}" for i in INDICES)
+    long = clear.select(*keys, F.expr(f"stack({len(INDICES)}, {names}) as (_i, _v)")).where("_v is not null")
+    by = [*keys, "_i"]
+    stepped = long.withColumn("_s", F.floor(F.col("_v") * steps))
+    per_step = stepped.groupBy(*by, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    running = W.partitionBy(*by).orderBy("_s").rowsBetween(W.unboundedPreceding, 0)
+    whole = W.partitionBy(*by)
+    placed = per_step.withColumn("_to", F.sum("_n").over(running)).withColumn("_all", F.sum("_n").over(whole))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)  # 1-based middle ranks
+    before = F.col("_to") - F.col("_n")
+    middle = placed.where((before < high) & (F.col("_to") >= low))
+    wanted = middle.select(*by, "_s", before.alias("_before"), low.alias("_low"), high.alias("_high"))
+    values = stepped.join(F.broadcast(wanted), [*by, "_s"])  # at most two steps per hot key and index
+    distinct = values.groupBy(*by, "_s", "_before", "_low", "_high", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    inside = W.partitionBy(*by, "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = distinct.withColumn("_to", F.col("_before") + F.sum("_n").over(inside))
+    ranked = ranked.withColumn("_from", F.col("_to") - F.col("_n"))
+
+    def at(rank: str) -> Column:
+        return F.max(F.when((F.col("_from") < F.col(rank)) & (F.col("_to") >= F.col(rank)), F.col("_v")))
+
+    medians = ranked.groupBy(*by).agg(((at("_low") + at("_high")) / 2).alias("_m"))
+    wide = medians.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_m"))).alias(i) for i in INDICES])
+    counts = clear.groupBy(*keys).agg(F.count("ndvi").alias("clear_obs"))
+    return wide.join(counts, list(keys)).select(*keys, *INDICES, "clear_obs")
+
+
 def windowed_composites(obs: DataFrame, windows: dict[str, tuple[str, str]]) -> DataFrame:
     """Composites of several windows in one scan and one shuffle, keyed (pixel_id, window).
 

@@ -219,3 +219,23 @@ def test_overlapping_windows_share_observations(spark):
     obs = spark.createDataFrame(rows, "pixel_id long, day string, qa int, b3 int, b4 int, b5 int, b6 int").withColumn("ts", F.to_timestamp("day"))
     out = raster.windowed_composites(obs, {"x": ("2000-01-01", "2000-01-06"), "y": ("2000-01-03", "2000-01-10")})
     assert {r["window"]: r["clear_obs"] for r in out.collect()} == {"x": 5, "y": 7}
+
+
+def test_hot_pixels_have_the_same_medians(spark):
+    k = F.col("id")
+    clear = spark.range(4000).select(
+        F.when(k % 3 == 0, 0).otherwise(k % 40).alias("pixel_id"),
+        ((k * 7919 % 2003) / 1000 - 1).alias("ndvi"),
+        F.when(k % 5 != 0, (k * 104729 % 53) / 53).alias("mndwi"),
+        (-(k * 31 % 17) / 17).alias("ndmi"),
+    )
+    plain = {r["pixel_id"]: r for r in raster.median_composite(clear).collect()}
+    split = {r["pixel_id"]: r for r in raster.median_composite(clear, hot_rows=300, sample=1.0).collect()}
+    assert plain.keys() == split.keys()
+    for pixel, a in plain.items():
+        b = split[pixel]
+        assert a["clear_obs"] == b["clear_obs"]
+        assert all(a[i] == b[i] or abs(a[i] - b[i]) < 1e-12 for i in raster.INDICES)
+    assert plain[5]["mndwi"] is None and plain[0]["clear_obs"] > 1300
+    coarse = {r["pixel_id"]: r["ndvi"] for r in raster.hot_medians(clear, ["pixel_id"], steps=4).collect()}
+    assert all(abs(coarse[p] - a["ndvi"]) < 1e-12 for p, a in plain.items())
