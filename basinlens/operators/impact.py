@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basinlens import constants as C
 from basinlens.operators.common import attach_scalars, global_row_number, sized_join
+from basinlens.session import cut_lineage
 
 
 def control_mean(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -159,6 +160,7 @@ def bootstrap_did(
 
     Missing controls or too few years give nulls with a note, never an error.
     """
+    treated, controls = cut_lineage(treated), cut_lineage(controls)  # small next to the pixels they came from
     groups = treated.select(*by).distinct() if by else treated.sparkSession.range(1).select()
     gap = treated_control_gap(treated, controls, by)
     point = pre_post_effect(gap, start_year, by)

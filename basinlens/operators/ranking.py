@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from basinlens import constants as C
 from basinlens.operators.common import attach_scalars, global_row_number, latest_by_key
+from basinlens.session import cut_lineage
 
 
 def exclusion_reason() -> Column:
@@ -59,7 +60,7 @@ def score_candidates(candidates: DataFrame) -> DataFrame:
 
 def rank_candidates(candidates: DataFrame, position: str = "pos") -> DataFrame:
     """All candidates with score and reason; eligible ones also with ``rank`` (ties by input position)."""
-    scored = score_candidates(candidates)
+    scored = cut_lineage(score_candidates(candidates))  # one row per polygon, read twice
     eligible = global_row_number(scored.where("not excluded"), [F.desc("composite_score"), F.asc(position)], "rank")
     return eligible.unionByName(scored.where("excluded").withColumn("rank", F.lit(None).cast("long")))
 
@@ -107,6 +108,7 @@ def select_study_sets(
     scored: DataFrame, treated_district: str, k: int, key: str = "polygon_id", position: str = "pos"
 ) -> tuple[DataFrame, DataFrame]:
     """(treated, controls): the best ``k`` inside the district, controls only from other districts."""
+    scored = cut_lineage(scored)  # one row per polygon, read several times
     treated = select_treated(scored.where(F.col("district") == treated_district), k, position)
     pool = scored.where(F.col("district").isNull() | (F.col("district") != treated_district))
     return treated, match_controls(treated, pool, key)

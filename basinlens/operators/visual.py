@@ -45,17 +45,28 @@ def review_flags(match="matches_declared", confidence="confidence") -> Column:
 _END = "#end"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def json_object(text) -> Column:
     """The text itself when all of it is one JSON object, else null.
 
     The parser stops after the first value, so the text is parsed inside an array
     with a closing mark: anything left over breaks the array.
     """
-    t = _col(text)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]')))
-    items = F.variant_get(wrapped, "$", "array<variant>")
-    whole = (F.size(items) == 2) & F.schema_of_variant(items[0]).startswith("OBJECT")
-    return F.when(whole & (F.variant_get(items[1], "$", "string") == _END), t)
+
+    def whole(parsed: Column) -> Column:
+        starts = F.schema_of_variant(parsed[0]).startswith("OBJECT")
+        return (F.size(parsed) == 2) & starts & (F.variant_get(parsed[1], "$", "string") == _END)
+
+    def check(t: Column) -> Column:
+        wrapped = F.try_parse_json(F.concat(F.lit("["), t, F.lit(f',"{_END}"]')))
+        items = F.variant_get(wrapped, "$", "array<variant>")
+        return F.when(t.startswith("{") & F.exists(F.array(items), whole), t)
+
+    return _let(_col(text), check)
 
 
 def fenced_block(text) -> Column:
@@ -72,8 +83,6 @@ def balanced_block(text) -> Column:
     """
     t = _col(text)
     start = F.instr(t, "{")
-    tail = F.when(start > 0, F.substring(t, start, F.length(t)))
-    pieces = F.split(tail, r"(?<=[{}])")
     begin = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("length"), F.lit(False).alias("done"))
 
     def step(acc: Column, piece: Column) -> Column:
@@ -83,14 +92,19 @@ def balanced_block(text) -> Column:
             F.struct(depth.alias("depth"), (acc["length"] + F.length(piece)).alias("length"), closes.alias("done"))
         )
 
-    found = F.aggregate(pieces, begin, step)
-    return F.when(found["done"], F.substring(tail, F.lit(1), found["length"]))
+    def cut(tail: Column) -> Column:
+        found = F.aggregate(F.split(tail, r"(?<=[{}])"), begin, step)
+        return _let(found, lambda f: F.when(f["done"], F.substring(tail, F.lit(1), f["length"])))
+
+    return _let(F.when(start > 0, F.substring(t, start, F.length(t))), cut)
 
 
 def extract_json_object(text) -> Column:
     """First of: the whole text, its first fenced block, its first balanced block, that is a JSON object."""
-    t = F.regexp_replace(_col(text), r"^\s+|\s+$", "")
-    return F.coalesce(json_object(t), json_object(fenced_block(t)), json_object(balanced_block(t)))
+    return _let(
+        F.regexp_replace(_col(text), r"^\s+|\s+$", ""),
+        lambda t: F.coalesce(json_object(t), json_object(fenced_block(t)), json_object(balanced_block(t))),
+    )
 
 
 # --- strict response schema -------------------------------------------------------
