@@ -98,11 +98,11 @@ PRIMARY_INDEX = {
 NO_SIGNAL_CATEGORIES = ["LS", "LH", "OM"]
 NEGATIVE_NOTE = (
     "Negative DiD relative to control — flagged for review. This can also mean "
-    "'too early post-work' rather than failure; not a definitive verdict (PRD §12.3)."
+    "'too early post-work' rather than failure; not a definitive verdict."
 )
 NO_SIGNAL_NOTE = (
     "Category %s: satellite evidence is not meaningful for this "
-    "activity type (PRD §12.3) — neutral score applied, not computed from data."
+    "activity type — neutral score applied, not computed from data."
 )
 
 # --- fixed values: satellite pixels and zones --------------------------------

@@ -201,7 +201,7 @@ def unmapped_activities(t: Tables) -> DataFrame:
 def projects(t: Tables) -> DataFrame:
     return t.base("customer").select(
         F.col("c_custkey").alias("project_id"),
-        F.concat("c_name", F.lit(" WDC - "), F.col("c_custkey") % 3).alias("project_name"),
+        F.concat("c_name", F.lit(" Block - "), F.col("c_custkey") % 3).alias("project_name"),
         (F.col("c_custkey") * 5 + 20000000).alias("total_work_codes"),
         F.lit("p").alias("doc"),
         F.col("c_custkey").alias("row"),
@@ -210,11 +210,11 @@ def projects(t: Tables) -> DataFrame:
 
 @query(
     "programme_summary",
-    """select c_custkey project_id, concat(c_name, ' WDC - 1') project_name, c_custkey*5+20000000 total_work_codes, (select count(*) from a_work) geotagged_in_table,
+    """select c_custkey project_id, concat(c_name, ' Block - 1') project_name, c_custkey*5+20000000 total_work_codes, (select count(*) from a_work) geotagged_in_table,
    c_custkey*5+20000000-(select count(*) from a_work) non_geotagged from customer where c_custkey%3=1 order by c_custkey limit 1""",
 )
 def programme_summary(t: Tables) -> DataFrame:
-    return registry.programme_summary(projects(t), t.work, "WDC - 1")
+    return registry.programme_summary(projects(t), t.work, "Block - 1")
 
 
 # --- coverage -----------------------------------------------------------------------------
