@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -19,13 +21,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new place in the folder that all executors share."""
+    return f"{checkpoint_dir(spark)}/basinlens-{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later passes read, not recompute, it.
 
     A lost executor takes nothing with it, and rows that depend on how a shuffle
     arrived are fixed once.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/basinlens-{name}-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -102,3 +109,11 @@ def connected_components(edges: DataFrame, name: str, step: Callable[[DataFrame,
         if now == before:
             return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
         before = now
+
+
+def per_process(key: str, build: Callable[[], object]) -> object:
+    """``build()``, once per Python worker process: functions that travel by value lose their globals between tasks."""
+    kept = sys.modules.setdefault("_basinlens_process", types.ModuleType("_basinlens_process")).__dict__
+    if key not in kept:
+        kept[key] = build()
+    return kept[key]

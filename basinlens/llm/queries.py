@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basinlens.llm import ngram_join
-from basinlens.llm.common import table
+from basinlens.llm import byte_bpe, ngram_join, token_files
+from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -18,6 +19,21 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of the token ids of all documents, and of the bytes they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.token_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query
+def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Places and checksums of all documents' ids, read back from binary files."""
+    to = scratch(spark, "token-files")
+    token_files.write_token_files(table(spark, folder, "documents"), to, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_token_files(spark, to, with_ids=False)
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, Jaccard of at least 0.8."""
