@@ -15,7 +15,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -316,12 +316,17 @@ def _encode(batches: Iterator[pa.RecordBatch], ranks, pattern: str, name: str) -
             counts.append(len(ids) // 4)
             id_hashes.append(hashlib.sha256(ids).hexdigest())
             text_hashes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(id_hashes), pa.array(text_hashes)]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        kept = [n for n in batch.schema.names if n != "text"]
+        digests = [pa.array(counts, pa.int64()), pa.array(id_hashes, pa.string()), pa.array(text_hashes, pa.string())]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in kept), *digests], [*kept, "n_tokens", "ids_sha256", "decoded_sha256"]
+        )
 
 
-def token_digests(docs: DataFrame, rank_file: str, pattern: str = PATTERN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) per row of ``docs``: encode each whole text, decode it again.
+def token_digests(
+    docs: DataFrame, rank_file: str, pattern: str = PATTERN, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()
+) -> DataFrame:
+    """(key, keep..., n_tokens, ids_sha256, decoded_sha256) per row of ``docs``: encode each whole text, decode it again.
 
     One pass without a shuffle; a task holds one batch of texts.  A null text counts as
     empty (no ids).  Null keys, repeated rows and an empty table come through as they are;
@@ -329,13 +334,13 @@ def token_digests(docs: DataFrame, rank_file: str, pattern: str = PATTERN, key:
     is the vocabulary's, whatever the data.
     """
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))
-    source = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = source.schema["doc_id"].dataType.simpleString()
-    out = source.mapInArrow(
+    kept = [F.col(c) for c in (key, *keep)]
+    source = docs.select(*kept, F.col(text).cast("string").alias("text"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name != "text")
+    return source.mapInArrow(
         partial(_encode, ranks=ranks, pattern=pattern, name=f"{rank_file} {pattern}"),
-        f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        f"{fields}, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
-    return out.withColumnRenamed("doc_id", key)
 
 
 def _ids(batches: Iterator[pa.RecordBatch], ranks, pattern: str, name: str, column: str) -> Iterator[pa.RecordBatch]:

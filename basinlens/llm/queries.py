@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basinlens.llm import byte_bpe, ngram_join, token_files
+from basinlens.llm import byte_bpe, mixing, ngram_join, quality, token_files
 from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,7 +34,21 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read_token_files(spark, to, with_ids=False)
 
 
+@query
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Place of every document in a mixture whose sources weigh their document counts to the power 0.75."""
+    docs = table(spark, folder, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "pass_no", "block", "slot", "position")
+
+
 @query
 def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate classes of all documents: 5-word shingles, Jaccard of at least 0.8."""
     return ngram_join.similar_groups(table(spark, folder, "documents"))
+
+
+@query
+def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Evidence, site priors and verdict of all documents; host is the source, path the language within it."""
+    judged = quality.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return judged.drop("row_hash")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinlens.llm import ngram_join
+from basinlens.llm import byte_bpe, mixing, ngram_join, quality
 from basinlens.llm.common import table, written
 
 
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose posterior chance of being good is at least one half stay."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
@@ -21,7 +27,27 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return alone.unionByName(docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
 
 
-STAGES = [("near duplicates (6)", near_duplicates)]
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in the order of a mixture of their sources.
+
+    Target weights are document counts to the power 0.75.  Every document appears at least
+    once; documents of sources below their weight appear again, up to four times in all.
+    """
+    return mixing.mix(docs, ordered=True).select(*docs.columns)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per row: the number and digest of its token ids, and the digest of what they decode to."""
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.token_digests(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source"))
+
+
+STAGES = [
+    ("quality classifier (9)", good_documents),
+    ("n-gram Jaccard join (6)", near_duplicates),
+    ("mixing sources (5)", mixture),
+    ("byte-level BPE (2)", token_ids),
+]
 ORACLE_SQL = None
 
 
