@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basinlens.llm import byte_bpe, mixing, ngram_join, quality, token_files
+from basinlens.llm import byte_bpe, html_text, mixing, ngram_join, quality, token_files
 from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,12 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
     return f
 
 
+@query
+def op1_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The article of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the token ids of all documents, and of the bytes they decode to."""
