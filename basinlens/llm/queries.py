@@ -57,17 +57,18 @@ def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """The verdict on every page's URL."""
     rules = spark.createDataFrame(url_filter.RULES, "rule string, verdict string")
-    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), rules, blocked_words=url_filter.BLOCKED_WORDS).drop("url")
 
 
-CHECKS["op7_url_filter"] = r"""
+CHECKS["op7_url_filter"] = rf"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end rest from pages),
 p as (select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path from u),
 r(rh, rp, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
 f as (select page_id, rh || rp rule, v, row_number() over (partition by page_id order by length(rh || rp) desc) k
     from p join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
-select p.page_id, host, path, rule, coalesce(v, 'allow') verdict from p left join f on p.page_id = f.page_id and k = 1
+select p.page_id, host, path, rule, coalesce(v, case when list_has_any(string_split_regex(host, '[.-]'), {url_filter.BLOCKED_WORDS})
+    then 'block' else 'allow' end) verdict from p left join f on p.page_id = f.page_id and k = 1
 """
 
 

@@ -1,7 +1,8 @@
 """URL filters by Bloom filter cascades.
 
-The keys that rules can name are, for every URL of the corpus, the suffixes of its host
-with the beginnings of its path.  The first level of a cascade is a Bloom filter of the
+Rules name a host and the beginning of a path; a list of words names what hosts of unwanted
+sites are called.  The keys they can name are, for every URL of the corpus, the suffixes of
+its host with the beginnings of its path, and the words of its host.  The first level of a cascade is a Bloom filter of the
 listed keys; the second holds those other keys of the corpus that the first wrongly lets
 pass, the third those listed keys that the second wrongly lets pass, and so on until no
 error is left.  Over the keys it was built for a cascade is exact, so pages are judged
@@ -45,6 +46,11 @@ def candidate_keys(host: Column, path: Column, lengths: Iterable[int]) -> Column
     return F.when(host != "", every).otherwise(F.array().cast("array<string>"))
 
 
+def host_words(host: Column) -> Column:
+    """The words between the dots and hyphens of a host, marked so that no rule is equal to one."""
+    return F.transform(F.filter(F.split(host, "[.-]"), lambda w: w != ""), lambda w: F.concat(F.lit("#"), w))
+
+
 @dataclass
 class Level:
     words: np.ndarray
@@ -134,14 +140,14 @@ def build_cascade(universe: DataFrame) -> Cascade | None:
     return Cascade(levels)
 
 
-def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, url: str = "url", blocked_words: Iterable[str] = ()) -> DataFrame:
     """``pages``, all columns, with ``host``, ``path``, ``rule`` and ``verdict``.
 
     ``rules`` holds (rule, verdict): a rule is a host and the beginning of a path, such as
     ``example.net/en/``, the verdict ``allow`` or ``block``.  A rule fits its host and all
-    subdomains where the path begins as it says; the longest rule that fits decides, and
-    without one ``rule`` is null and the cascades, in which no key of the URL is listed, say
-    ``allow``.  A rule listed twice, or with both verdicts, blocks.
+    subdomains where the path begins as it says; the longest rule that fits decides.
+    Without one ``rule`` is null, and the URL is blocked if a word of its host (between dots
+    and hyphens) is one of ``blocked_words``.  A rule listed twice, or with both verdicts, blocks.
 
     A null or empty URL, or one without ``://``, has an empty host and path.  Repeated rows
     and an empty table come through as they are; columns named like the new ones are
@@ -160,6 +166,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
         raise ValueError(f"rules have paths of more than {MAX_PATH_LENGTHS} lengths")
     lengths = sorted(lengths)
     keys = candidate_keys(F.col("_host"), F.col("_path"), lengths) if lengths else F.array().cast("array<string>")
+    keys = F.concat(keys, host_words(F.col("_host")))
+    words = [(f"#{w.lower()}", "block") for w in sorted(set(blocked_words))]
+    if words:
+        rules = rules.unionByName(pages.sparkSession.createDataFrame(words, "rule string, verdict string"))
 
     hashes = [F.xxhash64("rule").alias("h1"), F.xxhash64(F.lit(1), F.col("rule")).alias("h2")]
     universe = parted.select("_host", *[F.substring("_path", 1, max(lengths, default=0)).alias("_path")]).distinct()
@@ -191,22 +201,25 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
         F.arrays_zip(F.transform("_keys", lambda k: F.length(k)).alias("n"), F.col("_keys").alias("k"), F.col("_found").alias("v")),
         lambda x: x["v"] > 0,
     )
+    fitting = F.transform(fitting, lambda x: F.struct((~x["k"].startswith("#")).alias("is_rule"), x["n"], x["k"], x["v"]))
     return _finish(found.withColumn("_best", F.array_max(fitting)), kept)
 
 
 def _finish(best: DataFrame, kept: list[str]) -> DataFrame:
     verdict = F.when(F.col("_best.v") == 2, "block").otherwise("allow")
-    return best.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_best.k").alias("rule"), verdict.alias("verdict"))
+    return best.select(*kept, F.col("_host").alias("host"), F.col("_path").alias("path"), F.when(F.col("_best.is_rule"), F.col("_best.k")).alias("rule"), verdict.alias("verdict"))
 
 
 def _joined(parted: DataFrame, rules: DataFrame, keys: Column, kept: list[str]) -> DataFrame:
     """For lists beyond MAX_BITS: the keys of each distinct place are joined with the rules."""
     places = written(parted.select("_host", "_path").distinct(), "places")
     fits = places.select("_host", "_path", F.explode(keys).alias("k")).join(rules.withColumnRenamed("rule", "k"), "k")
-    fits = fits.withColumn("_one", F.struct(F.length("k").alias("n"), "k", F.when(F.col("verdict") == "block", 2).otherwise(1).alias("v")))
+    fits = fits.withColumn("_one", F.struct((~F.col("k").startswith("#")).alias("is_rule"), F.length("k").alias("n"), "k", F.when(F.col("verdict") == "block", 2).otherwise(1).alias("v")))
     best = fits.groupBy("_host", "_path").agg(F.max("_one").alias("_best"))
     return _finish(parted.join(best, ["_host", "_path"], "left"), kept)
 
 
 #: The rules of the registered query, fixed values.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: Words of unwanted hosts, a parameter of the registered query.
+BLOCKED_WORDS = "ad ads adserver adult advert bet bets betting casino gambling lottery malware pills poker porn sex slots spam viagra warez xxx".split()
