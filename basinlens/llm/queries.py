@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basinlens.llm import byte_bpe, html_text, mixing, ngram_join, quality, token_files, url_filter
+from basinlens.llm import byte_bpe, fingerprints, html_text, mixing, ngram_join, quality, token_files, url_filter
 from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +72,12 @@ select p.page_id, host, path, rule, coalesce(v, case when list_has_any(string_sp
 """
 
 
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts."""
+    return fingerprints.fingerprint_with_edits(table(spark, folder, "documents"))
+
+
 @query
 def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence, site priors and verdict of all documents; host is the source, path the language within it."""
