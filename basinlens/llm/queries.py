@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basinlens.llm import byte_bpe, fingerprints, html_text, mixing, ngram_join, quality, token_files, url_filter
+from basinlens.llm import byte_bpe, fingerprints, html_text, mixing, neighbours, ngram_join, quality, token_files, url_filter
 from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +84,9 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Evidence, site priors and verdict of all documents; host is the source, path the language within it."""
     judged = quality.assess(table(spark, folder, "documents"), table(spark, folder, "labels"))
     return judged.drop("row_hash")
+
+
+@query
+def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten nearest vectors of every hundredth one."""
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
