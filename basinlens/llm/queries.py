@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinlens.llm import byte_bpe, fingerprints, html_text, mixing, neighbours, ngram_join, quality, token_files, url_filter
+from basinlens.llm import byte_bpe, fingerprints, html_text, license_scan, mixing, neighbours, ngram_join, quality, token_files, url_filter
 from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,6 +33,12 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.token_digests(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+@query
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence statements in all documents, line by line."""
+    return license_scan.scan(table(spark, folder, "documents"))
+
+
 @query
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Places and checksums of all documents' ids, read back from binary files."""
