@@ -86,7 +86,7 @@ def binary_rows(array: pa.Array) -> list[memoryview]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-def connected_components(edges: DataFrame, name: str, step: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the smallest node that links reach.
 
     Alternates large-star and small-star (Kiveris et al., 2014): the links shrink to
@@ -94,20 +94,21 @@ def connected_components(edges: DataFrame, name: str, step: Callable[[DataFrame,
     taken by partial aggregation and written, so both sides of each join are plain
     shuffles of written rows, where AQE splits a node that holds very many links.
     """
-    links = step(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{name}-links")
+    links = written(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{name}-links")
     before = None
     while True:
         both = links.unionByName(links.selectExpr("b AS a", "a AS b"))
-        low = step(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), f"{name}-low")
+        low = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("low")), f"{name}-low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = step(large.where("a <> b").distinct(), f"{name}-large")
-        least = step(large.groupBy("a").agg(F.min("b").alias("low")), f"{name}-least")
+        large = written(large.where("a <> b").distinct(), f"{name}-large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("low")), f"{name}-least")
         small = large.join(least, "a").select("b", "low").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        links = step(small.unionByName(least.selectExpr("a", "low AS b")).distinct(), f"{name}-links")
+        links = written(small.unionByName(least.selectExpr("a", "low AS b")).distinct(), f"{name}-links")
         # sums over the links do not change once every link is (node, smallest node)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            roots = links.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+            return links.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
         before = now
 
 

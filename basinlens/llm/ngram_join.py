@@ -37,6 +37,7 @@ from basinlens.llm.common import binary_rows, connected_components, sized, strea
 
 TOKENS_PER_RANGE = 4_000_000  # n-grams that one counting group holds, about 100 MB while sorted
 TOKENS_PER_CELL = 1_000_000  # n-grams that one trie holds; larger groups are cut into cells
+TOKENS_PER_CLUSTER = 300_000  # up to this size, all sets that postings connect meet once, in one trie
 FLUSH = 4_000_000  # n-grams a task packs before it hands them on
 COMMON_SHARE = 256  # an n-gram is common if one in so many sets holds it
 
@@ -442,7 +443,8 @@ def _first_round(sets: DataFrame, top: int, bottom: int) -> DataFrame:
 def _second_round(sets: DataFrame, postings: DataFrame, labels: DataFrame, top: int, bottom: int) -> DataFrame:
     """Every posting whose sets lie in several components.
 
-    A group larger than one cell is cut: sets of its largest component meet only sets of
+    Near copies share many n-grams and so many groups: sets that such groups connect meet
+    once, as a cluster, where that is small enough, and else group by group.  A group larger than one cell is cut: sets of its largest component meet only sets of
     other components, and those meet one another cell by cell, so no pair is left out.
     """
     known = sets.select("rep", "d1", (F.length("tokens") / 8).cast("bigint").alias("n")).join(sized(labels.withColumnRenamed("node", "rep")), "rep", "left")
@@ -463,8 +465,17 @@ def _second_round(sets: DataFrame, postings: DataFrame, labels: DataFrame, top:
     groups = groups.where("low_label < high_label")
     # n-grams with the same sets need one meeting
     lists = groups.groupBy("members", "weight", "low", "high", "sum1", "sum2").agg(F.min("token").alias("token"))
-    lists = written(lists.select("token", F.ceil(F.col("weight") / TOKENS_PER_CELL).alias("cells")), "lists")
-    members = written(rows.join(sized(lists), "token").select("token", "cells", "rep", "n", "label"), "members")
+    lists = written(lists.select("token", "low", F.ceil(F.col("weight") / TOKENS_PER_CELL).alias("cells")), "lists")
+    members = written(rows.join(sized(lists), "token").select("token", "low", "cells", "rep", "n", "label"), "members")
+    clusters = connected_components(members.select(F.col("rep").alias("a"), F.col("low").alias("b")), "clusters")
+    clusters = written(known.join(sized(clusters.selectExpr("node AS rep", "label AS cluster")), "rep").select("cluster", "rep", "n", "label"), "clusters")
+    weights = clusters.groupBy("cluster").agg(F.sum("n").alias("n"))
+    heavy = written(weights.where(F.col("n") > TOKENS_PER_CLUSTER).select("cluster"), "heavy-clusters")
+    light = clusters.join(sized(heavy), "cluster", "left_anti").selectExpr(
+        "cluster AS token", "0L AS i", "-1L AS j", "rep", "label"
+    )
+    in_heavy = written(clusters.join(sized(heavy), "cluster").select("rep"), "heavy-sets")
+    members = members.join(sized(in_heavy), "rep", "left_semi")
     plain = members.where("cells = 1").select("token", F.lit(0).cast("bigint").alias("i"), F.lit(0).cast("bigint").alias("j"), "rep", "label")
     large = members.where("cells > 1")
     shares = large.groupBy("token", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows"))
@@ -485,7 +496,7 @@ def _second_round(sets: DataFrame, postings: DataFrame, labels: DataFrame, top:
     )
     cells = F.when(in_main, with_rest).otherwise(F.concat(with_main, among))
     cut = split.select("token", "rep", "label", F.explode(cells).alias("cell")).select("token", "cell.i", "cell.j", "rep", "label")
-    placed = written(plain.unionByName(cut), "placed")
+    placed = written(light.unionByName(plain).unionByName(cut), "placed")
     side = sets.select("rep", "tokens")
     dealt = placed.join(side, "rep").select("token", "i", "j", "rep", "label", "tokens")
     return _linked(dealt, ["token", "i", "j"], top, bottom)
