@@ -60,11 +60,6 @@ EMPTY_EVIDENCE_TEXT = "(model did not provide a text justification for this clas
 INVALID_ACTIVITY_TEXT = "unclassified (invalid classifier response)"
 INVALID_EVIDENCE_PREFIX = "Classifier response invalid"
 INVALID_REASON_MAX = 400
-MOCK_MATCH_CONFIDENCE = 0.9
-MOCK_MISMATCH_CONFIDENCE = 0.85
-MOCK_MISMATCH_ACTIVITY = "a different structure than declared"
-MOCK_MISMATCH_EVIDENCE = "The structure visible in the photo does not match the declared activity."
-MOCK_MATCH_EVIDENCE = "Structure and surrounding context are consistent with the declared activity."
 RESPONSE_KEYS = [
     "predicted_category",
     "predicted_activity",
@@ -77,7 +72,6 @@ RESPONSE_KEYS = [
 ]
 
 # --- fixed values: satellite response ----------------------------------------
-DID_CLASSES = ["strongly_positive", "weakly_positive", "inconclusive", "negative", "not_applicable"]
 DID_POINTS = {"strongly_positive": 30, "weakly_positive": 18, "inconclusive": 10, "negative": 0}
 NO_SIGNAL_POINTS = 15
 DID_THRESHOLDS = {  # index: (strong, weak)
@@ -129,7 +123,6 @@ WEIGHT_CROP, WEIGHT_LOW_BUILT, WEIGHT_LOW_WATER = 0.5, 0.3, 0.2
 SLOPE_BAND_DEG = (1.0, 8.0)
 CROP_TOLERANCE = 0.15
 SLOPE_TOLERANCE_DEG = 3.0
-NDVI_TOLERANCE = 0.10
 NO_PIXELS_REASON = "no valid land-cover pixels (outside fetched raster coverage)"
 SLOPE_NOT_EVALUATED = "not_evaluated_missing_slope"
 NDVI_PENDING = "pending"

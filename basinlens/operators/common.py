@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,26 +34,34 @@ def attach_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return df.withColumn("_scalars", packed.scalar()).select(*df.columns, "_scalars.*")
 
 
-BROADCAST_LIMIT = 1_000_000  # rows (or array items) a broadcast side may hold
+BROADCAST_BYTES = 64 << 20  # that a broadcast side may take, by the widths of its values
 
 
-def sized_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: Sequence[str],
-    how: str = "inner",
-    weight: Column | None = None,
-    limit: int = BROADCAST_LIMIT,
-) -> DataFrame:
+def row_bytes(df: DataFrame) -> Column:
+    """About the bytes a row takes: eight a number, the length of a text, eight an array item."""
+    widths = [F.lit(16)]
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        if kind in ("string", "binary"):
+            widths.append(F.coalesce(F.octet_length(f.name), F.lit(0)) + 16)
+        elif kind in ("array", "map"):
+            inner = df.schema[f.name].dataType.simpleString().count(",") + 1
+            widths.append(F.greatest(F.size(f.name), F.lit(0)) * 8 * inner + 24)
+        else:
+            widths.append(F.lit(8 * (f.dataType.simpleString().count(",") + 1)))
+    return reduce(lambda a, b: a + b, widths)
+
+
+def sized_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner", limit: int | None = None) -> DataFrame:
     """Join a large ``left`` with a ``right`` made by explode or grouping.
 
     Size estimates do not see what an explode adds, so the planner might broadcast such a
-    side at any size.  Here its rows (or ``weight``, such as the items of an array) are
-    counted first: up to ``limit`` it is broadcast and ``left`` is not shuffled, beyond
-    it both sides are sorted and merged, where AQE splits skewed partitions.
+    side at any size.  Here its bytes are added up first: up to ``limit`` it is broadcast
+    and ``left`` is not shuffled, beyond it both sides are sorted and merged, where AQE
+    splits skewed partitions.  Either way the rows are the same.
     """
-    size = right.agg(F.coalesce(F.sum(F.lit(1) if weight is None else weight), F.lit(0))).first()[0]
-    return left.join(right.hint("broadcast" if size <= limit else "merge"), list(on), how)
+    size = right.agg(F.coalesce(F.sum(row_bytes(right)), F.lit(0))).first()[0]
+    return left.join(right.hint("broadcast" if size <= (BROADCAST_BYTES if limit is None else limit) else "merge"), list(on), how)
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], name: str, start: int = 1) -> DataFrame:

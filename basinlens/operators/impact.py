@@ -7,7 +7,6 @@ index name in ``by``).
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,30 +54,34 @@ def pre_post_effect(gap: DataFrame, start_year: int, by: Sequence[str] = ()) ->
     )
 
 
-def number_units(controls: DataFrame) -> DataFrame:
-    """Control units with a dense index 0..n-1 in id order."""
-    return global_row_number(controls.select("unit_id").distinct(), [F.asc("unit_id")], "k", start=0)
+def number_units(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Control units of each group with a dense index ``k`` from 0 in id order, and the group's number of units."""
+    units = controls.select(*by, "unit_id").distinct()
+    numbered = global_row_number(units, [F.asc(c) for c in (*by, "unit_id")], "_at", start=0)
+    groups = numbered.groupBy(*by).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_units"))
+    joined = sized_join(numbered, groups, by) if by else attach_scalars(numbered, groups)
+    return joined.select(*by, "unit_id", (F.col("_at") - F.col("_first")).alias("k"), "_units")
 
 
-def bootstrap_draws(units: DataFrame, draws: int, seed: int, per_task: int = 100) -> DataFrame:
-    """(b, k): the units of every resample, n draws of n with replacement.
+def bootstrap_draws(units: DataFrame, draws: int, seed: int, by: Sequence[str] = (), per_task: int = 20) -> DataFrame:
+    """(by, b, k): the units of every resample, n draws of a group's n units with replacement.
 
     Draw ``i`` of resample ``b`` is the first 32 bits of md5("seed-b-i") modulo n, so every
-    engine and every rerun draws the same units.  Resamples are dealt to tasks in groups
-    of ``per_task`` before they are drawn, so few units still keep a cluster busy, and
-    one resample's draws lie together for the map-side aggregation that follows.
+    engine and every rerun draws the same units, and a group's draws depend on its own
+    units alone.  Resamples are dealt to tasks in sets of ``per_task`` before they are
+    drawn, so few units still keep a cluster busy, and one resample's draws lie together
+    for the map-side aggregation that follows.
     """
     spark = units.sparkSession
-    n = units.agg(F.count(F.lit(1)).alias("_units"))
-    groups = F.sequence(F.lit(0), F.lit((draws - 1) // per_task))
-    dealt = attach_scalars(units.select("k"), n).withColumn("_group", F.explode(groups))
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_group")
-    first = F.col("_group") * per_task
+    sets = F.sequence(F.lit(0), F.lit((draws - 1) // per_task))
+    dealt = units.select(*by, "k", "_units").withColumn("_set", F.explode(sets))
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_set")
+    first = F.col("_set") * per_task
     last = F.least(first + (per_task - 1), F.lit(draws - 1))
     slots = dealt.withColumn("b", F.explode(F.sequence(first, last)))
     text = F.concat(F.lit(f"{seed}-"), F.col("b").cast("string"), F.lit("-"), F.col("k").cast("string"))
     number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return slots.select("b", (number % F.col("_units")).alias("k"))
+    return slots.select(*by, "b", (number % F.col("_units")).alias("k"))
 
 
 def bootstrap_effects(
@@ -91,47 +94,22 @@ def bootstrap_effects(
 ) -> DataFrame:
     """(by, b, effect) of every resample with years on both sides.
 
-    Years the treated series lacks are dropped first; a mean over a resample is the mean
-    over its draws, so draws are joined and averaged without collapsing them.
+    Years the treated series lacks are dropped first, and several rows of a unit and year
+    count as their mean.  A mean over a resample is the mean over its draws, so each unit's
+    values are summed as often as it was drawn.
     """
-    units = number_units(controls)
+    units = number_units(controls, by)
     own = treated.select(*by, "year", F.col("value").alias("treated")).where("treated is not null")
-    usable = controls.where("value is not null").join(own, [*by, "year"]).join(units, "unit_id")
-    drawn = bootstrap_draws(units, draws, seed)
-    cells = own.limit(WIDE_CELLS + 1).collect()  # the treated series itself: years x groups
-    if len(cells) <= WIDE_CELLS:
-        gaps = _wide_gaps(drawn, usable, cells, by)
-    else:
-        long = sized_join(drawn, usable.select("k", *by, "year", "value", "treated"), ["k"])
-        gaps = long.groupBy("b", *by, "year").agg((F.first("treated") - F.avg("value")).alias("gap"))
-    sides = gaps.groupBy("b", *by).agg(*_effect_columns(start_year, years=False))
+    values = controls.where("value is not null").groupBy(*by, "unit_id", "year").agg(F.avg("value").alias("value"))
+    usable = values.join(own, [*by, "year"]).join(units.drop("_units"), [*by, "unit_id"])
+    drawn = bootstrap_draws(units, draws, seed, by).groupBy(*by, "b", "k").agg(F.count(F.lit(1)).alias("_times"))
+    long = sized_join(drawn, usable.select(*by, "k", "year", "value", "treated"), [*by, "k"])
+    mean = F.sum(F.col("value") * F.col("_times")) / F.sum("_times")
+    gaps = long.groupBy(*by, "b", "year").agg((F.first("treated") - mean).alias("gap"))
+    sides = gaps.groupBy(*by, "b").agg(*_effect_columns(start_year, years=False))
     return sides.select(*by, "b", (F.col("_post") - F.col("_pre")).alias("effect")).where("effect is not null")
 
 
-WIDE_CELLS = 200  # (group, year) cells up to which a unit's series is held as columns of one row
-
-
-def _wide_gaps(drawn: DataFrame, usable: DataFrame, cells: list, by: Sequence[str]) -> DataFrame:
-    """(b, by, year, gap) with one row per draw instead of one per draw, group and year."""
-    names = [f"_v{i}" for i in range(len(cells))]
-
-    def holds(cell) -> Column:
-        return reduce(lambda a, c: a & (F.col(c) == F.lit(cell[c])), by, F.col("year") == F.lit(cell["year"]))
-
-    panel = usable.groupBy("k").agg(*[F.max(F.when(holds(c), F.col("value"))).alias(n) for n, c in zip(names, cells)])
-    means = sized_join(drawn, panel, ["k"]).groupBy("b").agg(*[F.avg(n).alias(n) for n in names])
-    rows = [
-        F.struct(
-            *[F.lit(c[g]).alias(g) for g in by],
-            F.lit(c["year"]).alias("year"),
-            (F.lit(float(c["treated"])) - F.col(n)).alias("gap"),
-        )
-        for n, c in zip(names, cells)
-    ]
-    long = means.select("b", F.explode(F.array(*rows)).alias("_r")).select("b", "_r.*")
-    return long.where("gap is not null")
-
-
 def percentile_bounds(effects: DataFrame, ci: float = C.BOOTSTRAP_CI, by: Sequence[str] = ()) -> DataFrame:
     """Interval bounds by position in the sorted effects (as many as there are draws)."""
     alpha = (1.0 - ci) / 2.0

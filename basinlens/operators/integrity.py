@@ -164,9 +164,13 @@ def score_records(
 
 
 def ingest(records: DataFrame, watersheds: DataFrame, edges: DataFrame, photos: DataFrame, now, **options):
-    """(scored, quarantine): schema-invalid rows and unknown watersheds are kept with their reason."""
+    """(scored, quarantine): schema-invalid rows and unknown watersheds are kept with their reason.
+
+    Photos of refused records are not stored, so they make no accepted one a duplicate.
+    """
     valid, invalid = split_valid(validate_records(records))
     known, orphan = check_reference(valid, watersheds, "mws_id")
-    scored = score_records(known, watersheds, edges, photos, now, **options)
+    accepted = photos.join(known.select("record_id"), "record_id", "left_semi")
+    scored = score_records(known, watersheds, edges, accepted, now, **options)
     orphan = orphan.withColumn("errors", F.array(F.lit("mws_id not found")))
     return scored, invalid.unionByName(orphan)

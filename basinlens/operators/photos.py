@@ -12,6 +12,7 @@ all records costs one row, and no pair of records is ever formed.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 from math import comb
 
@@ -114,21 +115,19 @@ def duplicate_distance(
 
     ``photos``: record_id, phash (bigint, null when missing or unreadable), one row per photo.
     ``history='before'`` compares with smaller record ids only, as ingest order does;
-    ``'all'`` with every other record.  ``stored`` adds hashes of earlier loads.
+    ``'all'`` with every other record.  ``stored`` holds hashes of earlier loads, which
+    count whatever their record ids are, but for the record itself.
     Records without a near photo are absent.  The distinct hashes are written once
     (checkpoint); without ``blocks`` their number chooses it.
     """
     readable = photos.where("phash is not null").select("record_id", "phash")
     own = cut_lineage(stored_hashes(readable))  # read several times below
-    known = own
-    if stored is not None:
-        both = own.unionByName(stored.select("phash", "first_id", "last_id", "n"))
-        known = both.groupBy("phash").agg(
-            F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n")
-        )
     if blocks is None:
-        blocks = choose_blocks(known.count(), k)
-    near = near_hashes(own, known, blocks, k, history)
-    joined = split_hot_join(readable, near, "phash", spread="record_id", counts=own)
-    found = joined.select("record_id", _least_distance(k, history).alias("_d")).where("_d is not null")
-    return found.groupBy("record_id").agg(F.min("_d").alias("min_distance"))
+        blocks = choose_blocks(own.count() + (0 if stored is None else stored.count()), k)
+    against = [(own, history)] + ([] if stored is None else [(stored.select("phash", "first_id", "last_id", "n"), "all")])
+    found = []
+    for known, which in against:
+        near = near_hashes(own, known, blocks, k, which)
+        joined = split_hot_join(readable, near, "phash", spread="record_id", counts=own)
+        found.append(joined.select("record_id", _least_distance(k, which).alias("_d")).where("_d is not null"))
+    return reduce(DataFrame.unionByName, found).groupBy("record_id").agg(F.min("_d").alias("min_distance"))

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 
 from basinlens import constants as C
 from basinlens.functions.pixels import is_clear, spectral_indices
+from basinlens.operators.common import sized_join
 from basinlens.operators.spatial import points_in_polygons
+from basinlens.session import cut_lineage
 
 INDICES = ["ndvi", "mndwi", "ndmi"]
 
@@ -27,7 +29,7 @@ def in_window(start, end, ts: str = "ts") -> Column:
     return (F.col(ts) >= lo.cast("date")) & (F.col(ts) < hi.cast("date"))
 
 
-HOT_ROWS = 50_000_000  # observations of one pixel and window above which its median is found in steps
+HOT_ROWS = 2_000_000  # observations of one pixel and window above which its median is found in steps
 _STEPS = 1 << 20  # value steps per unit of an index
 
 
@@ -43,12 +45,11 @@ def median_composite(
     """
     seen = clear.select(*keys) if sample >= 1 else clear.select(*keys).sample(sample, 17)
     hot = seen.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows * min(sample, 1.0))
-    hot_keys = [r.asDict() for r in hot.select(*keys).limit(1000).collect()]  # the list is short: its keys are hot
-    if not hot_keys:
+    hot = cut_lineage(hot.select(*keys))  # no more keys than the table has multiples of hot_rows
+    if hot.isEmpty():
         return _plain_medians(clear, keys)
-    listed = F.broadcast(clear.sparkSession.createDataFrame(hot_keys, clear.select(*keys).schema))
-    usual = _plain_medians(clear.join(listed, list(keys), "left_anti"), keys)
-    return usual.unionByName(hot_medians(clear.join(listed, list(keys), "left_semi"), keys))
+    usual = _plain_medians(sized_join(clear, hot, keys, "left_anti"), keys)
+    return usual.unionByName(hot_medians(sized_join(clear, hot, keys, "left_semi"), keys))
 
 
 def _plain_medians(clear: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -75,7 +76,7 @@ def hot_medians(clear: DataFrame, keys: Sequence[str], steps: int = _STEPS) -> D
     before = F.col("_to") - F.col("_n")
     middle = placed.where((before < high) & (F.col("_to") >= low))
     wanted = middle.select(*by, "_s", before.alias("_before"), low.alias("_low"), high.alias("_high"))
-    values = stepped.join(F.broadcast(wanted), [*by, "_s"])  # at most two steps per hot key and index
+    values = sized_join(stepped, cut_lineage(wanted), [*by, "_s"])  # at most two steps per hot key and index
     distinct = values.groupBy(*by, "_s", "_before", "_low", "_high", "_v").agg(F.count(F.lit(1)).alias("_n"))
     inside = W.partitionBy(*by, "_s").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     ranked = distinct.withColumn("_to", F.col("_before") + F.sum("_n").over(inside))

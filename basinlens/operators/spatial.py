@@ -94,7 +94,7 @@ def flag_inside_own_polygon(
     """Whether each point lies in the polygon named by its own ``key``; rows are kept one to one."""
     index = edge_index(edges, band_size, key)
     banded = points.withColumn("yband", cell(lat, band_size))
-    joined = sized_join(banded, index, [key, "yband"], "left", weight=F.size("edges"))
+    joined = sized_join(banded, index, [key, "yband"], "left")
     return joined.select(*points.columns, inside_edges(F.col(lon), F.col(lat), F.col("edges")).alias(name))
 
 
@@ -115,7 +115,7 @@ def points_in_polygons(
     )
     cells = bands.withColumn("xcell", F.explode(cell_range(F.col("_xlo"), F.col("_xhi"), cell_size))).drop("_xlo", "_xhi")
     located = points.withColumn("xcell", cell(lon, cell_size)).withColumn("ycell", cell(lat, cell_size))
-    pairs = sized_join(located, cells, ["xcell", "ycell"], weight=F.size("edges"))
+    pairs = sized_join(located, cells, ["xcell", "ycell"])
     return pairs.where(inside_edges(F.col(lon), F.col(lat), F.col("edges"))).select(*points.columns, key)
 
 

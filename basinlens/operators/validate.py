@@ -24,7 +24,7 @@ def validate_records(df: DataFrame) -> DataFrame:
     synthetic = F.coalesce(F.col("is_synthetic"), F.lit(False))
     known = F.coalesce(F.col("category").isin(C.CATEGORY_CODES), F.lit(False))
     source_ok = F.coalesce(F.col("photo_source").isin(C.PHOTO_SOURCES_SYNTHETIC), F.lit(False))
-    required = [(F.col(c).isNull(), f"{c} is required") for c in ("mws_id", "category", "lat", "lon") if c in df.columns]
+    required = [(F.col(c).isNull(), f"{c} is required") for c in ("mws_id", "category", "activity", "lat", "lon") if c in df.columns]
     errors = _reasons(
         *required,
         (F.col("category").isNotNull() & ~known, "category is not one of the fixed codes"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basinlens import constants as C
+from basinlens.session import cut_lineage
 
 
 def _col(c) -> Column:
@@ -110,8 +112,8 @@ def extract_json_object(text) -> Column:
 # --- strict response schema -------------------------------------------------------
 
 def response_fields(raw="raw_json") -> Column:
-    """All fields of a response as ``map<string,string>``, in one parse; null for other text."""
-    return F.from_json(_col(raw), "map<string,string>")
+    """All fields of a response as ``map<string,variant>``, in one parse, so JSON types stay; null for other text."""
+    return F.from_json(_col(raw), "map<string,variant>")
 
 
 def parse_response(fields="fields", fill_evidence: bool = False) -> Column:
@@ -123,9 +125,11 @@ def parse_response(fields="fields", fill_evidence: bool = False) -> Column:
     m = _col(fields)
 
     def field(k: str) -> Column:
-        value = F.try_element_at(m, F.lit(k))
+        found = F.try_element_at(m, F.lit(k))
         if k == "confidence":
-            return value.try_cast("double").alias(k)
+            # a number, or text that reads as one
+            return F.try_variant_get(found, "$", "double").alias(k)
+        value = F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
         if k == "evidence" and fill_evidence:
             blank = value.isNotNull() & (F.trim(value) == "")
             return F.when(blank, F.lit(C.EMPTY_EVIDENCE_TEXT)).otherwise(value).alias(k)
@@ -172,10 +176,12 @@ def check_responses(df: DataFrame, raw: str = "raw_json", fill_evidence: bool =
     return parsed.withColumn("response_errors", response_errors("_fields", "parsed")).drop("_fields")
 
 
-def invalid_response(reason: Column, attempts: int) -> Column:
+def invalid_response(reason: Column, attempts: Column) -> Column:
     """The honest stand-in for a response that never became valid."""
     evidence = F.concat(
-        F.lit(f"{C.INVALID_EVIDENCE_PREFIX} after {attempts} attempt(s): "),
+        F.lit(f"{C.INVALID_EVIDENCE_PREFIX} after "),
+        attempts.cast("string"),
+        F.lit(" attempt(s): "),
         F.substring(reason, 1, C.INVALID_REASON_MAX),
     )
     values = {
@@ -194,11 +200,16 @@ def invalid_response(reason: Column, attempts: int) -> Column:
 def validate_or_degrade(
     df: DataFrame, raw: str = "raw_json", attempts: int = 2, fill_evidence: bool = False
 ) -> DataFrame:
-    """Adds ``result`` (valid response or its stand-in), ``response_errors``, score, gate and flags."""
+    """Adds ``result`` (valid response or its stand-in), ``response_errors``, score, gate and flags.
+
+    A column ``attempts`` (from ``classify``) says how often a row was asked; without one
+    it is the constant.
+    """
     checked = check_responses(df, raw, fill_evidence)
     bad = F.size("response_errors") > 0
     reason = F.coalesce(F.array_join("response_errors", "; "), F.lit("unknown error"))
-    result = F.when(bad, invalid_response(reason, attempts)).otherwise(F.col("parsed"))
+    asked = F.col("attempts") if "attempts" in df.columns else F.lit(attempts)
+    result = F.when(bad, invalid_response(reason, asked)).otherwise(F.col("parsed"))
     return score_result(checked.withColumn("result", result).drop("parsed"))
 
 
@@ -216,78 +227,45 @@ def score_result(df: DataFrame) -> DataFrame:
 Provider = Callable[[dict[str, Any]], str]
 
 
-def classify(df: DataFrame, make_provider: Callable[[], Provider], attempts: int = 2) -> DataFrame:
-    """Run a classifier over the rows: adds ``raw_json`` (last answer) and ``error``.
+def classify(
+    df: DataFrame, make_provider: Callable[[], Provider], attempts: int = 2, raw: str = "raw_json", fill_evidence: bool = False
+) -> DataFrame:
+    """Run a classifier over the rows: adds ``raw_json`` (last answer), ``error`` and ``attempts``.
 
-    ``make_provider`` is called once per task and returns ``row -> response text``.  An
-    exception is kept as the row's ``error`` and the batch goes on.  A failed call is
-    tried again up to ``attempts`` times.  Results are validated on the JVM side
-    afterwards (``validate_or_degrade``).
+    ``make_provider`` is called once per task and returns ``row -> response text``; the row
+    carries the number of the ``attempt``.  An exception is kept as the row's ``error`` and
+    the batch goes on.  Rows whose call failed, or whose answer breaks the response schema,
+    are asked again, up to ``attempts`` times in all.  Each round is checkpointed, so an
+    answer is paid for once.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField("raw_json", T.StringType()), T.StructField("error", T.StringType())])
+    added = [T.StructField(raw, T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())]
+    schema = T.StructType([*df.schema.fields, *added])
 
-    def run(batches: Iterator) -> Iterator:
-        provider = make_provider()
+    def ask(attempt: int) -> Callable[[Iterator], Iterator]:
+        def run(batches: Iterator) -> Iterator:
+            provider = make_provider()
 
-        def answer(row: dict[str, Any]) -> tuple[str | None, str | None]:
-            error = None
-            for _ in range(attempts):
+            def answer(row: dict[str, Any]) -> tuple[str | None, str | None]:
                 try:
-                    return provider(row), None
+                    return provider(row | {"attempt": attempt}), None
                 except Exception as exc:  # one bad row must not lose the batch
-                    error = str(exc)
-            return None, error
-
-        for batch in batches:
-            answers = [answer(row) for row in batch.to_dict("records")]
-            yield batch.assign(raw_json=[a for a, _ in answers], error=[e for _, e in answers])
-
-    return df.mapInPandas(run, schema)
-
-
-def mock_response(
-    declared_category="declared_category",
-    declared_activity="declared_activity",
-    ground_truth="ground_truth_category",
-    flagged="is_mismatch_test",
-) -> Column:
-    """Deterministic stand-in classifier as an expression: the response ``struct``."""
-    cat, act, truth = _col(declared_category), _col(declared_activity), _col(ground_truth)
-    mismatch = F.coalesce(_col(flagged), F.lit(False)) | F.coalesce(truth != cat, F.lit(False))
-
-    def either(no: Column, yes: Column, name: str) -> Column:
-        return F.when(mismatch, no).otherwise(yes).alias(name)
-
-    return F.struct(
-        either(F.coalesce(truth, F.lit(C.UNKNOWN_CODE)), cat, "predicted_category"),
-        either(F.lit(C.MOCK_MISMATCH_ACTIVITY), act, "predicted_activity"),
-        F.lit("completed").alias("construction_stage"),
-        either(F.lit("unclear"), F.lit("yes"), "water_visible"),
-        either(F.lit("unclear"), F.lit("medium"), "vegetation_cover"),
-        either(F.lit("no"), F.lit("yes"), "matches_declared"),
-        either(F.lit(C.MOCK_MISMATCH_CONFIDENCE), F.lit(C.MOCK_MATCH_CONFIDENCE), "confidence"),
-        either(F.lit(C.MOCK_MISMATCH_EVIDENCE), F.lit(C.MOCK_MATCH_EVIDENCE), "evidence"),
-    )
-
-
-def mock_provider() -> Provider:
-    """The same stand-in as a per-task provider, to exercise ``classify``."""
-    import json
-
-    def respond(row: dict[str, Any]) -> str:
-        truth = row.get("ground_truth_category")
-        differs = truth is not None and truth != row["declared_category"]
-        no = bool(row.get("is_mismatch_test")) or differs
-        values = [
-            (truth or C.UNKNOWN_CODE) if no else row["declared_category"],
-            C.MOCK_MISMATCH_ACTIVITY if no else row["declared_activity"],
-            "completed",
-            "unclear" if no else "yes",
-            "unclear" if no else "medium",
-            "no" if no else "yes",
-            C.MOCK_MISMATCH_CONFIDENCE if no else C.MOCK_MATCH_CONFIDENCE,
-            C.MOCK_MISMATCH_EVIDENCE if no else C.MOCK_MATCH_EVIDENCE,
-        ]
-        return json.dumps(dict(zip(C.RESPONSE_KEYS, values)))
-
-    return respond
+                    return None, str(exc)
+
+            for batch in batches:
+                answers = [answer(row) for row in batch.to_dict("records")]
+                yield batch.assign(**{raw: [a for a, _ in answers], "error": [e for _, e in answers], "attempts": attempt})
+
+        return run
+
+    done: list[DataFrame] = []
+    waiting = df
+    for attempt in range(1, attempts + 1):
+        answered = cut_lineage(waiting.mapInPandas(ask(attempt), schema))
+        if attempt == attempts:
+            done.append(answered)
+            break
+        checked = check_responses(answered, raw, fill_evidence).drop("parsed")
+        valid = F.size("response_errors") == 0
+        done.append(checked.where(valid).drop("response_errors"))
+        waiting = checked.where(~valid).select(*df.columns)
+    return reduce(DataFrame.unionByName, done)

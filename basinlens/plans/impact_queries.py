@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basinlens import constants as C
-from basinlens.operators import impact, raster
+from basinlens.operators import impact
 from basinlens.plans.catalogue import q6, query, r6
 from basinlens.plans.tables import Tables
 
@@ -81,5 +81,3 @@ def effect_series(t: Tables) -> DataFrame:
     out = impact.effect_series(treated, controls, rain, years, BY)
     return out.select("idx", "year", *[r6(c).alias(c) for c in ("treated", "control", "rainfall_mm")])
 
-
-assert raster.INDICES[0] == "ndvi"

@@ -395,24 +395,31 @@ def watershed_integrity(t: Tables) -> DataFrame:
     )
 
 
+REFUSED = "(i.category='XX' or (i.is_synthetic and coalesce(i.photo_source,'') <> 'ai_generated') or w.mws_id is null)"
+
+
 @query(
     "ingest_outcome",
-    f"""select i.record_id, case when i.category='XX' or (is_synthetic and coalesce(photo_source,'') <> 'ai_generated') or w.mws_id is null
-    then 'quarantined' else 'scored' end outcome,
-   concat(case when category='XX' then 'category is not one of the fixed codes' else '' end,
-    case when category='XX' and is_synthetic and coalesce(photo_source,'') <> 'ai_generated' then '; ' else '' end,
+    f"""with acc as (select i.record_id, i.mws_id, i.category from {INCOMING} i left join a_mws w on i.mws_id=w.mws_id where not {REFUSED}),
+  {HASHES.replace("from a_photo_hex where", "from a_photo_hex join acc using (record_id) where")}, ins as ({INSIDE}),
+  pts as (select r.record_id, case when gps_accuracy_m<=10 then 8 when gps_accuracy_m<=25 then 4 else 0 end + case when inside then 8 else 0 end
+    + {EXIF_CASE} + case when dup.record_id is null then 5 else 0 end + {TIME_POINTS} geo_score
+    from a_records r join acc using (record_id) join a_mws w on r.mws_id=w.mws_id join ins on ins.record_id=r.record_id left join dup on dup.record_id=r.record_id)
+  select i.record_id, case when {REFUSED} then 'quarantined' else 'scored' end outcome,
+   concat(case when i.category='XX' then 'category is not one of the fixed codes' else '' end,
+    case when i.category='XX' and is_synthetic and coalesce(photo_source,'') <> 'ai_generated' then '; ' else '' end,
     case when is_synthetic and coalesce(photo_source,'') <> 'ai_generated' then 'photo_source is required for synthetic records' else '' end,
-    case when category<>'XX' and not (is_synthetic and coalesce(photo_source,'') <> 'ai_generated') and w.mws_id is null then 'mws_id not found' else '' end) errors
-  from {INCOMING} i left join a_mws w on i.mws_id=w.mws_id""",
+    case when i.category<>'XX' and not (is_synthetic and coalesce(photo_source,'') <> 'ai_generated') and w.mws_id is null then 'mws_id not found' else '' end) errors,
+   geo_score
+  from {INCOMING} i left join a_mws w on i.mws_id=w.mws_id left join pts on pts.record_id=i.record_id""",
 )
 def ingest_outcome(t: Tables) -> DataFrame:
     """Every arriving record ends up scored or quarantined; a low score is no reason to refuse."""
     now = F.lit(NOW).cast("timestamp_ntz")
     scored, refused = integrity.ingest(incoming(t), t.mws, t.edges, t.photos(), now)
-    a = scored.select("record_id", F.lit("scored").alias("outcome"), F.lit("").alias("errors"))
-    return a.unionByName(
-        refused.select("record_id", F.lit("quarantined").alias("outcome"), F.array_join("errors", "; ").alias("errors"))
-    )
+    a = scored.select("record_id", F.lit("scored").alias("outcome"), F.lit("").alias("errors"), "geo_score")
+    b = refused.select("record_id", F.lit("quarantined").alias("outcome"), F.array_join("errors", "; ").alias("errors"))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 # --- scalar functions --------------------------------------------------------------------

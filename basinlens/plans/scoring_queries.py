@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from basinlens.operators import evaluation, ranking, scoring, visual
 from basinlens.plans.catalogue import q6, query, r6
-from basinlens.plans.record_queries import DIST_EXIF, EXIF_CASE, INSIDE, TIME_POINTS, VISUAL, scored_records  # noqa: F401
-from basinlens.plans.record_queries import SCORED
+from basinlens.plans.record_queries import SCORED, VISUAL, scored_records
 from basinlens.plans.tables import Tables
 
 GATED = "(confidence<0.6 or matches_declared='uncertain')"
@@ -97,37 +96,42 @@ def photo_manifest(t: Tables) -> DataFrame:
         F.coalesce("pred", F.lit("OM")).alias("declared_category"),
         F.concat(F.lit("work "), F.col("model")).alias("declared_activity"),
         F.when(F.col("gt") != "NONE", F.col("gt")).alias("ground_truth_category"),
-        (F.col("doc_id") % 17 == 0).alias("is_mismatch_test"),
     )
 
 
-_MANIFEST = """(select doc_id record_id, coalesce(pred,'OM') declared_category, concat('work ', model) declared_activity, nullif(gt,'NONE') truth,
-   doc_id%17=0 or coalesce(nullif(gt,'NONE')<>coalesce(pred,'OM'), false) mismatch from a_eval)"""
+def photo_judge():
+    """A provider for the query: answers by rule, wrongly formed on the first attempt for every fifth record."""
+    import json
 
+    def respond(row: dict) -> str:
+        if row["record_id"] % 5 == 0 and row["attempt"] == 1:
+            return '{"confidence": "high"}'
+        if row["record_id"] % 35 == 7:
+            raise RuntimeError("no answer")
+        agrees = row["ground_truth_category"] in (None, row["declared_category"])
+        answer = {"predicted_category": row["ground_truth_category"] or row["declared_category"], "confidence": 0.75}
+        answer |= {"predicted_activity": "seen work", "construction_stage": "unclear", "water_visible": "unclear", "vegetation_cover": "unclear"}
+        return json.dumps(answer | {"matches_declared": "yes" if agrees else "no", "evidence": "stated by rule"})
 
-@query(
-    "mock_classifier",
-    f"""select record_id, case when mismatch then coalesce(truth,'UNKNOWN') else declared_category end predicted_category,
-   case when mismatch then 'no' else 'yes' end matches_declared, case when mismatch then 0.85e0 else 0.9e0 end confidence from {_MANIFEST}""",
-)
-def mock_classifier(t: Tables) -> DataFrame:
-    out = photo_manifest(t).withColumn("r", visual.mock_response())
-    return out.select("record_id", "r.predicted_category", "r.matches_declared", "r.confidence")
+    return respond
 
 
 @query(
     "batch_classification",
-    f"""select record_id, declared_category, case when mismatch and truth is null then 'UNKNOWN' when mismatch then truth else declared_category end predicted_category,
-   declared_category<>'UNKNOWN' valid_declared, case when mismatch then 0 else 30 end visual_score, mismatch flagged from {_MANIFEST}""",
+    """select doc_id record_id, coalesce(pred,'OM') declared_category, case when doc_id%35=7 then 'UNKNOWN' else coalesce(nullif(gt,'NONE'), pred, 'OM') end predicted_category,
+   cast(case when doc_id%5=0 or doc_id%35=7 then 2 else 1 end as int) attempts, case when doc_id%35=7 then 'no answer' end error,
+   case when doc_id%35=7 then 10 when coalesce(nullif(gt,'NONE'), pred, 'OM') = coalesce(pred,'OM') then 30 else 0 end visual_score,
+   doc_id%35<>7 and coalesce(nullif(gt,'NONE'), pred, 'OM') <> coalesce(pred,'OM') flagged from a_eval""",
 )
 def batch_classification(t: Tables) -> DataFrame:
-    answered = visual.classify(photo_manifest(t), visual.mock_provider)
+    answered = visual.classify(photo_manifest(t), photo_judge)
     scored = visual.validate_or_degrade(answered)
     return scored.select(
         "record_id",
         "declared_category",
         "result.predicted_category",
-        (F.col("declared_category") != "UNKNOWN").alias("valid_declared"),
+        "attempts",
+        "error",
         "visual_score",
         F.array_contains("review_flags", "activity_mismatch").alias("flagged"),
     )

@@ -24,8 +24,8 @@ def cell_text(html: Column) -> Column:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``doc, html``: whole files as rows."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("doc"), F.col("value").alias("html"))
+    """``doc, html``: whole files as rows; ``doc`` is the whole path, as folders may hold files of one name."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("html"))
 
 
 def raw_rows(pages: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from basinlens import constants as C
 from basinlens.functions import text
-from basinlens.operators import coverage, evaluation, integrity, ranking, registry, scoring, validate, visual
+from basinlens.operators import coverage, evaluation, integrity, photos, ranking, registry, scoring, validate, visual
 
 
 def one(spark, column, **values):
@@ -158,6 +158,11 @@ def response(**change):
         ({"predicted_activity": "a" * 201}, False),
         ({"water_visible": "maybe"}, False),
         ({"matches_declared": None}, False),
+        ({"predicted_activity": 123}, False),
+        ({"evidence": {"a": 1}}, False),
+        ({"evidence": None}, False),
+        ({"evidence": ["x"]}, False),
+        ({"confidence": None}, False),
     ],
 )
 def test_response_schema(spark, change, valid):
@@ -191,6 +196,26 @@ def test_provider_errors_are_rows(spark):
     rows = {r["record_id"]: r for r in visual.validate_or_degrade(visual.classify(df, failing_provider)).collect()}
     assert rows[2]["error"] == "model is down" and rows[2]["result"]["matches_declared"] == "uncertain"
     assert rows[1]["error"] is None and rows[3]["visual_score"] == 30
+    assert "after 2 attempt(s)" in rows[2]["result"]["evidence"] and (rows[1]["attempts"], rows[2]["attempts"]) == (1, 2)
+
+
+def test_invalid_answers_are_asked_again(spark):
+    good = response()
+
+    def hesitant_provider():
+        return lambda row: good if row["attempt"] > row["record_id"] else '{"confidence": 2}'
+
+    df = spark.createDataFrame([(0,), (1,), (2,), (3,)], "record_id long")
+    out = visual.validate_or_degrade(visual.classify(df, hesitant_provider, attempts=3)).collect()
+    assert {r["record_id"]: (r["attempts"], len(r["response_errors"]) == 0) for r in out} == {0: (1, True), 1: (2, True), 2: (3, True), 3: (3, False)}
+    assert [r for r in out if r["record_id"] == 3][0]["result"]["evidence"].startswith("Classifier response invalid after 3 attempt(s): ")
+
+
+def test_stored_hashes_count_whatever_their_ids(spark):
+    stored = photos.stored_hashes(spark.createDataFrame([(100, 7), (60, 1 << 40)], "record_id long, phash long"))
+    new = spark.createDataFrame([(50, 7), (60, 1 << 40), (70, 15), (80, 1 << 20)], "record_id long, phash long")
+    got = {r["record_id"]: r["min_distance"] for r in photos.duplicate_distance(new, stored=stored).collect()}
+    assert got == {50: 0, 60: 4, 70: 1, 80: 2}
 
 
 @pytest.mark.parametrize("index", sorted(C.DID_THRESHOLDS))

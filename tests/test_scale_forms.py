@@ -1,5 +1,6 @@
 """Skew-proof and indexed forms against plain brute force, including hot keys."""
 
+import hashlib
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -191,18 +192,32 @@ def test_bootstrap_properties(spark):
     assert abs(impact.bootstrap_did(treated, long_series(spark, shifted), 2021, draws=20).first()["effect"] - r["effect"]) < 1e-9
 
 
-def test_bootstrap_wide_and_long_forms_agree(spark, monkeypatch):
-    treated = spark.createDataFrame([("N", y, 0.1 * y) for y in range(5)] + [("M", 1, 2.0), ("M", 4, 5.0)], "idx string, year int, value double")
-    rows = [(i, f"c{u}", y, float((u * 7 + y * 3) % 11)) for i in ("N", "M") for u in range(6) for y in range(5) if (u + y) % 4]
-    controls = spark.createDataFrame(rows, "idx string, unit_id string, year int, value double")
-
-    def run():
-        out = impact.bootstrap_effects(treated, controls, 3, draws=40, by=["idx"])
-        return {(r["idx"], r["b"]): round(r["effect"], 9) for r in out.collect()}
-
-    wide = run()
-    monkeypatch.setattr(impact, "WIDE_CELLS", 1)
-    assert wide == run() and len(wide) > 40
+def test_bootstrap_equals_brute_force_per_group(spark):
+    """Groups with different controls, and several rows of one unit and year, which count as their mean."""
+    treated = [("N", y, 0.1 * y) for y in range(5)] + [("M", 1, 2.0), ("M", 4, 5.0)]
+    rows = [(i, f"c{u}", y, float((u * 7 + y * 3) % 11)) for i, n in (("N", 9), ("M", 3)) for u in range(n) for y in range(5) if (u + y) % 4]
+    rows += [("M", "c1", 1, 40.0), ("N", "c2", 0, -3.0), ("N", "c2", 0, -3.0)]
+    out = impact.bootstrap_effects(
+        spark.createDataFrame(treated, "idx string, year int, value double"),
+        spark.createDataFrame(rows, "idx string, unit_id string, year int, value double"), 3, draws=40, by=["idx"],
+    )
+    got = {(r["idx"], r["b"]): r["effect"] for r in out.collect()}
+    want = {}
+    for idx in ("N", "M"):
+        units = sorted({r[1] for r in rows if r[0] == idx})
+        own = {y: v for i, y, v in treated if i == idx}
+        for b in range(40):
+            drawn = [units[int(hashlib.md5(f"42-{b}-{i}".encode()).hexdigest()[:8], 16) % len(units)] for i in range(len(units))]
+            gap = {}
+            for y in own:
+                values = [[r[3] for r in rows if r[:3] == (idx, u, y)] for u in drawn]
+                means = [sum(v) / len(v) for v in values if v]
+                if means:
+                    gap[y] = own[y] - sum(means) / len(means)
+            pre, post = [v for y, v in gap.items() if y < 3], [v for y, v in gap.items() if y >= 3]
+            if pre and post:
+                want[idx, b] = sum(post) / len(post) - sum(pre) / len(pre)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
 def test_missing_controls_and_years_give_notes(spark):
