@@ -57,10 +57,10 @@ def pct_change(t: Tables) -> DataFrame:
    (select o_orderkey, case when month(o_orderdate)>=11 then year(o_orderdate) when month(o_orderdate)<=2 then year(o_orderdate)-1 end y from orders) where y is not null""",
 )
 def season_labels(t: Tables) -> DataFrame:
-    """Dates labelled directly, then given their window by an equi-join with the generated windows."""
-    windows = seasons.dry_season_windows(t.spark, 1990, 2030).withColumnRenamed("year", "season")
-    labelled = t.base("orders").select("o_orderkey", seasons.season_label("o_orderdate").alias("season"))
-    return labelled.where("season is not null").join(windows, "season")
+    """Dates labelled directly, with the window of their season."""
+    season = F.col("season")
+    labelled = t.base("orders").select("o_orderkey", seasons.season_label("o_orderdate").alias("season")).where("season is not null")
+    return labelled.select("o_orderkey", "season", seasons.season_start(season).alias("start"), seasons.season_end(season).alias("end"))
 
 
 @query(

@@ -247,6 +247,7 @@ def control_geometry_join(t: Tables) -> DataFrame:
     "union_registers",
     """select o_orderkey id, 'open' register, o_totalprice amount from orders where o_orderstatus='O'
   union all select o_orderkey, 'closed', o_totalprice from orders where o_orderstatus='F'
+  union all select o_orderkey, 'partial', o_totalprice from orders where o_orderstatus not in ('O','F')
   union all select o_orderkey, 'urgent', null from orders where o_orderpriority='1-URGENT'""",
 )
 def union_registers(t: Tables) -> DataFrame:
@@ -259,6 +260,7 @@ def union_registers(t: Tables) -> DataFrame:
     return records.union_registers(
         register("open", "o_orderstatus='O'", amount),
         register("closed", "o_orderstatus='F'", amount),
+        register("partial", "o_orderstatus not in ('O', 'F')", amount),
         register("urgent", "o_orderpriority='1-URGENT'"),
     )
 

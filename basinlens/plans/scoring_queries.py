@@ -333,11 +333,11 @@ def accuracy_status(t: Tables) -> DataFrame:
 
 @query(
     "class_coverage",
-    """select count(*) n_photos, (select string_agg(gt, ',' order by gt) from (select distinct gt from a_eval where gt not in ('NONE','LS','PT'))) covered, 'LS,PT' missing, true has_distractors
-   from a_eval where gt not in ('LS','PT')""",
+    """select count(*) n_photos, (select string_agg(gt, ',' order by gt) from (select distinct gt from a_eval where gt <> 'NONE')) covered, '' missing, true has_distractors
+   from a_eval""",
 )
 def class_coverage(t: Tables) -> DataFrame:
-    out = evaluation.class_coverage(t.eval.where("gt not in ('LS','PT')"))
+    out = evaluation.class_coverage(t.eval)
     return out.select("n_photos", F.array_join("covered", ",").alias("covered"), F.array_join("missing", ",").alias("missing"), "has_distractors")
 
 
