@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basinlens.session import checkpoint_dir
 
+FEW_LINKS = 300_000  # links (two ids each) that one task joins
 BROADCAST_ROWS = 500_000  # narrow rows (ids, counts, hashes) that a broadcast side may hold
 
 
@@ -86,15 +87,37 @@ def binary_rows(array: pa.Array) -> list[memoryview]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+    nodes = list(parent)
+    for at in range(0, len(nodes), 10_000):
+        some = nodes[at : at + 10_000]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([root(x) for x in some], pa.int64())], ["node", "label"])
+
+
 def connected_components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label) of every node of ``edges`` (a, b): label is the smallest node that links reach.
 
-    Alternates large-star and small-star (Kiveris et al., 2014): the links shrink to
-    stars around the smallest nodes in a logarithmic number of rounds.  Minima are
-    taken by partial aggregation and written, so both sides of each join are plain
-    shuffles of written rows, where AQE splits a node that holds very many links.
+    Few links, at most ``FEW_LINKS`` (a fixed size, not a share), are joined by union-find
+    in one task.  More of them alternate large-star and small-star (Kiveris et al., 2014):
+    they shrink to stars around the smallest nodes in a logarithmic number of rounds.
+    Minima are taken by partial aggregation and written, so both sides of each join are
+    plain shuffles of written rows, where AQE splits a node that holds very many links.
     """
     links = written(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), f"{name}-links")
+    if at_most(links, FEW_LINKS):
+        return written(links.repartition(1).mapInArrow(_union_find, "node bigint, label bigint"), f"{name}-labels")
     before = None
     while True:
         both = links.unionByName(links.selectExpr("b AS a", "a AS b"))
@@ -113,8 +136,17 @@ def connected_components(edges: DataFrame, name: str) -> DataFrame:
 
 
 def per_process(key: str, build: Callable[[], object]) -> object:
-    """``build()``, once per Python worker process: functions that travel by value lose their globals between tasks."""
-    kept = sys.modules.setdefault("_basinlens_process", types.ModuleType("_basinlens_process")).__dict__
-    if key not in kept:
-        kept[key] = build()
-    return kept[key]
+    """``build()``, once per Python worker process: functions that travel by value lose their globals between tasks.
+
+    Only the latest key is kept, so one operator's tables do not stay beside the next one's.
+    """
+    kept = sys.modules.setdefault("_basinlens_process", types.ModuleType("_basinlens_process"))
+    if getattr(kept, "key", None) != key:
+        kept.key, kept.value = key, None
+        kept.value = build()
+    return kept.value
+
+
+def forget_process() -> None:
+    """Let go of what an earlier operator left in this worker process."""
+    per_process("", lambda: None)

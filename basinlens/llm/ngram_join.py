@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basinlens.llm.common import binary_rows, connected_components, sized, stream_groups, total, written
+from basinlens.llm.common import binary_rows, connected_components, forget_process, sized, stream_groups, total, written
 
-TOKENS_PER_RANGE = 4_000_000  # n-grams that one counting group holds, about 100 MB while sorted
+TOKENS_PER_RANGE = 2_000_000  # n-grams that one counting group holds, about 130 MB while sorted
 TOKENS_PER_CELL = 1_000_000  # n-grams that one trie holds; larger groups are cut into cells
 TOKENS_PER_CLUSTER = 300_000  # up to this size, all sets that postings connect meet once, in one trie
-FLUSH = 4_000_000  # n-grams a task packs before it hands them on
+FLUSH = 1_000_000  # n-grams a task packs before it hands them on
 COMMON_SHARE = 256  # an n-gram is common if one in so many sets holds it
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -82,6 +82,7 @@ def _frequent(sets: list[np.ndarray]) -> bytes:
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    forget_process()
     held: list[np.ndarray] = []
     weight = 0
     last = None
@@ -153,6 +154,7 @@ def _deal(batches: Iterator[pa.RecordBatch], size: int, ranges: int, common, top
     where it is negative, the prefix ends within the common n-grams, which are handed on,
     whole hashes, under a negative part.
     """
+    forget_process()
     often = common.value
     keys: list[int] = []
     slacks: list[int] = []
