@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from basinlens import constants as C
 from basinlens.functions.geo import cell, cell_range, haversine_m
@@ -220,13 +221,25 @@ def polygons_meeting(
 
 
 def polygon_sample_points(edges: DataFrame, step: float, key: str = "polygon_id") -> DataFrame:
-    """Centres of the ``step`` grid cells that lie inside each polygon."""
-    box = polygon_boxes(edges, key)
-    half = F.lit(step / 2)
+    """Centres of the grid cells that lie inside each polygon.
+
+    Cells are ``step`` wide, and for a small polygon halved until four span its shorter
+    side, so that none is too small to be seen.
+    """
+    side = F.least(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
+    halvings = F.when(side > 0, F.greatest(F.lit(0.0), F.ceil(F.log2(F.lit(4 * step) / side)))).otherwise(0.0)
+    box = polygon_boxes(edges, key).withColumn("_step", F.lit(step) / F.pow(F.lit(2.0), F.least(halvings, F.lit(20.0))))
+
+    def cells(low: str, high: str) -> Column:
+        return F.sequence(F.floor(F.col(low) / F.col("_step")), F.floor(F.col(high) / F.col("_step")))
+
     # rows first, then columns of a row: the box is never held as one array of cells
-    rows = box.withColumn("_gy", F.explode(cell_range(F.col("ymin"), F.col("ymax"), step)))
-    grid = rows.withColumn("_gx", F.explode(cell_range(F.col("xmin"), F.col("xmax"), step)))
-    centres = grid.select(key, (F.col("_gx") * step + half).alias("lon"), (F.col("_gy") * step + half).alias("lat"))
+    rows = box.withColumn("_gy", F.explode(cells("ymin", "ymax")))
+    grid = rows.withColumn("_gx", F.explode(cells("xmin", "xmax")))
+    half = F.col("_step") / 2
+    centres = grid.select(
+        key, (F.col("_gx") * F.col("_step") + half).alias("lon"), (F.col("_gy") * F.col("_step") + half).alias("lat")
+    )
     return flag_inside_own_polygon(centres, edges, key, step * 16).where("inside").drop("inside")
 
 
@@ -240,8 +253,8 @@ def assign_largest_overlap(
 ) -> DataFrame:
     """Region sharing most area with each candidate, null where none does.
 
-    Area is counted in grid cells of ``step``; equal counts go to the region listed
-    first in ``region_order`` (key, pos).
+    Area is counted in grid cells of ``step``, or finer ones for small candidates; equal
+    counts go to the region listed first in ``region_order`` (key, pos).
     """
     points = polygon_sample_points(candidates, step, key).withColumnRenamed(key, "candidate_id")
     shared = points_in_polygons(points, regions, cell_size, key).groupBy("candidate_id", key).agg(F.count(F.lit(1)).alias("n"))
@@ -280,17 +293,24 @@ def near_pairs(
     """(place, pixel, dist_m) within ``radius_m``; both sides need lon and lat.
 
     Grid cells are as high as the radius; in longitude a place is listed under as many
-    cells as the radius spans at its latitude, so the join is exact up to the poles' caps.
+    cells as the radius spans at its latitude, and again a full turn away where that
+    crosses 180 degrees, so the join is exact up to the poles' caps.
     """
     step = radius_m / C.M_PER_DEG_LAT * 1.01
     margin_lon = F.least(F.lit(360.0), F.lit(step) / F.greatest(F.cos(F.radians(F.abs("lat") + step)), F.lit(1e-6)))
-    xs = cell_range(F.col("lon") - margin_lon, F.col("lon") + margin_lon, step)
+    west, east = F.col("lon") - margin_lon, F.col("lon") + margin_lon
+    none = F.array().cast("array<bigint>")
+    xs = F.concat(
+        cell_range(west, east, step),
+        F.when(west < -180, cell_range(west + 360, east + 360, step)).otherwise(none),
+        F.when(east > 180, cell_range(west - 360, east - 360, step)).otherwise(none),
+    )
     ys = cell_range(F.col("lat") - step, F.col("lat") + step, step)
     spread = places.select(
         place_key,
         F.col("lon").alias("_plon"),
         F.col("lat").alias("_plat"),
-        F.explode(xs).alias("xcell"),
+        F.explode(F.array_distinct(xs)).alias("xcell"),
         ys.alias("_ys"),
     ).withColumn("ycell", F.explode("_ys")).drop("_ys")
     located = pixels.select(pixel_key, "lon", "lat", cell("lon", step).alias("xcell"), cell("lat", step).alias("ycell"))
@@ -321,10 +341,9 @@ def build_zones(
     "inside another place's disc": one pixel list, not a test per pair of places.
     """
     pairs = near_pairs(places, pixels, outer_m, place_key, pixel_key)
-    zoned = pairs.withColumn(
-        "zone",
-        F.when(F.col("dist_m") <= treated_m, "treated").when(F.col("dist_m") >= inner_m, "control"),
-    ).where("zone is not null")
-    taken = pairs.where(F.col("dist_m") <= treated_m).select(pixel_key).distinct().withColumn("_taken", F.lit(True))
-    kept = zoned.join(taken, pixel_key, "left").where("zone = 'treated' or _taken is null")
+    nearest = F.min("dist_m").over(W.partitionBy(pixel_key))  # a pixel meets the places within the outer radius
+    zone = F.when(F.col("dist_m") <= treated_m, "treated").when(
+        (F.col("dist_m") >= inner_m) & (F.col("_nearest") > treated_m), "control"
+    )
+    kept = pairs.withColumn("_nearest", nearest).withColumn("zone", zone).where("zone is not null")
     return kept.select(place_key, pixel_key, "zone")

@@ -254,3 +254,28 @@ def test_hot_pixels_have_the_same_medians(spark):
     assert plain[5]["mndwi"] is None and plain[0]["clear_obs"] > 1300
     coarse = {r["pixel_id"]: r["ndvi"] for r in raster.hot_medians(clear, ["pixel_id"], steps=4).collect()}
     assert all(abs(coarse[p] - a["ndvi"]) < 1e-12 for p, a in plain.items())
+
+
+def square(key, x, y, w):
+    corners = [(x, y), (x + w, y), (x + w, y + w), (x, y + w), (x, y)]
+    return [(key, 0, 0, i, *a, *b) for i, (a, b) in enumerate(zip(corners, corners[1:]))]
+
+
+EDGE_SCHEMA = "polygon_id string, part int, ring int, edge int, x1 double, y1 double, x2 double, y2 double"
+
+
+def test_small_polygons_find_their_region(spark):
+    """Candidates far smaller than the grid step, one between cell centres and one across two regions."""
+    candidates = spark.createDataFrame(square("tiny", 0.011, 0.012, 0.001) + square("both", 0.996, 0.3, 0.01), EDGE_SCHEMA)
+    regions = spark.createDataFrame(square("A", 0.0, 0.0, 1.0) + square("B", 1.0, 0.0, 1.0), EDGE_SCHEMA)
+    order = spark.createDataFrame([("A", 1), ("B", 2)], "polygon_id string, pos int")
+    got = {r["candidate_id"]: r["region_id"] for r in spatial.assign_largest_overlap(candidates, regions, order, 0.1, 0.25).collect()}
+    assert got == {"tiny": "A", "both": "B"}
+
+
+def test_zones_across_180_degrees(spark):
+    places = spark.createDataFrame([("p", 179.9999, 10.0), ("q", -179.9999, 60.0)], "place_id string, lon double, lat double")
+    pixels = spark.createDataFrame([(1, -179.9999, 10.0), (2, 179.9999, 60.0), (3, 0.0, 10.0)], "pixel_id int, lon double, lat double")
+    got = {(r["place_id"], r["pixel_id"]) for r in spatial.near_pairs(places, pixels, 50.0, "place_id", "pixel_id").collect()}
+    assert got == {("p", 1), ("q", 2)}
+    assert {(r["place_id"], r["zone"]) for r in spatial.build_zones(places, pixels).collect()} == {("p", "treated"), ("q", "treated")}
