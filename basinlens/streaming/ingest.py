@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from basinlens.operators.integrity import ingest
 from basinlens.operators.photos import stored_hashes
+from basinlens.operators.records import upsert_into
 
 
 def _earlier_batches(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
@@ -37,9 +38,11 @@ def ingest_batch(
     now,
     blocks: int | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """``foreachBatch`` body.  Writes ``out/scored``, ``out/quarantine`` and ``out/hashes``.
+    """``foreachBatch`` body.  Writes ``out/scored``, ``out/quarantine`` and ``out/hashes``, a folder per batch.
 
-    Record ids grow with arrival, so "stored before" is "smaller id or earlier batch".
+    Also keeps ``out/records``, one row per record: a record sent again replaces its row.
+    Photos stored by earlier batches count whatever their record's id is; within a batch
+    a smaller id counts as stored before.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -49,7 +52,9 @@ def ingest_batch(
         scored, rejected = ingest(batch, watersheds, edges, photos, now, stored=history, blocks=blocks)
         _write(scored, f"{out}/scored", batch_id)
         _write(rejected, f"{out}/quarantine", batch_id)
-        accepted = spark.read.parquet(f"{out}/scored/batch_id={batch_id}").select("record_id")
+        written = spark.read.parquet(f"{out}/scored/batch_id={batch_id}")
+        upsert_into(f"{out}/records", written.withColumn("batch_id", F.lit(batch_id)), ["record_id"], ["batch_id"])
+        accepted = written.select("record_id")
         _write(stored_hashes(photos.join(accepted, "record_id", "left_semi")), f"{out}/hashes", batch_id)
         batch.unpersist()
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import pathlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -179,3 +180,22 @@ def test_nested_series_documents(spark):
 def test_stored_hash_counts(spark):
     df = spark.createDataFrame([(3, 7), (1, 7), (2, None)], "record_id long, phash long")
     assert [tuple(r) for r in photos.stored_hashes(df).collect()] == [(7, 1, 3, 2)]
+
+
+def test_keyed_table_keeps_one_row_per_key(spark, folder):
+    path = f"{folder}/keyed"
+
+    def rows(*values):
+        return spark.createDataFrame(values, "id long, v int, t string")
+
+    records.upsert_into(path, rows(*[(i, 1, "a") for i in range(50)]), ["id"], ["v"], buckets=8)
+    before = {p.name: [f.name for f in p.iterdir()] for p in pathlib.Path(path).iterdir() if p.is_dir()}
+    change = rows((7, 2, "b"), (7, 3, "c"), (8, 0, "old"), (99, 1, "new"))
+    records.upsert_into(path, change, ["id"], ["v"], buckets=8)
+    records.upsert_into(path, change, ["id"], ["v"], buckets=8)
+    records.upsert_into(path, rows().limit(0), ["id"], ["v"], buckets=8)
+    got = {r["id"]: (r["v"], r["t"]) for r in spark.read.parquet(path).collect()}
+    assert spark.read.parquet(path).count() == 51
+    assert got[7] == (3, "c") and got[8] == (1, "a") and got[99] == (1, "new")
+    after = {p.name: [f.name for f in p.iterdir()] for p in pathlib.Path(path).iterdir() if p.is_dir()}
+    assert sum(before.get(k) == v for k, v in after.items()) >= 5  # untouched folders keep their files
