@@ -26,9 +26,9 @@ from pyspark.sql import functions as F
 
 from basinlens.llm.common import per_process
 
-CACHED_PIECES = 400_000  # encodings of pieces that a worker process keeps, per generation (two are kept)
-CACHED_PREFIXES = 600_000  # last tokens of prefixes that several pieces may share
-CACHED_PAIRS = 600_000
+CACHED_PIECES = 300_000  # encodings of pieces that a worker process keeps, per generation (two are kept)
+CACHED_PREFIXES = 300_000  # last tokens of prefixes that several pieces may share
+CACHED_PAIRS = 400_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

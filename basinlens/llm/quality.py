@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinlens.llm.common import binary_rows, sized, written
+from basinlens.llm.common import binary_rows, forget_process, sized, written
 
 MAX_TRAINING = 20_000  # labelled documents the regression is fitted on, smallest key hash first
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -48,6 +48,7 @@ def text_features(data: bytes) -> list[float]:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    forget_process()
     for batch in batches:
         values = np.array([text_features(bytes(t)) for t in binary_rows(batch.column("_text"))]).reshape(-1, len(FEATURES))
         at = batch.schema.get_field_index("_text")

@@ -29,9 +29,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from basinlens.llm.byte_bpe import CACHED_PIECES, PATTERN, Splitter
+from basinlens.llm.byte_bpe import PATTERN, Splitter
 from basinlens.llm.common import per_process
 
+CACHED_PIECES = 400_000  # as in byte_bpe
 NULL_ID = -(1 << 63)
 BATCH = 10_000  # documents per batch when reading
 
