@@ -14,6 +14,7 @@ dealt to, so nothing but documents is shuffled.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -28,31 +29,43 @@ SPACE = "[\\x20\\x09-\\x0D]+"
 
 def sample_key(word: str, log_weight: str, k: int) -> Column:
     """The key of sample ``k`` for a word hash and the logarithm of its weight (columns by name)."""
-    # 16-bit uniforms in the open unit interval; -ln(u * v) is Gamma(2, 1)
-    g = f"xxhash64({word}, {k})"
-    h = f"xxhash64({k}, {word})"
+    g, h = f"xxhash64({word}, {k})", f"xxhash64({k}, {word})"
 
     def uniform(source: str, at: int) -> str:
+        """65536 times a uniform variate of the open unit interval, from 16 bits."""
         return f"((shiftrightunsigned({source}, {at}) & 65535) + 0.5D)"
 
-    r = f"(22.180709777918249D - ln({uniform(g, 0)} * {uniform(g, 16)}))"  # 2 ln 65536
+    bits = f"{2 * math.log(65536)!r}D"
+    r = f"({bits} - ln({uniform(g, 0)} * {uniform(g, 16)}))"  # -ln(u * v) is Gamma(2, 1)
     b = f"({uniform(g, 32)} / 65536D)"
-    log_c = f"ln(22.180709777918249D - ln({uniform(h, 0)} * {uniform(h, 16)}))"
-    return F.expr(f"{log_c} - {r} * (floor({log_weight} / {r} + {b}) - {b} + 1D)")
+    c = f"({bits} - ln({uniform(h, 0)} * {uniform(h, 16)}))"
+    # a word that occurs once has t = 0
+    step = f"CASE WHEN {log_weight} = 0D THEN {r} * (1D - {b}) ELSE {r} * (floor({log_weight} / {r} + {b}) - {b} + 1D) END"
+    return F.expr(f"ln({c}) - {step}")
 
 
-def add_samples(texts: DataFrame, keys: Sequence[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """(keys..., samples array<int>) per row of ``texts``; rows must be distinct in ``keys``.
+def least_keys(weights: DataFrame, keys: Sequence[str], samples: int = SAMPLES) -> DataFrame:
+    """(keys..., _0, _1, ...): the smallest keys over words ``_w`` with logarithms of weights ``_l``."""
+    return weights.groupBy(*keys).agg(*[F.min(sample_key("_w", "_l", k)).alias(f"_{k}") for k in range(samples)])
 
-    Where ``texts`` is dealt by some of ``keys`` already, there is no further shuffle.  A
-    text without words has samples that are null.
+
+def as_samples(names: Sequence[str]) -> Column:
+    """Keys folded to 31 bits each; null where there were no words."""
+    return F.array(*[F.when(F.col(n).isNotNull(), F.xxhash64(n).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")) for n in names])
+
+
+def words_of(text: Column) -> Column:
+    return F.explode(F.split(F.lower(text), SPACE))
+
+
+def fingerprint(texts: DataFrame, keys: Sequence[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """(keys..., samples array<int>) of every text with words; rows must be distinct in ``keys``.
+
+    Where ``texts`` is dealt by some of ``keys`` already, there is no further shuffle.
     """
-    words = texts.select(*keys, F.explode_outer(F.split(F.lower(text), SPACE)).alias("_w"))
-    hashed = words.select(*keys, F.when(F.col("_w") != "", F.xxhash64("_w")).alias("_w"))
-    weights = hashed.groupBy(*keys, "_w").agg(F.ln(F.count(F.lit(1)).cast("double")).alias("_l"))
-    least = weights.groupBy(*keys).agg(*[F.min(F.when(F.col("_w").isNotNull(), sample_key("_w", "_l", k))).alias(f"_{k}") for k in range(samples)])
-    folded = [F.when(F.col(f"_{k}").isNotNull(), F.xxhash64(f"_{k}").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias(f"_{k}") for k in range(samples)]
-    return least.select(*keys, *folded).select(*keys, F.array(*[F.col(f"_{k}") for k in range(samples)]).alias("samples"))
+    words = texts.select(*keys, words_of(F.col(text)).alias("_w")).where("_w <> ''").select(*keys, F.xxhash64("_w").alias("_w"))
+    weights = words.groupBy(*keys, "_w").agg(F.ln(F.count(F.lit(1)).cast("double")).alias("_l"))
+    return least_keys(weights, keys, samples).select(*keys, as_samples([f"_{k}" for k in range(samples)]).alias("samples"))
 
 
 def as_text(samples: Column) -> Column:
@@ -105,18 +118,38 @@ def fingerprint_with_edits(docs: DataFrame, key: str = "doc_id", text: str = "te
         F.col("to1").alias("k1"), F.col("to2").alias("k2"), F.expr("left(text, q)").alias("piece")
     )
     both = texts.join(links.select("k1", "k2", "n", "q").hint("merge"), ["k1", "k2"]).join(pieces.hint("merge"), ["k1", "k2"])
-    edited = both.select("k1", "k2", "text", F.concat(F.expr("left(text, n - q)"), "piece").alias("edited"))
-    pairs = edited.select("k1", "k2", F.explode(F.array(
-        F.struct(F.lit(0).alias("kind"), F.col("text").alias("body"), F.lit(None).cast("string").alias("sha")),
-        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("body"), F.sha2("edited", 256).alias("sha")),
-    )).alias("v")).select("k1", "k2", "v.*")
-    signed = add_samples(pairs, ["k1", "k2", "kind", "sha"], "body", samples)
-    signed = signed.groupBy("k1", "k2").agg(
-        F.max("sha").alias("edited_sha256"),
-        F.max(F.when(F.col("kind") == 0, F.struct("samples"))).alias("own"),
-        F.max(F.when(F.col("kind") == 1, F.struct("samples"))).alias("other"),
+    head = F.expr("left(text, n - q)")
+    hashed = both.select("k1", "k2", F.sha2(F.concat(head, "piece"), 256).alias("edited_sha256"))
+    # both texts share the words before the last one of the kept part: those are counted once
+    same = F.regexp_extract(head, f"(?s)^(.*{SPACE[:-1]})", 1)
+    cut = both.withColumn("same", same).withColumn("rest", F.expr("substring(text, length(same) + 1, n - q - length(same))"))
+    parts = cut.select("k1", "k2", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.col("same").alias("body")),
+        F.struct(F.lit(1).alias("part"), F.expr("substring(text, length(same) + 1)").alias("body")),
+        F.struct(F.lit(2).alias("part"), F.concat("rest", "piece").alias("body")),
+    )).alias("v")).select("k1", "k2", "v.part", "v.body")
+    words = parts.select("k1", "k2", "part", words_of(F.col("body")).alias("_w")).where("_w <> ''")
+    counts = words.select("k1", "k2", F.xxhash64("_w").alias("_w"), "part").groupBy("k1", "k2", "_w").agg(
+        F.count_if(F.col("part") < 2).alias("own"), F.count_if(F.col("part") != 1).alias("other")
+    )
+    # which texts a weight counts for: 1 the text, 2 the edited one, 3 both
+    logs = [F.struct(F.lit(mask).alias("mask"), F.ln(F.col(c).cast("double")).alias("_l")) for mask, c in ((1, "own"), (2, "other"), (3, "own"))]
+    uses = F.when(F.col("own") == F.col("other"), F.array(logs[2])).when(F.col("other") == 0, F.array(logs[0])).when(
+        F.col("own") == 0, F.array(logs[1])
+    ).otherwise(F.array(logs[0], logs[1]))
+    weights = counts.select("k1", "k2", "_w", F.explode(uses).alias("v")).select("k1", "k2", "_w", "v.mask", "v._l")
+    least = least_keys(weights, ["k1", "k2", "mask"], samples)
+    names = [f"_{k}" for k in range(samples)]
+    both_keys = least.groupBy("k1", "k2").agg(
+        *[F.min(F.when(F.col("mask") != 2, F.col(n))).alias(f"a{n}") for n in names],
+        *[F.min(F.when(F.col("mask") != 1, F.col(n))).alias(f"b{n}") for n in names],
+    )
+    signed = both_keys.select("k1", "k2", as_samples([f"a{n}" for n in names]).alias("own"), as_samples([f"b{n}" for n in names]).alias("other"))
+    none = F.array_repeat(F.lit(None).cast("int"), samples)
+    signed = hashed.join(signed, ["k1", "k2"], "left").select(
+        "k1", "k2", "edited_sha256", F.coalesce("own", none).alias("own"), F.coalesce("other", none).alias("other")
     )
-    signed = written(signed.select("k1", "k2", "edited_sha256", F.col("own.samples").alias("own"), F.col("other.samples").alias("other")), "samples")
+    signed = written(signed, "samples")
     placed = links.join(signed, ["k1", "k2"])
     following = signed.select(F.col("k1").alias("next1"), F.col("k2").alias("next2"), F.col("own").alias("next"))
     out = placed.join(following, ["next1", "next2"])
