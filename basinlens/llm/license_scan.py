@@ -1,16 +1,18 @@
 """Licence statements in documents, by a trained paragraph classifier.
 
-Paragraphs (lines) that hold a word no licence statement does without are reduced to words
-and classified by a sparse logistic regression on word n-grams, trained on the labelled
-table below; one of its classes is "unknown".  Its probabilities are calibrated by a
-temperature chosen on held-out rows.  A family is confirmed when the paragraph shares
-enough n-grams with one of the family's statements.  Equal paragraphs are judged once.
+Lines, and blocks of lines between blank ones joined, are reduced to words and classified
+by a sparse logistic regression on word n-grams, trained on the labelled table below; one
+of its classes is "unknown".  Its probabilities are calibrated by a temperature chosen on
+held-out rows.  A family is confirmed when the paragraph shares enough n-grams with one of
+the family's statements.  Only what shares no word with any statement, function words
+aside, is left out.  Equal paragraphs are judged once.
 Everything is DataFrame expressions and Spark's own regression.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -18,6 +20,7 @@ from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from basinlens.llm.common import sized, written
 
@@ -25,9 +28,11 @@ UNKNOWN = "unknown"
 FEATURES = 1 << 13
 SHARE = 0.6  # of the n-grams of a statement, or of the paragraph, that both have
 LEAST = 3  # n-grams that both have
+CONTAINED = 0.8  # of the n-grams of a statement, in a block of lines that is judged otherwise as a whole
 
-#: Every statement of a family holds one of these; fixed values.
-ANCHORS = ["licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "spdx", "rights reserved", "reproduced"]
+#: Parts of words; what holds one is judged whether or not it shares a word with a statement.  Fixed values.
+ANCHORS = ["licen", "copyright", "permission", "redistribut", "public domain", "creative commons", "spdx", "rights reserved", "reproduced",
+           "warranty", "vorbehalten", "droits", "derechos"]
 
 #: The labelled table; wordings of licence notices are fixed values.
 STATEMENTS: dict[str, list[str]] = {
@@ -39,6 +44,8 @@ STATEMENTS: dict[str, list[str]] = {
         "SPDX-License-Identifier: MIT",
         "Distributed under the MIT License. See LICENSE for more information.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+        "The software is provided as is, without warranty of any kind, express or implied",
+        "Provided as is, without warranty of any kind.",
         "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ],
     "Apache": [
@@ -107,6 +114,9 @@ STATEMENTS: dict[str, list[str]] = {
     ],
     "reserved": [
         "All rights reserved.",
+        "Alle Rechte vorbehalten.",
+        "Tous droits réservés.",
+        "Todos los derechos reservados.",
         "Copyright by the author. All rights reserved.",
         "No part of this publication may be reproduced without the prior written permission of the publisher.",
     ],
@@ -134,6 +144,18 @@ STATEMENTS: dict[str, list[str]] = {
     ],
 }
 
+#: Words that are no sign of a statement by themselves.
+FUNCTION_WORDS = set(
+    "a all alle an and any are as at be by can been do for from have has here if in including is it its later los may more must no not of on only "
+    "or other out should shall so some that the their they this to under was were which who with you your".split()
+)
+
+
+def telling_words() -> list[str]:
+    """The words of the families' statements but function words, single letters and numbers."""
+    words = {w for f, ts in STATEMENTS.items() if f != UNKNOWN for t in ts for w in re.split(r"[\W_]+", t.lower())}
+    return sorted(w for w in words - FUNCTION_WORDS if len(w) > 1 and not w.isdigit())
+
 
 def words_of(text: Column) -> Column:
     """Lower-cased words of letters and digits."""
@@ -146,7 +168,7 @@ def ngrams_of(words: Column, sizes: tuple[int, ...] = (1, 2, 3)) -> Column:
 
     def grams_of(n: int) -> Column:
         starts = F.sequence(F.lit(1), count - (n - 1))
-        return F.when(count >= n, F.transform(starts, lambda i: F.concat_ws(" ", F.slice(words, i, n)))).otherwise(
+        return F.when(count >= n, F.transform(starts, lambda i: F.concat_ws(" ", *(F.get(words, i + (j - 1)) for j in range(n))))).otherwise(
             F.array().cast("array<string>")
         )
 
@@ -194,48 +216,97 @@ def train(spark: SparkSession) -> tuple[LogisticRegressionModel, float]:
     return regression.fit(features), losses[best][1]
 
 
+def _lines_and_blocks(docs: DataFrame) -> DataFrame:
+    """(_row, _key, start, line, whole, _line) of docs (_key, _text): each line, and each block of several lines as a whole.
+
+    ``start`` is the first line of the block, which blank lines or the text's ends bound.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), "_key", F.split("_text", "\n").alias("_lines"))
+    rows = rows.withColumn("_filled", F.transform("_lines", lambda x: x.rlike("[\\p{L}\\p{N}\\p{P}\\p{S}]")))
+    places = F.sequence(F.lit(1), F.size("_filled"))
+    filled = lambda i: F.coalesce(F.get("_filled", i - 1), F.lit(False))
+    rows = rows.select(
+        "_row",
+        "_key",
+        "_lines",
+        F.filter(places, lambda i: filled(i) & ~filled(i - 1)).alias("_first"),
+        F.filter(places, lambda i: filled(i) & ~filled(i + 1)).alias("_last"),
+    )
+    line_of = lambda b: F.transform(F.sequence(b["_first"], b["_last"]), lambda i: F.get("_lines", i - 1))
+    bounds = F.transform(F.arrays_zip("_first", "_last"), lambda b: F.struct((b["_first"] - 1).alias("start"), line_of(b).alias("_block")))
+    blocks = rows.select("_row", "_key", F.inline(bounds))
+
+    def unit(line: Column, whole: bool, text: Column) -> Column:
+        return F.struct(line.cast("int").alias("line"), F.lit(whole).alias("whole"), text.alias("_line"))
+
+    single = F.transform("_block", lambda x, i: unit(F.col("start") + i, False, x))
+    joined = F.array(unit(F.col("start"), True, F.array_join("_block", " ")))
+    return blocks.select("_row", "_key", "start", F.inline(F.when(F.size("_block") > 1, F.concat(single, joined)).otherwise(single)))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, line, family, chance, overlap, confirmed) for every line of every text that holds an anchor.
+    """(key, line, family, chance, overlap, confirmed) for every line of every text that shares a telling word with a statement.
 
     ``family`` is the most probable class, ``unknown`` among them; ``chance`` its calibrated
     probability; ``overlap`` is the largest share of common n-grams with a statement of
     the family; ``confirmed`` says whether that is enough to count.  Lines are numbered from
-    0.  Null and empty texts have no lines with anchors and give no row; a null key stays
-    null; repeated rows are all scanned; an empty table gives an empty result.  Other
-    columns are ignored.
+    0.  A statement over several lines has a row at the first line of its block (lines
+    between blank ones) if no line of the block is confirmed for its family alone; in a
+    longer block its family is that of the statement which the block holds.  Null and
+    empty texts have no lines and give no row; a null key stays null; repeated rows are
+    all scanned; an empty table gives an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
     model, temperature = train(spark)
     families = list(STATEMENTS)
+    telling = F.lit(telling_words())
 
-    def anchored(column: str) -> Column:
-        return reduce(lambda a, b: a | b, [F.lower(column).contains(a) for a in ANCHORS])
+    def judged_at_all(column: str, words: Column) -> Column:
+        return reduce(lambda a, b: a | b, [F.lower(column).contains(a) for a in ANCHORS]) | F.arrays_overlap(words, telling)
 
     source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
-    lines = source.where(anchored("_text")).select("_key", F.posexplode(F.split("_text", "\n")).alias("line", "_line"))
-    lines = lines.where(anchored("_line")).select("_key", "line", F.concat_ws(" ", words_of(F.col("_line"))).alias("words"))
+    source = source.where(judged_at_all("_text", F.split(F.lower("_text"), "[^\\p{L}\\p{N}]+")))
+    lines = _lines_and_blocks(source).withColumn("_words", words_of(F.col("_line"))).where(judged_at_all("_line", F.col("_words")))
+    lines = lines.withColumn("words", F.concat_ws(" ", "_words")).withColumn("_hash", F.sha2("words", 256)).drop("_words", "_line")
     lines = written(lines, "lines")
-    paragraphs = lines.select("words").distinct().withColumn("grams", ngrams_of(F.split("words", " ")))
-    judged = _probabilities(model, written(paragraphs, "paragraphs"), temperature)
+    paragraphs = lines.select("_hash", "words").distinct().select("_hash", F.split("words", " ").alias("_words"))
+    paragraphs = paragraphs.select("_hash", ngrams_of(F.col("_words")).alias("grams"))
+    judged = _probabilities(model, paragraphs, temperature)
     names = F.lit(families)
     place = F.array_position("p", F.array_max("p")).cast("int")
-    judged = judged.select("words", "grams", names[place - 1].alias("family"), F.array_max("p").alias("chance"))
+    # the statements are the labelled table's, a few hundred n-grams each; of the paragraphs' n-grams only theirs are kept
+    statements = written(labelled_rows(spark).where(F.col("family") != UNKNOWN), "families")
+    known = F.lit(sorted(r[0] for r in statements.select(F.explode("grams")).distinct().collect()))
+    judged = judged.select("_hash", F.array_intersect("grams", known).alias("grams"), F.size("grams").alias("n"), names[place - 1].alias("family"), "p")
     judged = written(judged, "judged")
-
-    # the statements are the labelled table's, a few hundred n-grams each
-    statements = labelled_rows(spark).where(F.col("family") != UNKNOWN).select("id", "family", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
-    shared = judged.select("words", "family", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(
-        F.broadcast(statements), ["family", "gram"]
-    )
-    overlaps = shared.groupBy("words", "id").agg(
-        F.count(F.lit(1)).alias("common"), F.first("n").alias("n"), F.first("own").alias("own")
-    )
-    ratio = F.when(F.col("common") >= LEAST, F.col("common") / F.least("n", "own")).otherwise(F.lit(0.0))
-    overlaps = overlaps.groupBy("words").agg(F.max(ratio).alias("overlap"))
-    verdicts = judged.join(overlaps, "words", "left").select(
-        "words", "family", "chance", F.coalesce("overlap", F.lit(0.0)).alias("overlap")
+    statements = statements.select("id", F.col("family").alias("of"), "label", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
+    shared = judged.select("_hash", "family", "n", F.explode("grams").alias("gram")).join(F.broadcast(statements), "gram")
+    overlaps = shared.groupBy("_hash", "id").agg(
+        F.count(F.lit(1)).alias("common"), *(F.first(c).alias(c) for c in ("n", "own", "family", "of", "label"))
     )
+    enough = F.col("common") >= LEAST
+    full = F.when(enough & (F.col("of") == F.col("family")), F.col("common") / F.col("own"))
+    ratio = F.when(enough & (F.col("of") == F.col("family")), F.col("common") / F.least("n", "own"))
+    held = F.when(enough, F.struct((F.col("common") / F.col("own")).alias("share"), "own", "of", "label"))
+    overlaps = overlaps.groupBy("_hash").agg(F.max(ratio).alias("overlap"), F.max(full).alias("full"), F.max(held).alias("held"))
+    verdicts = judged.join(overlaps, "_hash", "left").select(
+        "_hash", "family", F.array_max("p").alias("chance"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
+        F.coalesce("full", F.lit(0.0)).alias("full"), "held.share", "held.of", F.col("p")[F.col("held.label").cast("int")].alias("of_chance"),
+    )
     verdicts = written(verdicts, "verdicts")
-    out = lines.join(sized(verdicts, 50_000), "words")
+    out = lines.drop("words").join(sized(verdicts, 50_000), "_hash")
     confirmed = (F.col("family") != UNKNOWN) & (F.col("overlap") >= SHARE)
-    return out.select(F.col("_key").alias(key), "line", "family", "chance", "overlap", confirmed.alias("confirmed"))
+    instead = F.col("whole") & ~confirmed & (F.coalesce("share", F.lit(0.0)) >= CONTAINED)
+    out = out.withColumns({
+        "confirmed": confirmed | instead,
+        "family": F.when(instead, F.col("of")).otherwise(F.col("family")),
+        "chance": F.when(instead, F.col("of_chance")).otherwise(F.col("chance")),
+        "overlap": F.when(instead, F.col("share")).otherwise(F.col("overlap")),
+    })
+    alone = F.max(~F.col("whole") & F.col("confirmed")).over(W.partitionBy("_row", "start", "family"))
+    out = out.withColumn("_alone", alone).where(~F.col("whole") | (F.col("confirmed") & ~F.col("_alone")))
+    # pieces of a statement that stays as a block are no statements of other families
+    piece = ~F.col("whole") & F.max("whole").over(W.partitionBy("_row", "start")) & (F.col("full") < SHARE)
+    out = out.withColumn("_piece", piece).where(~F.col("_piece") | (F.col("line") > F.col("start")))
+    out = out.withColumn("confirmed", F.col("confirmed") & ~F.col("_piece"))
+    return out.select(F.col("_key").alias(key), "line", "family", "chance", "overlap", "confirmed")

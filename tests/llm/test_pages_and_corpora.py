@@ -109,6 +109,22 @@ def test_licences(spark):
     assert license_scan.scan(frame.limit(0)).collect() == []
 
 
+def test_licences_without_anchors_and_over_lines(spark):
+    telling = set(license_scan.telling_words())
+    statements = [t for f, ts in license_scan.STATEMENTS.items() if f != license_scan.UNKNOWN for t in ts]
+    assert all(telling & set(re.split(r"[\W_]+", t.lower())) for t in statements)
+    plain = ["Released under CC BY-SA 4.0", "GPL-3.0-or-later", "Released under the GPL, version 2 or later", "Provided as is, without warranty of any kind",
+             "Alle Rechte vorbehalten"]
+    prose = "\n".join(f"w{i} of the w{i + 1} and w{i + 2}" for i in range(60))
+    wrapped = "This work is licensed under the\nGNU General Public\nLicense, version 3."
+    texts = [*plain, wrapped, f"{prose}\n{wrapped}\n{prose}", f"{prose}\n\n  \n{wrapped}\n\n{prose}", prose, "Her work was of the\nfree kind in the town"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.line): r.family for r in license_scan.scan(frame).collect() if r.confirmed}
+    assert [got.get((i, 0)) for i in range(5)] == ["CC-BY-SA", "GPL", "GPL", "MIT", "reserved"]
+    assert {k[0] for k, family in got.items() if family == "GPL"} == {1, 2, 5, 6, 7} and not {k[0] for k in got} & {8, 9}
+    assert (got[5, 0], got[7, 62]) == ("GPL", "GPL")
+
+
 def bag(text):
     return collections.Counter(w for w in re.split("[\x20\x09-\x0d]+", text.lower()) if w)
 
