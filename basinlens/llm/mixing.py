@@ -48,14 +48,15 @@ def pfair_order(blocks: list[int]) -> np.ndarray:
     return order
 
 
-def lengths(counts: list[int], weights: list[float], max_passes: float) -> list[int]:
+def lengths(counts: list[int], weights: list[float], max_passes: float | None) -> list[int]:
     """Rows each source gives: the shortest mixture in which every document appears, at the target weights.
 
-    A source that would have to be repeated more than ``max_passes`` times gives that much.
+    With ``max_passes``, a source that would have to be repeated more often gives that much.
     """
     total = sum(weights)
     rows = max(n * total / w for n, w in zip(counts, weights, strict=True))
-    return [max(n, round(min(rows * w / total, max_passes * n))) for n, w in zip(counts, weights, strict=True)]
+    most = float("inf") if max_passes is None else max_passes
+    return [max(n, round(min(rows * w / total, most * n))) for n, w in zip(counts, weights, strict=True)]
 
 
 def _groups(docs: DataFrame, source: str, weights: Mapping[str | None, float] | None, power: float) -> list[tuple[str, int, float]]:
@@ -78,12 +79,29 @@ def _groups(docs: DataFrame, source: str, weights: Mapping[str | None, float] |
     return top
 
 
+def shares(
+    docs: DataFrame,
+    source: str = "source",
+    weights: Mapping[str | None, float] | None = None,
+    power: float = 0.75,
+    max_passes: float | None = None,
+) -> DataFrame:
+    """(source, pool, documents, rows, target, reached) of the mixture that ``mix`` makes: shares of its rows, by weight and in fact."""
+    groups = _groups(docs, source, weights, power)
+    rows = lengths([n for _, n, _ in groups], [w for *_, w in groups], max_passes) if groups else []
+    total = sum(w for *_, w in groups)
+    out = [
+        (g[1:] if g.startswith("=") else None, g == POOL, n, r, w / total, r / sum(rows)) for (g, n, w), r in zip(groups, rows, strict=True)
+    ]
+    return docs.sparkSession.createDataFrame(out, "source string, pool boolean, documents bigint, rows bigint, target double, reached double")
+
+
 def mix(
     docs: DataFrame,
     source: str = "source",
     weights: Mapping[str | None, float] | None = None,
     power: float = 0.75,
-    max_passes: float = 4.0,
+    max_passes: float | None = None,
     block_rows: int = 64,
     ordered: bool = False,
 ) -> DataFrame:
@@ -92,8 +110,9 @@ def mix(
     ``weights`` maps sources to target weights; sources without one form a pool at its
     natural share.  By default a source with n documents weighs ``n ** power``, which
     brings small sources up.  Every document appears at least once; sources below their
-    weight start over (``pass_no`` from 0), at most ``max_passes`` times in all.  Position
-    numbers the mixture from 0 without gaps; ``ordered`` also writes it in that order.
+    weight start over (``pass_no`` from 0) as often as their weight asks; ``max_passes``
+    bounds that, and such sources miss their weight (see ``shares``).  Position numbers the
+    mixture from 0 without gaps; ``ordered`` also writes it in that order.
 
     A null source is a source of its own; repeated rows are documents like others; an
     empty table gives an empty result.  Columns of ``docs`` named like the new ones are

@@ -31,7 +31,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of a mixture of their sources.
 
     Target weights are document counts to the power 0.75.  Every document appears at least
-    once; documents of sources below their weight appear again, up to four times in all.
+    once; documents of sources below their weight appear again, as often as it asks.
     """
     return mixing.mix(docs, ordered=True).select(*docs.columns)
 

@@ -190,6 +190,17 @@ def test_mixture(spark):
     assert mixing.mix(frame.limit(0)).collect() == []
 
 
+def test_mixture_holds_weights_of_small_sources(spark):
+    frame = spark.createDataFrame([(i, "a") for i in range(600)] + [(600 + i, "b") for i in range(2)], "doc_id int, source string")
+    counts = mixing.mix(frame, weights={"a": 0.5, "b": 0.5}).groupBy("source", "doc_id").count().groupBy("source").agg(F.sum("count"), F.min("count")).collect()
+    assert sorted(map(tuple, counts)) == [("a", 600, 1), ("b", 600, 300)]
+    reached = {r.source: (r.rows, round(r.target, 3), round(r.reached, 3)) for r in mixing.shares(frame, weights={"a": 0.5, "b": 0.5}).collect()}
+    assert reached == {"a": (600, 0.5, 0.5), "b": (600, 0.5, 0.5)}
+    capped = {r.source: (r.rows, r.target, round(r.reached, 3)) for r in mixing.shares(frame, weights={"a": 1, "b": 1}, max_passes=4).collect()}
+    assert capped == {"a": (600, 0.5, 0.987), "b": (8, 0.5, 0.013)}
+    assert mixing.lengths([25_600_000, 10_000], [25_600_000**0.75, 10_000**0.75], None)[1] > 4 * 10_000
+
+
 def test_mixture_pools_what_has_no_share_of_its_own(spark, monkeypatch):
     monkeypatch.setattr(mixing, "MAX_SOURCES", 3)
     monkeypatch.setattr(mixing, "MAX_SLOTS", 20)
