@@ -168,13 +168,14 @@ def _index(batches: Iterator[pa.RecordBatch], router) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part.astype(np.int32))], ["vec_id", "v", "part"])
 
 
-def _route(batches: Iterator[pa.RecordBatch], router, probes: int, sizes: np.ndarray, wanted: int) -> Iterator[pa.RecordBatch]:
-    """A row per query and part to search; more than ``probes`` where those hold too few rows."""
+def _route(batches: Iterator[pa.RecordBatch], router, probes: int, sizes: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """A row per query and part to search; more than ``probes`` where those may hold fewer than ``k`` rows of other ids."""
     for batch in batches:
         if not batch.num_rows:
             continue
         order = np.argsort(-router.value.scores(_matrix(batch.column("v"))), axis=1, kind="stable")
-        enough = (np.cumsum(sizes[order], axis=1) < wanted).sum(axis=1) + 1
+        wanted = k + batch.column("copies").to_numpy()
+        enough = (np.cumsum(sizes[order], axis=1) < wanted[:, None]).sum(axis=1) + 1
         counts = np.minimum(np.maximum(probes, enough), order.shape[1])
         rows = np.repeat(np.arange(len(order)), counts)
         parts = np.concatenate([order[i, :c] for i, c in enumerate(counts)]).astype(np.int32)
@@ -195,9 +196,11 @@ def _compare(left: pa.Table, right: pa.Table, k: int) -> pa.Table:
         for a in range(0, len(queries), 200):
             block = queries[a : a + 200]
             near = norms - 2 * block @ rows.T + (block**2).sum(axis=1)[:, None]
-            bound = np.partition(near, min(k, near.shape[1] - 1), axis=1)[:, min(k, near.shape[1] - 1)]
+            near[own[a : a + 200, None] == ids[None, :]] = np.inf
+            last = min(k, near.shape[1]) - 1
+            bound = np.partition(near, last, axis=1)[:, last]
             for i, query in enumerate(block):
-                # one more than k for the query's own row; the product form is exact to about 1e-12 of the lengths
+                # the product form is exact to about 1e-12 of the lengths
                 at = np.flatnonzero(near[i] <= bound[i] + 1e-9 * (1 + norms.max(initial=0.0)))
                 at = at[ids[at] != own[a + i]]
                 exact = np.sqrt(((rows[at] - query) ** 2).sum(axis=1))
@@ -240,9 +243,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
     sizes = np.zeros(len(model.b2), dtype=np.int64)
     for r in indexed.groupBy("part").count().collect():  # one row per part
         sizes[r["part"]] = r["count"]
-    asked = rows.where(queries).select("vec_id", "v").dropDuplicates(["vec_id"])
+    copies = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("copies"))
+    asked = rows.where(queries).select("vec_id", "v").dropDuplicates(["vec_id"]).join(copies, "vec_id")
     routed = asked.mapInArrow(
-        partial(_route, router=router, probes=probes, sizes=sizes, wanted=k + 1), "query_id bigint, q array<double>, part int"
+        partial(_route, router=router, probes=probes, sizes=sizes, k=k), "query_id bigint, q array<double>, part int"
     )
     routed = written(routed, "routed")
     asking = np.zeros(len(sizes), dtype=np.int64)

@@ -277,6 +277,13 @@ def test_neighbours_at_the_edges(spark, monkeypatch):
     assert neighbours.nearest(frame.limit(0), F.lit(True)).collect() == []
 
 
+def test_neighbours_of_an_id_with_many_rows(spark):
+    pairs = [(100, [0.0, 1.0])] * 30 + [(i, [0.1 * i, 1.0]) for i in range(1, 21)]
+    frame = spark.createDataFrame(pairs, "vec_id bigint, embedding array<double>")
+    got = neighbours.nearest(frame, F.col("vec_id") == 100).collect()
+    assert [(r.rank, r.vec_id) for r in sorted(got) if r.query_id == 100] == [(i, i) for i in range(1, 11)]
+
+
 def test_pipeline(spark, folder):
     docs = table(spark, FOLDER, "documents")
     assert [f.__name__ for _, f in corpus_pipeline.STAGES] == ["good_documents", "near_duplicates", "mixture", "token_ids"]
