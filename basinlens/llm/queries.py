@@ -43,7 +43,8 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Places and checksums of all documents' ids, read back from binary files."""
     to = scratch(spark, "token-files")
-    token_files.write_token_files(table(spark, folder, "documents"), to, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    token_files.write_token_files(table(spark, folder, "documents"), to, file, end_id=0, added_tokens=True)
     return token_files.read_token_files(spark, to, with_ids=False)
 
 

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -40,18 +41,20 @@ BATCH = 10_000  # documents per batch when reading
 class PieceTokenizer:
     """Whole texts through the tokenizers library; where its pieces are independent, each recent piece only once."""
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not added_tokens  # else their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         model = json.loads(definition)
         before = model.get("pre_tokenizer") or {}
         alone = model["model"]["type"] == "BPE" and not model["model"].get("dropout") and not model.get("normalizer")
         byte_level = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         self.splitter = Splitter(PATTERN, PATTERN) if alone and byte_level else None
+        contents = sorted({t["content"] for t in model.get("added_tokens") or [] if added_tokens or not t.get("special")}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
         self.recent: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -61,7 +64,10 @@ class PieceTokenizer:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.splitter is None:
             return self._whole(texts)
-        return [self._pieces(self.splitter.split(t)) for t in texts]
+        if self.added is None:
+            return [self._pieces(self.splitter.split(t)) for t in texts]
+        # a text with an added token's string is not split as the pattern says
+        return [self._whole([t])[0] if self.added.search(t) else self._pieces(self.splitter.split(t)) for t in texts]
 
     def _pieces(self, pieces: list[str]) -> bytes:
         found = list(map(self.recent.get, pieces))
@@ -83,8 +89,8 @@ def _place(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder.replace("file:/", "file:///", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
 
 
-def _write(batches: Iterator[pa.RecordBatch], folder: str, definition, name: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    tokenizer = per_process(f"token_files {name}", lambda: PieceTokenizer(definition.value))
+def _write(batches: Iterator[pa.RecordBatch], folder: str, definition, name: str, end_id: int, added_tokens: bool) -> Iterator[pa.RecordBatch]:
+    tokenizer = per_process(f"token_files {name} {added_tokens}", lambda: PieceTokenizer(definition.value, added_tokens))
     end = np.array([end_id], dtype=tokenizer.kind).tobytes()
     files, root = _place(folder)
     shard = TaskContext.get().partitionId()
@@ -137,14 +143,16 @@ def _mapped(files: pa.fs.FileSystem, path: str, kind: str) -> np.ndarray:
 
 
 def write_token_files(
-    docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, key: str = "doc_id", text: str = "text", added_tokens: bool = False
 ) -> DataFrame:
     """Write the ids of every whole text, each document followed by ``end_id``; returns the index of shards.
 
     Documents are dealt by ranges of (key, text hash) - one shuffle of the texts - and each
     task writes one shard, so nothing is gathered; the driver sees one row per shard.  A null
     text gives the end id alone; null keys come first; repeated rows are all written; an
-    empty table gives an index without shards.  Other columns are ignored.
+    empty table gives an index without shards.  Other columns are ignored.  The strings of
+    special tokens are ordinary text; with ``added_tokens`` they give the tokens' ids, as in
+    the library's own call.
     """
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
@@ -154,7 +162,7 @@ def write_token_files(
     source = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     ordered = source.withColumn("_tie", F.xxhash64("text")).repartitionByRange("doc_id", "_tie").sortWithinPartitions("doc_id", "_tie")
     shards = ordered.drop("_tie").mapInArrow(
-        partial(_write, folder=folder, definition=definition, name=tokenizer_file, end_id=end_id),
+        partial(_write, folder=folder, definition=definition, name=tokenizer_file, end_id=end_id, added_tokens=added_tokens),
         "shard bigint, tag string, width bigint, docs bigint, tokens bigint",
     )
     shards.write.parquet(f"{folder}/shards")

@@ -196,3 +196,15 @@ def test_token_files(spark, folder):
     assert [r.ids for r in got] == [encoded(t).tolist() for t in ["z", None, "<|endoftext|> ²x", "b", "b", LONG]]
     token_files.write_token_files(rows(spark, []), f"{folder}/e", file, end_id=0)
     assert token_files.read_token_files(spark, f"{folder}/e").collect() == []
+
+
+def test_token_files_as_the_unmodified_library(spark, folder):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(file)
+    texts = ["a<|endoftext|>b", "plain", " x <|endoftext|>  ", "<|endoftext|", None]
+    token_files.write_token_files(rows(spark, list(enumerate(texts))), f"{folder}/added", file, end_id=0, added_tokens=True)
+    got = {r.doc_id: r.ids for r in token_files.read_token_files(spark, f"{folder}/added").collect()}
+    assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert 50256 in got[0]
