@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basinlens.llm import byte_bpe, fingerprints, html_text, license_scan, mixing, neighbours, ngram_join, quality, token_files, url_filter
+from basinlens.llm import (
+    alignment,
+    byte_bpe,
+    fingerprints,
+    html_text,
+    lexical_search,
+    license_scan,
+    mixing,
+    neighbours,
+    ngram_join,
+    quality,
+    token_counts,
+    token_files,
+    url_filter,
+)
 from basinlens.llm.common import scratch, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,3 +111,38 @@ def op9_quality(spark: SparkSession, folder: str) -> DataFrame:
 def op10_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """Ten nearest vectors of every hundredth one."""
     return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of tokens of two tokenizers in all documents, and how their links compare with the whole corpus."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(table(spark, folder, "documents"), *files)
+
+
+@query
+def op12_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+CHECKS["op12_lexical_search"] = r"""
+with w as (select doc_id, row_number() over () r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') ts from documents),
+d as (select doc_id, r, len(ts) n, ts from w where len(ts) > 0),
+c as (select count(*) docs, sum(n)::bigint l from d),
+i as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t from benchmark),
+p as (select r, t, count(*) tf from (select r, unnest(ts) t from d) where t in (select t from i) group by r, t),
+q as (select t, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint w from p, c group by t, docs),
+s as (select item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))))::bigint score
+    from i join p using (t) join q using (t) join d using (r), c group by item_id, doc_id, r),
+k as (select item_id, (row_number() over (partition by item_id order by score desc, doc_id))::int rank, doc_id, score from s where score > 0)
+select * from k where rank <= 10
+"""
+
+
+@query
+def op13_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes and tokens of all documents, and how much of each lies within 1024 tokens."""
+    return token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
