@@ -138,17 +138,18 @@ def score_records(
     band_size: float = 1 / 16,
     blocks: int | None = None,
     history: str = "before",
-    stored: DataFrame | None = None,
+    **earlier,
 ) -> DataFrame:
     """Records with ``geo_flags`` (fixed rule order) and ``geo_score``.
 
     ``watersheds``: mws_id, window_start, window_end.  ``edges``: mws_id + sides.
     ``photos``: record_id, phash, one row per photo.  Records must have passed the
-    reference check; a record is never dropped for a bad score.
+    reference check; a record is never dropped for a bad score.  ``earlier`` photos count
+    too: ``stored``, or ``index`` and ``before`` (see ``photos.duplicate_distance``).
     """
     windows = watersheds.select("mws_id", "window_start", "window_end")
     located = flag_inside_own_polygon(records, edges, "mws_id", band_size)
-    near = duplicate_distance(photos, history, blocks, stored=stored)
+    near = duplicate_distance(photos, history, blocks, **earlier)
     # a record without a readable hash still "has a photo" when any hash text was given
     joined = located.join(windows, "mws_id", "left").join(near, "record_id", "left")
     has_photo = F.col("has_photo") if "has_photo" in records.columns else F.lit(True)

@@ -15,6 +15,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 from math import comb
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,9 @@ from basinlens.functions.geo import hamming
 from basinlens.operators.common import split_hot_join
 from basinlens.session import cut_lineage
 
+if TYPE_CHECKING:
+    from basinlens.operators.hash_index import HashIndex
+
 
 def choose_blocks(n_hashes: int, k: int = DUPLICATE_MAX_HAMMING, row_cost: float = 30.0) -> int:
     """Block count with the least expected work per hash.
@@ -76,16 +80,20 @@ def near_hashes(
 ) -> DataFrame:
     """Per probe hash: ``first_d`` (and for history "all" ``last_d``), the extreme record ids stored at distance d.
 
-    Distance 0 comes from the hash itself; hashes with no one near but themselves are kept.
+    ``stored`` may be keyed already (entries of a hash index).  Else distance 0 comes from
+    the hash itself, and hashes with no one near but themselves are kept.
     """
     ends = ["first", "last"] if history == "all" else ["first"]
     left = hash_keys(probe.select("phash"), blocks, k)
-    right = hash_keys(stored.select(F.col("phash").alias("_other"), *[f"{e}_id" for e in ends], "phash"), blocks, k)
+    keyed = "key" in stored.columns
+    right = stored if keyed else hash_keys(stored, blocks, k)
+    right = right.select("key", F.col("phash").alias("_other"), *[f"{e}_id" for e in ends])
     # the keys outnumber the hashes many times over, which size estimates do not see: never broadcast them
-    met = left.hint("merge").join(right.drop("phash"), "key").withColumn("_d", hamming(F.col("phash"), F.col("_other")))
-    near = met.where((F.col("_d") <= k) & (F.col("_d") > 0)).select("phash", "_d", *[f"{e}_id" for e in ends])
-    own = stored.join(probe.select("phash"), "phash", "left_semi") if stored is not probe else stored
-    both = near.unionByName(own.select("phash", F.lit(0).alias("_d"), *[f"{e}_id" for e in ends]))
+    met = left.hint("merge").join(right, "key").withColumn("_d", hamming(F.col("phash"), F.col("_other")))
+    both = met.where((F.col("_d") <= k) & (F.col("_d") >= (0 if keyed else 1))).select("phash", "_d", *[f"{e}_id" for e in ends])
+    if not keyed:
+        own = stored.join(probe.select("phash"), "phash", "left_semi") if stored is not probe else stored
+        both = both.unionByName(own.select("phash", F.lit(0).alias("_d"), *[f"{e}_id" for e in ends]))
     pick = {"first": F.min, "last": F.max}
     columns = [
         pick[e](F.when(F.col("_d") == d, F.col(f"{e}_id"))).alias(f"{e}_{d}") for d in range(k + 1) for e in ends
@@ -110,21 +118,28 @@ def duplicate_distance(
     blocks: int | None = None,
     k: int = DUPLICATE_MAX_HAMMING,
     stored: DataFrame | None = None,
+    index: HashIndex | None = None,
+    before: int | None = None,
 ) -> DataFrame:
     """``record_id, min_distance``: least Hamming distance <= k to a stored photo of another record.
 
     ``photos``: record_id, phash (bigint, null when missing or unreadable), one row per photo.
     ``history='before'`` compares with smaller record ids only, as ingest order does;
     ``'all'`` with every other record.  ``stored`` holds hashes of earlier loads, which
-    count whatever their record ids are, but for the record itself.
+    count whatever their record ids are, but for the record itself; an ``index`` holds them
+    listed by key, as they were before batch ``before``, and its blocks are used.
     Records without a near photo are absent.  The distinct hashes are written once
     (checkpoint); without ``blocks`` their number chooses it.
     """
     readable = photos.where("phash is not null").select("record_id", "phash")
     own = cut_lineage(stored_hashes(readable))  # read several times below
-    if blocks is None:
+    if index is not None:
+        blocks = index.blocks
+    elif blocks is None:
         blocks = choose_blocks(own.count() + (0 if stored is None else stored.count()), k)
     against = [(own, history)] + ([] if stored is None else [(stored.select("phash", "first_id", "last_id", "n"), "all")])
+    entries = None if index is None else index.entries(own, before)
+    against += [] if entries is None else [(entries, "all")]
     found = []
     for known, which in against:
         near = near_hashes(own, known, blocks, k, which)

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinlens.operators.common import first_by_key, latest_by_key
-from basinlens.session import cut_lineage
+from basinlens.sources.segments import SegmentTable, newest
 
 RECORD_COLUMNS = [
     "record_id", "work_code", "mws_id", "category", "activity", "status", "lat", "lon", "gps_accuracy_m",
@@ -69,29 +68,18 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], versio
     return latest_by_key(both, keys, [*version, "_new"]).drop("_new")
 
 
-def upsert_into(path: str, changes: DataFrame, keys: Sequence[str], version: Sequence[str], buckets: int = 64) -> None:
-    """Keep one row per key, the newest, in the Parquet table at ``path``, created on first use.
+def keyed_table(spark: SparkSession, path: str, keys: Sequence[str], version: Sequence[str], **options) -> SegmentTable:
+    """A stored table of one row per key, the newest; see ``sources.segments`` for appends, reads and compaction."""
+    return SegmentTable(spark, path, newest(keys, version), keys, **options)
 
-    Rows lie in folders by a hash of their key; only folders that ``changes`` touch are
-    read and replaced.  Writing the same changes again alters nothing.
+
+def upsert_into(path: str, changes: DataFrame, keys: Sequence[str], version: Sequence[str], batch: int | None = None, **options) -> bool:
+    """Keep the newest row per key in the table at ``path``, created on first use.
+
+    Costs what ``changes`` hold, whatever the table's size.  A ``batch`` that the table
+    already holds alters nothing (False).
     """
-    spark = changes.sparkSession
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = cut_lineage(latest_by_key(changes, keys, version).withColumn("_bucket", bucket))
-    touched = [r[0] for r in fresh.select("_bucket").distinct().collect()]  # at most ``buckets`` numbers
-    if not touched:
-        return
-    try:
-        stored = spark.read.parquet(path).where(F.col("_bucket").isin(touched))
-    except AnalysisException as exc:
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        merged = fresh
-    else:
-        # the merged rows are on disk before the folders they came from are replaced
-        merged = cut_lineage(upsert(stored, fresh, keys, version))
-    dealt = merged.repartition(min(buckets, max(1, len(touched))), "_bucket")
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_bucket").parquet(path)
+    return keyed_table(changes.sparkSession, path, keys, version, **options).append(changes, batch)
 
 
 def insert_conflicts(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

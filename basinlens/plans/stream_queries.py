@@ -47,7 +47,7 @@ def stream_ingest(t: Tables) -> DataFrame:
 
     body = ingest.ingest_batch(t.spark, t.mws, t.edges, photos_of, out, F.lit(NOW).cast("timestamp_ntz"))
     ingest.start_ingest(records, body, checkpoint).awaitTermination()
-    return t.spark.read.parquet(f"{out}/records").select("record_id", "mws_id", "geo_score")
+    return ingest.current_records(t.spark, out).select("record_id", "mws_id", "geo_score")
 
 
 def photo_hashes(hex_rows: DataFrame) -> DataFrame:
