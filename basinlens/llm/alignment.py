@@ -18,9 +18,10 @@ Heads are summed before any shuffle, so a pair that every document holds costs a
 per run and task.  The runs are a written table in the shared folder: lost executors take
 none with them.
 
-Documents are encoded chunk by chunk, where a chunk is white space and what follows it.
-No token crosses such a border, and links within a chunk are found once per worker process
-and distinct chunk.
+Documents are encoded chunk by chunk, where a chunk begins at white space or at punctuation
+after a letter, if the vocabularies allow (else a text is one chunk).  No token crosses
+such a border, and links within a chunk are found once per worker process and distinct
+chunk.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ import heapq
 import json
 import os
 import re
+import string
+import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import partial
 from itertools import pairwise
@@ -44,42 +48,36 @@ from pyspark.sql import functions as F
 from basinlens.llm.common import per_process, stream_groups, written
 from basinlens.llm.token_counts import byte_symbols
 
-CACHED_CHUNKS = 200_000  # alignments of chunks that a worker process keeps
+CACHED_CHUNKS = 250_000  # alignments of chunks that a worker process keeps
+CACHED_CHARS = 8_000_000  # and their characters
 RUN_DOCUMENTS = 4096
-RUN_LINKS = 1_500_000  # links in a run; a single longer document is a run of its own
+RUN_CHARS = 3_000_000  # about 1.5 million links; a single longer document is a run of its own
 RADIX = 128  # parts of the B ids
 FAN = 64  # runs that a merge reads, on average at most
 SPREAD = 256  # runs that meet one copy of a radix's counts
 
 
-class Aligned:
-    """Tokens of one chunk: sizes, groups as text, and its links as B * 2**32 + A."""
-
-    __slots__ = ("a", "b", "groups", "text", "links", "exact")
-
-    def __init__(self, source: bytes, a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]):
-        self.a, self.b = len(a), len(b)
-        self.exact = b"".join(a_bytes) == source and b"".join(b_bytes) == source
-        self.groups, self.text, self.links = 0, "", []
-        if not self.exact or not source:
-            return
-        groups, i, j, first_a, first_b, end_a, end_b = [], 0, 0, 0, 0, len(a_bytes[0]), len(b_bytes[0])
-        while True:
-            self.links.append(b[j] << 32 | a[i])
-            if end_a == end_b:
-                groups.append(f"{','.join(map(str, a[first_a : i + 1]))}|{','.join(map(str, b[first_b : j + 1]))}")
-                i, j = i + 1, j + 1
-                first_a, first_b = i, j
-                if i == len(a):
-                    break
-                end_a, end_b = end_a + len(a_bytes[i]), end_b + len(b_bytes[j])
-            elif end_a < end_b:
-                i += 1
-                end_a += len(a_bytes[i])
-            else:
-                j += 1
-                end_b += len(b_bytes[j])
-        self.groups, self.text = len(groups), ";".join(groups)
+def links_of(a: list[int], b: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> tuple[int, str, list[int]]:
+    """(groups, groups as text, links as B * 2**32 + A) of two token lists over the same bytes."""
+    n_a, n_b = len(a), len(b)
+    if n_a == 1 or n_b == 1:  # one group
+        return 1, f"{','.join(map(str, a))}|{','.join(map(str, b))}", [y << 32 | x for y in b for x in a]
+    groups, links, i, j, first_a, first_b, end_a, end_b = [], [], 0, 0, 0, 0, len(a_bytes[0]), len(b_bytes[0])
+    while True:
+        links.append(b[j] << 32 | a[i])
+        if end_a == end_b:
+            i, j = i + 1, j + 1
+            groups.append(f"{a[i - 1]}|{b[j - 1]}" if i - first_a == j - first_b == 1 else f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
+            first_a, first_b = i, j
+            if i == n_a:
+                return len(groups), ";".join(groups), links
+            end_a, end_b = end_a + len(a_bytes[i]), end_b + len(b_bytes[j])
+        elif end_a < end_b:
+            i += 1
+            end_a += len(a_bytes[i])
+        else:
+            j += 1
+            end_b += len(b_bytes[j])
 
 
 class Aligner:
@@ -102,39 +100,87 @@ class Aligner:
             bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)
         ]
         self.space = self.second.piece_to_id("▁")
-        # a chunk may begin at white space that ends no token and, other than a space, is only ever a token of its own
-        inner = {c for i, p in enumerate(pieces) if len(p) > 1 and not self.second.is_byte(i) for c in p if c.isspace()}
         byte_level = (whole.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not whole.get("normalizer")
-        bounded = byte_level and not inner and not any("▁" in p.lstrip("▁") for p in pieces)
-        self.chunks = re.compile(r"\s*\S+|\s+" if bounded else r"[\s\S]+")
+        self.chunks = re.compile(self._chunk_pattern(pieces) if byte_level else r"[\s\S]+")
+        self._clear()
+
+    def _chunk_pattern(self, pieces: list[str]) -> str:
+        """Chunks begin where no piece of either side can lie across: at white space, and at punctuation after a letter."""
+        beside = {two for i, p in enumerate(pieces) if not self.second.is_byte(i) and not self.second.is_control(i) for two in pairwise(p.replace("▁", " "))}
+        joined = {c for two in beside for c in two}
+        inner = "".join(sorted(c for c in joined - {" "} if c.isspace()))
+        if "\n" in joined or len(self.second.encode("\n")) != 2 or any(b == " " and a != " " for a, b in beside):
+            return r"[\s\S]+"
+        letters = [chr(c) for c in range(0x41, 0x530) if unicodedata.category(chr(c))[0] == "L"]
+        marks = [m for m in string.punctuation if m != "_" and not any((c, m) in beside for c in letters)]
+        letter, mark = f"[{''.join(letters)}]", f"[{re.escape(''.join(marks))}]"
+        more = rf"|[{re.escape(inner)}]\s*" if inner else ""
+        return rf"\s*\S(?:[^\s{mark[1:-1]}]+|(?<!{letter}){mark}{more})*|\s+"
+
+    def _clear(self) -> None:
+        # kept chunks: plain values in few containers, which the garbage collector need not walk
         self.known: dict[str, int] = {}
-        self.all: list[Aligned] = []
-
-    def aligned(self, chunk: str) -> Aligned:
-        a = self.first.encode(chunk, add_special_tokens=False).ids
-        if chunk[0] != " ":
-            b = self.second.encode(chunk)[1:]  # without the space that the library puts before it
-        else:
-            b = self.second.encode(chunk[1:]) if len(chunk) > 1 else [self.space]
-        return Aligned(chunk.encode(), a, b, [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b])
+        self.texts: list[str] = []
+        self.sizes = array("q")  # A tokens, B tokens, groups, links of each chunk
+        self.links = array("q")  # of all chunks, one after another
+        self.inexact: set[int] = set()
+        self.chars = 0
+
+    def _add(self, chunks: list[str]) -> None:
+        first = self.first.encode_batch_fast(chunks, add_special_tokens=False)
+        # the library puts a space before each: a chunk has one, or the pieces of the space and of a line end are taken off again
+        second = self.second.encode([c[1:] if c[0] == " " else f"\n{c}" for c in chunks], num_threads=1)
+        for chunk, one, b in zip(chunks, first, second, strict=True):
+            a = one.ids
+            if chunk[0] != " ":
+                b = b[2:]
+            elif len(chunk) == 1:
+                b = [self.space]
+            a_bytes, b_bytes = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b]
+            source = chunk.encode()
+            found = 0, "", []
+            if b"".join(a_bytes) == source and b"".join(b_bytes) == source:
+                found = links_of(a, b, a_bytes, b_bytes)
+            else:
+                self.inexact.add(len(self.texts))
+            self.known[chunk] = len(self.texts)
+            self.texts.append(found[1])
+            self.sizes.extend((len(a), len(b), found[0], len(found[2])))
+            self.links.extend(found[2])
 
     def numbers(self, text: str) -> list[int]:
-        """The text's chunks by their place in ``all``."""
+        """The text's chunks by their number among those kept."""
         chunks = self.chunks.findall(" " + text)
         found = list(map(self.known.get, chunks))
         if None in found:
-            for at, number in enumerate(found):
-                if number is None:
-                    found[at] = self.known.get(chunks[at])
-                    if found[at] is None:
-                        self.all.append(self.aligned(chunks[at]))
-                        found[at] = self.known[chunks[at]] = len(self.all) - 1
+            new = list(dict.fromkeys([c for c, number in zip(chunks, found, strict=True) if number is None]))
+            for at in range(0, len(new), 1000):
+                self._add(new[at : at + 1000])
+            self.chars += sum(map(len, new))
+            found = list(map(self.known.__getitem__, chunks))
         return found
 
-    def forget(self) -> None:
-        """Between runs, when the kept chunks are many."""
-        if len(self.all) > CACHED_CHUNKS:
-            self.known, self.all = {}, []
+    def full(self) -> bool:
+        return len(self.texts) > CACHED_CHUNKS or self.chars > CACHED_CHARS
+
+    def forget(self, kept: np.ndarray) -> None:
+        """Let go of all chunks but ``kept`` (ascending).  Only between runs: a run's documents are numbers of chunks."""
+        chunks, texts, sizes, links, inexact = list(self.known), self.texts, np.array(self.sizes).reshape(-1, 4), np.array(self.links), self.inexact
+        self._clear()
+        self.sizes.frombytes(sizes[kept].tobytes())
+        self.links.frombytes(links[_spans(sizes[:, 3], kept)].tobytes())
+        for new, old in enumerate(kept.tolist()):
+            self.known[chunks[old]] = new
+            self.texts.append(texts[old])
+            if old in inexact:
+                self.inexact.add(new)
+        self.chars = sum(map(len, self.known))
+
+
+def _spans(sizes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the values of ``rows``, where row i has ``sizes[i]`` values and they lie one after another."""
+    starts, held = (np.cumsum(sizes) - sizes)[rows], sizes[rows]
+    return np.repeat(starts - (np.cumsum(held) - held), held) + np.arange(int(held.sum()))
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -158,35 +204,38 @@ class Run:
     """Documents of a task until they are spilled."""
 
     def __init__(self):
-        self.rows: list[tuple] = []
+        self.keys: list = []
+        self.digests: list[str] = []
         self.chunks: list[np.ndarray] = []
-        self.links = 0
+        self.frequent = np.zeros(0, dtype=np.int64)  # chunks that occur more than once, known when the run is spilled
+        self.chars = 0
 
     def add(self, aligner: Aligner, key, text: str) -> None:
         numbers = aligner.numbers(text) if text else []
-        every = [aligner.all[n] for n in numbers]
-        if not numbers or not all(c.exact for c in every):
-            self.rows.append((key, 0, 0, 0, 0, ""))
-            self.chunks.append(np.zeros(0, dtype=np.int64))
-            return
-        digest = hashlib.sha256(";".join(c.text for c in every).encode()).hexdigest()
-        links = sum(len(c.links) for c in every)
-        self.rows.append((key, sum(c.a for c in every), sum(c.b for c in every), sum(c.groups for c in every), links, digest))
+        if not aligner.inexact.isdisjoint(numbers):
+            numbers = []
+        self.keys.append(key)
+        self.digests.append(hashlib.sha256(";".join(map(aligner.texts.__getitem__, numbers)).encode()).hexdigest() if numbers else "")
         self.chunks.append(np.array(numbers, dtype=np.int64))
-        self.links += links
+        self.chars += len(text)
 
     def full(self) -> bool:
-        return self.links >= RUN_LINKS or len(self.rows) >= RUN_DOCUMENTS
-
-    def records(self, aligner: Aligner) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(pairs, records of each, documents, times): pairs by radix, B id, A id; records of a pair by document."""
-        docs = np.repeat(np.arange(len(self.chunks)), [len(c) for c in self.chunks])
-        chunks, place = np.unique(np.concatenate([np.zeros(0, np.int64), *self.chunks]), return_inverse=True)
+        return self.chars >= RUN_CHARS or len(self.keys) >= RUN_DOCUMENTS
+
+    def records(self, aligner: Aligner) -> tuple[np.ndarray, ...]:
+        """(sizes of documents, pairs, records of each, documents, times): pairs by radix, B id, A id; their records by document."""
+        held = np.array([len(c) for c in self.chunks])
+        docs = np.repeat(np.arange(len(self.chunks)), held)
+        chunks, place, uses = np.unique(np.concatenate([np.zeros(0, np.int64), *self.chunks]), return_inverse=True, return_counts=True)
+        self.frequent = chunks[uses > 1]
+        every = np.array(aligner.sizes).reshape(-1, 4)
+        sizes = every[chunks]
+        totals = np.zeros((len(self.chunks), 4), dtype=np.int64)
+        totals[held > 0] = np.add.reduceat(sizes[place], (np.cumsum(held) - held)[held > 0], axis=0) if len(docs) else 0
         where, times = np.unique(docs * max(1, len(chunks)) + place, return_counts=True)
         docs, place = np.divmod(where, max(1, len(chunks)))
-        links = [aligner.all[c].links for c in chunks.tolist()]
-        sizes = np.array([len(x) for x in links], dtype=np.int64)
-        flat = np.fromiter((x for some in links for x in some), dtype=np.int64, count=int(sizes.sum()))
+        flat = np.array(aligner.links)[_spans(every[:, 3], chunks)]
+        sizes = sizes[:, 3]
         pairs, pair = np.unique(flat, return_inverse=True)
         order = np.lexsort((pairs, (pairs >> 32) % RADIX))
         pairs = pairs[order]
@@ -194,21 +243,19 @@ class Run:
         rank[order] = np.arange(len(order))
         pair = rank[pair]
         # every (document, chunk) yields the links of its chunk
-        starts = np.cumsum(sizes) - sizes
         per = sizes[place]
-        at = np.repeat(starts[place] - (np.cumsum(per) - per), per) + np.arange(int(per.sum()))
         width = max(1, len(self.chunks))
-        keys = pair[at] * width + np.repeat(docs, per)
-        order = np.argsort(keys, kind="stable")
+        keys = pair[_spans(sizes, place)] * width + np.repeat(docs, per)
+        order = np.argsort(keys)
         keys, times = keys[order], np.repeat(times, per)[order]
         first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
         times = np.add.reduceat(times, first) if len(keys) else times
         pair, docs = np.divmod(keys[first], width)
-        return pairs, np.bincount(pair, minlength=len(pairs)), docs, times
+        return totals, pairs, np.bincount(pair, minlength=len(pairs)), docs, times
 
     def spilled(self, aligner: Aligner, name: int, kind: pa.DataType) -> pa.RecordBatch:
         """The row of the documents and their body, then a row of heads per radix."""
-        pairs, sizes, docs, times = self.records(aligner)
+        totals, pairs, sizes, docs, times = self.records(aligner)
         starts = np.cumsum(sizes) - sizes
         counts = np.add.reduceat(times, starts) if len(pairs) else np.zeros(0, np.int64)
         # documents as steps within a pair: small numbers pack well
@@ -218,8 +265,8 @@ class Run:
         cuts = np.flatnonzero(np.append(True, radix[1:] != radix[:-1])).tolist() if len(pairs) else []
         heads = [_packed(pairs[a:b].astype("<i8"), counts[a:b].astype("<i8")) for a, b in pairwise([*cuts, len(pairs)])]
         body = _packed(sizes.astype("<i4"), steps.astype("<i4"), times.astype("<i4"))
-        columns = list(zip(*self.rows, strict=True))
-        lists = [pa.array([list(c)] + [None] * len(heads), pa.list_(t)) for c, t in zip(columns, [kind, *[pa.int64()] * 4, pa.string()], strict=True)]
+        columns = [self.keys, *totals.T.tolist(), self.digests]
+        lists = [pa.array([c] + [None] * len(heads), pa.list_(t)) for c, t in zip(columns, [kind, *[pa.int64()] * 4, pa.string()], strict=True)]
         names = [pa.array([name] * (len(heads) + 1), pa.int64()), pa.array([-1, *radix[cuts].tolist()], pa.int32())]
         blocks = [pa.array([None, *heads], pa.binary()), pa.array([body] + [None] * len(heads), pa.binary())]
         return pa.RecordBatch.from_arrays([*names, *blocks, *lists], _RUN)
@@ -238,9 +285,10 @@ def _runs(batches: Iterator[pa.RecordBatch], files, name: str) -> Iterator[pa.Re
             run.add(aligner, key, value.as_py() or "")
             if run.full():
                 yield run.spilled(aligner, number, kind)
+                if aligner.full():
+                    aligner.forget(run.frequent)
                 number, run = number + 1, Run()
-                aligner.forget()
-    if run.rows:
+    if run.keys:
         yield run.spilled(aligner, number, kind)
 
 
