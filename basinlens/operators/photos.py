@@ -55,8 +55,8 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def hash_keys(hashes: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING) -> DataFrame:
-    """``hashes`` repeated once per block choice, with a 64-bit ``key`` per choice.
+def hash_keys(hashes: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING, number: str | None = None) -> DataFrame:
+    """``hashes`` repeated once per block choice, with a 64-bit ``key`` per choice (and the choice's ``number``).
 
     The key is the masked hash mixed with a constant of its choice.  Keys of two choices
     may coincide; that only adds a candidate, which the distance test then judges.
@@ -65,6 +65,8 @@ def hash_keys(hashes: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING) ->
         F.col("phash").bitwiseAND(F.lit(m)).bitwiseXOR(F.lit(_signed((i + 1) * 0x9E3779B97F4A7C15)))
         for i, m in enumerate(block_masks(blocks, k))
     ]
+    if number:
+        return hashes.select("*", F.posexplode(F.array(*keys)).alias(number, "key"))
     return hashes.select("*", F.explode(F.array(*keys)).alias("key"))
 
 

@@ -1,12 +1,19 @@
-"""Backlog and band counts kept current per event-time window."""
+"""Counts kept current: of events per event-time window, and of records by what they are now."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+from basinlens.sources.segments import SegmentTable
 
 
 def windowed_counts(
@@ -39,3 +46,95 @@ def keep_latest(counts: DataFrame, path: str, checkpoint: str, keys: Sequence[st
 def current_counts(written: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The last value of every (window, key) among the written updates."""
     return written.groupBy("window_start", *keys).agg(F.max_by("n", "batch_id").alias("n"))
+
+
+# --- counts of what records are now ---------------------------------------------------------
+
+_RECORD = T.StructType([T.StructField("record", T.StringType())])
+_LAST = T.StructType([T.StructField("version", T.LongType()), T.StructField("groups", T.ArrayType(T.StringType()))])
+CHANGE = T.StructType([T.StructField("group", T.StringType()), T.StructField("delta", T.LongType())])
+
+
+class _Changes(StatefulProcessor):
+    """Keeps each record's last version and the groups that count it; emits what a newer version takes away and adds."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", _RECORD, _LAST)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        newest: dict[str, tuple[int, list[str]]] = {}
+        for part in rows:
+            for record, version, groups in zip(part["record"], part["version"].tolist(), part["groups"], strict=True):
+                offered = (version, sorted(groups) if groups is not None else [])
+                if record not in newest or offered > newest[record]:
+                    newest[record] = offered
+        changes: Counter[str] = Counter()
+        for record, (version, groups) in newest.items():
+            before = self.last.getValue((record,))
+            if before is not None:
+                if version < before[0] or (version == before[0] and groups <= sorted(before[1])):
+                    continue
+                changes.subtract(before[1])
+            changes.update(groups)
+            self.last.updateValue((record,), (version, groups))
+        changed = {g: d for g, d in changes.items() if d}
+        if changed:
+            yield pd.DataFrame({"group": list(changed), "delta": np.array(list(changed.values()), dtype=np.int64)})
+
+    def close(self) -> None:
+        pass
+
+
+def count_changes(records: DataFrame, record: str, version: str, groups: str, buckets: int = 2048) -> DataFrame:
+    """(group, delta): how the number of records in each group changes as new versions of them arrive.
+
+    ``groups``: the groups that count a record, an array of texts; null or empty retracts it.
+    Only a newer version changes anything; of two rows of one version the one with the
+    larger groups counts.  ``records`` is a stream of a session made by
+    ``photo_state.state_session``.  Records are dealt to ``buckets`` groups of state by
+    hash, a number fixed for the life of a checkpoint; changes leave a bucket added up.
+    """
+    rows = records.select(
+        F.pmod(F.xxhash64(F.col(record).cast("string")), F.lit(buckets)).alias("bucket"),
+        F.col(record).cast("string").alias("record"),
+        F.col(version).cast("bigint").alias("version"),
+        F.col(groups).alias("groups"),
+    )
+    # rows without a record or version count for nothing
+    rows = rows.where("record is not null and version is not null")
+    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Changes(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
+
+
+def _sums(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("group").agg(F.sum("delta").alias("delta"), F.max("_seq").alias("_seq"))
+
+
+def keep_sums(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Add each batch's changes, once, to the table of sums at ``path``."""
+    spark = changes.sparkSession
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        SegmentTable(spark, path, _sums, ["group"]).append(batch, batch_id)
+
+    trigger = trigger or {"availableNow": True}
+    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def current_sums(spark: SparkSession, path: str) -> DataFrame:
+    """(group, n) of the groups that count any record now."""
+    sums = SegmentTable(spark, path, _sums, ["group"]).read()
+    sums = spark.createDataFrame([], CHANGE) if sums is None else sums
+    return sums.where("delta <> 0").select("group", F.col("delta").alias("n"))
+
+
+def status_groups(stages: Sequence[str] = ("pre", "mid", "post"), watershed: str = "mws_id", band: str = "band") -> Column:
+    """The groups of a record in the backlog (stage and status) and in the bands of its watershed."""
+    counted = [F.concat(F.lit(f"stage|{s}|"), F.col(f"{s}_slug")) for s in stages]
+    counted += [F.concat(F.lit("band|"), F.col(watershed), F.lit("|"), F.coalesce(F.col(band), F.lit("unscored")))]
+    return F.array_compact(F.array(*counted))
+
+
+def split_group(counts: DataFrame) -> DataFrame:
+    """(kind, name, value, n) of the groups made by ``status_groups``."""
+    parts = F.split("group", r"\|")
+    return counts.select(parts[0].alias("kind"), parts[1].alias("name"), parts[2].alias("value"), "n")

@@ -1,75 +1,198 @@
-"""Near-duplicate search over an endless stream, with one state entry per hash key.
-
-Each photo hash is listed under its block choices (see ``operators.photos``); the state
-of a key holds the distinct hashes seen there with their first record.
-A hash shared by many records is stored once per key.
+"""Near-duplicate search over an endless stream, with one state entry per hash and key.
+
+Each photo hash is listed under its block choices (see ``operators.photos``); the state of
+a key maps the hashes seen there to their first record, whatever the number of records that
+share a hash.  A key that comes to hold more than ``bound`` hashes (many photos with a dark
+corner, say) hands its entries on to a second level and keeps none from then on: hashes
+under one key agree in its blocks, so the second level cuts the remaining bits into blocks
+and lists them by choices of those.  Nothing is lost at either level.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from basinlens.constants import DUPLICATE_MAX_HAMMING
-from basinlens.operators.photos import hash_keys
+from basinlens.operators.photos import block_masks, choose_blocks, hash_keys
 
-STATE = T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("first_ids", T.BinaryType())])
 OUTPUT = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("distance", T.IntegerType())])
-PROBE_ROWS = 4096  # rows compared at a time, which bounds the distance matrix
+_LEVEL = T.StructType(
+    [T.StructField("key", T.LongType()), T.StructField("record_id", T.LongType()), T.StructField("phash", T.LongType()), T.StructField("distance", T.IntegerType())]
+)
+_HASH = T.StructType([T.StructField("phash", T.LongType())])
+_FIRST = T.StructType([T.StructField("first_id", T.LongType())])
+_MOVED = T.StructType([T.StructField("moved", T.BooleanType())])
+
+ROW_COST = 300_000.0  # a keyed row costs a state access; comparisons are vectorised (see choose_blocks)
+BOUND = 20_000  # hashes that a key may hold
+SECOND_BLOCKS = 8  # blocks of the second level
+COMPARED = 1 << 20  # distances computed at a time
+PASSING = 64  # keys by which finished rows pass the second level
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def second_masks(blocks: int, k: int) -> np.ndarray:
+    """Per choice of the first level (rows): masks of the choices among the bits that it leaves open."""
+    out = []
+    for kept in block_masks(blocks, k):
+        free = [b for b in range(64) if not kept >> b & 1]
+        cuts = [round(len(free) * i / SECOND_BLOCKS) for i in range(SECOND_BLOCKS + 1)]
+        parts = [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+        out.append([sum(chosen) for chosen in combinations(parts, SECOND_BLOCKS - k)])
+    return np.array(out, dtype=np.uint64)
+
+
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64-bit mixing (a fixed public finalizer)."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        values = (values ^ (values >> np.uint64(shift))) * np.uint64(factor)
+    return values ^ (values >> np.uint64(33))
 
 
 class _NearHashes(StatefulProcessor):
-    def __init__(self, k: int):
-        self.k = k
+    def __init__(self, k: int, bound: int | None, masks: np.ndarray | None, expire_ms: int | None):
+        self.k, self.bound, self.masks, self.expire_ms = k, bound, masks, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", STATE)
+        self.seen = handle.getMapState("seen", _HASH, _FIRST, self.expire_ms)
+        self.moved = handle.getValueState("moved", _MOVED) if self.bound else None
+
+    def _second(self, key: int, choice: int, hashes: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+        """Rows of the second level: every hash under each choice of the open bits, within its first key."""
+        masks = self.masks[choice]
+        own = np.array([key], dtype=np.int64).view(np.uint64)
+        number = np.arange(1, len(masks) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        keys = _mixed((hashes.view(np.uint64)[:, None] & masks[None, :]) ^ _mixed(number ^ own)[None, :])
+        n = len(masks)
+        rows = {"key": keys.ravel().view(np.int64), "record_id": np.repeat(ids, n), "phash": np.repeat(hashes, n), "distance": pd.array([None] * (len(ids) * n), dtype="Int32")}
+        return pd.DataFrame(rows)
+
+    def _found(self, ids: list[int] | np.ndarray, distance: list[int] | np.ndarray) -> pd.DataFrame:
+        ids = np.asarray(ids, dtype=np.int64)
+        rows = {"key": ids % PASSING, "record_id": ids, "phash": np.zeros(len(ids), np.int64), "distance": pd.array(distance, dtype="Int32")}
+        return pd.DataFrame(rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True).sort_values("record_id")
-        if self.seen.exists():
-            raw_hashes, raw_ids = self.seen.get()
-            hashes, ids = np.frombuffer(raw_hashes, np.int64), np.frombuffer(raw_ids, np.int64)
-        else:
-            hashes, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-        # the batch joins the state first; "earlier" is then decided by record id alone
-        known = pd.concat(
-            [pd.DataFrame({"h": hashes, "i": ids}), pd.DataFrame({"h": new["phash"], "i": new["record_id"]})]
-        ).groupby("h", as_index=False)["i"].min()
-        h, first = known["h"].to_numpy(np.int64), known["i"].to_numpy(np.int64)
-        self.seen.update((h.tobytes(), first.tobytes()))
-        for at in range(0, len(new), PROBE_ROWS):
-            part = new.iloc[at : at + PROBE_ROWS]
-            own, rid = part["phash"].to_numpy(np.int64), part["record_id"].to_numpy(np.int64)
-            distance = np.bitwise_count((own[:, None] ^ h[None, :]).view(np.uint64)).astype(np.int32)
-            distance[first[None, :] >= rid[:, None]] = 99
+        key, choice = int(key[0]), 0
+        moved = self.moved is not None and self.moved.exists()
+        stored: dict[int, int] | None = None
+        pending: dict[int, int] = {}  # of this batch: hash -> smallest record id, whose distance is open
+        for part in rows:
+            passing = part[part["distance"].notna()]
+            if len(passing):
+                yield passing
+                part = part[part["distance"].isna()]
+                if not len(part):
+                    continue
+            hashes, ids = part["phash"].to_numpy(np.int64), part["record_id"].to_numpy(np.int64)
+            choice = int(part["choice"].iloc[0]) if self.bound else 0
+            if moved:
+                yield self._second(key, choice, hashes, ids)
+                continue
+            order = np.lexsort((ids, hashes))
+            hashes, ids = hashes[order], ids[order]
+            first = np.append(True, hashes[1:] != hashes[:-1])
+            least = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
+            later = ids[ids > least].tolist()  # records after another of their own hash: distance 0, whatever comes
+            for h, i in zip(hashes[first].tolist(), ids[first].tolist(), strict=True):
+                known = pending.get(h)
+                if known is None or i < known:
+                    pending[h] = i
+                if known is not None and i != known:
+                    later.append(max(i, known))
+            if later:
+                yield self._found(later, [0] * len(later))
+            if self.bound and len(pending) > self.bound // 2:
+                stored = self._stored() if stored is None else stored
+                if len(stored.keys() | pending.keys()) > self.bound:
+                    yield from self._move(key, choice, stored, pending)
+                    moved, pending = True, {}
+        if pending:
+            stored = self._stored() if stored is None else stored
+            if self.bound and len(stored.keys() | pending.keys()) > self.bound:
+                yield from self._move(key, choice, stored, pending)
+                return
+            for h, i in pending.items():
+                if h not in stored or i < stored[h]:
+                    self.seen.updateValue((h,), (i,))
+            found = self._compare(stored, pending)
+            if len(found):
+                yield found
+
+    def _stored(self) -> dict[int, int]:
+        return {h: i for (h,), (i,) in self.seen.iterator()} if self.seen.exists() else {}
+
+    def _move(self, key: int, choice: int, stored: dict[int, int], pending: dict[int, int]) -> Iterator[pd.DataFrame]:
+        self.moved.update((True,))
+        self.seen.clear()
+        for some in (stored, pending):
+            hashes, ids = np.array(list(some), dtype=np.int64), np.array(list(some.values()), dtype=np.int64)
+            for at in range(0, len(hashes), 4096):
+                yield self._second(key, choice, hashes[at : at + 4096], ids[at : at + 4096])
+
+    def _compare(self, stored: dict[int, int], pending: dict[int, int]) -> pd.DataFrame:
+        """The batch joins the state first; "earlier" is then decided by record id alone."""
+        known = dict(stored)
+        for h, i in pending.items():
+            known[h] = min(i, known.get(h, i))
+        h, first = np.array(list(known), dtype=np.int64), np.array(list(known.values()), dtype=np.int64)
+        own, rid = np.array(list(pending), dtype=np.int64), np.array(list(pending.values()), dtype=np.int64)
+        ids, distances = [], []
+        step = max(1, COMPARED // len(h))
+        for at in range(0, len(own), step):
+            some, r = own[at : at + step], rid[at : at + step]
+            distance = np.bitwise_count((some[:, None] ^ h[None, :]).view(np.uint64)).astype(np.int32)
+            distance[first[None, :] >= r[:, None]] = 99
             least = distance.min(axis=1)
-            near = least <= self.k
-            if near.any():
-                yield pd.DataFrame({"record_id": rid[near], "distance": least[near]})
+            ids += r[least <= self.k].tolist()
+            distances += least[least <= self.k].tolist()
+        return self._found(ids, distances)
 
     def close(self) -> None:
         pass
 
 
-def stream_duplicates(photos: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING) -> DataFrame:
-    """(record_id, distance) of photos near an earlier one; a record appears once per key that found it.
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store that keyed state needs; the given one keeps its settings."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return own
 
-    Needs the RocksDB state store.  Take the least distance per record downstream.
-    """
-    keyed = hash_keys(photos.select("record_id", "phash"), blocks, k)
-    return keyed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=_NearHashes(k), outputStructType=OUTPUT, outputMode="Append", timeMode="None"
-    )
 
+def stream_duplicates(
+    photos: DataFrame,
+    expected: int = 10_000_000,
+    k: int = DUPLICATE_MAX_HAMMING,
+    blocks: int | None = None,
+    bound: int | None = BOUND,
+    expire_ms: int | None = None,
+) -> DataFrame:
+    """(record_id, distance) of photos near an earlier one; a record appears once per key that found it.
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ``photos``: record_id, phash (no nulls), of a session made by ``state_session``.  Blocks
+    suit the ``expected`` number of hashes.  Within a micro-batch a smaller record id is
+    earlier.  With ``expire_ms`` an entry is forgotten so long after it was last written
+    (processing time).  Take the least distance per record downstream.
+    """
+    blocks = blocks or choose_blocks(expected, k, ROW_COST)
+    listed = hash_keys(photos.select("record_id", "phash"), blocks, k, number="choice").withColumn("distance", F.lit(None).cast("int"))
+    mode = {"outputMode": "Append", "timeMode": "ProcessingTime" if expire_ms else "None"}
+    first = _NearHashes(k, bound, second_masks(blocks, k) if bound else None, expire_ms)
+    found = listed.groupBy("key").transformWithStateInPandas(statefulProcessor=first, outputStructType=_LEVEL, **mode)
+    if bound:
+        second = _NearHashes(k, None, None, expire_ms)
+        found = found.groupBy("key").transformWithStateInPandas(statefulProcessor=second, outputStructType=_LEVEL, **mode)
+    return found.select("record_id", "distance")
 
 
 def least_distances(found: DataFrame) -> DataFrame:

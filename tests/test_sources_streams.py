@@ -143,16 +143,66 @@ def test_stream_ingest_equals_batch(spark, folder):
     assert ingest.current_records(spark, f"{folder}/out").count() == 600
 
 
+def photo_stream(spark, df, folder, parts, **options):
+    """Least distances found by the keyed state over ``parts`` micro-batches."""
+    split_files(spark, df, f"{folder}/in", parts)
+    own = photo_state.state_session(spark)
+    stream = own.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    q = photo_state.stream_duplicates(stream, **options).writeStream.format("parquet")
+    q = q.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state")
+    if "expire_ms" in options:  # timers keep such a stream going
+        running = q.start()
+        running.awaitTermination(12)
+        running.stop()
+    else:
+        q.trigger(availableNow=True).start().awaitTermination()
+    found = photo_state.least_distances(spark.read.schema(photo_state.OUTPUT).parquet(f"{folder}/out"))
+    return {tuple(r) for r in found.collect()}
+
+
 def test_keyed_photo_state_equals_batch(spark, folder):
+    """Both photos of each record, some records with one photo twice, over four micro-batches."""
     df = Tables(spark, "/root/testdata/sf0.001").photos().where("phash is not null").limit(400)
-    split_files(spark, df, f"{folder}/in", 3)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", photo_state.ROCKSDB)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    q = photo_state.stream_duplicates(stream, blocks=7).writeStream.format("parquet")
-    q.option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    got = photo_state.least_distances(spark.read.schema(photo_state.OUTPUT).parquet(f"{folder}/out"))
-    want = photos.duplicate_distance(spark.read.parquet(f"{folder}/in"), blocks=7)
-    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+    df = df.unionByName(df.where("record_id % 50 = 0")).orderBy("record_id").persist()
+    want = {tuple(r) for r in photos.duplicate_distance(df, blocks=7).collect()}
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    assert photo_stream(spark, df, folder, 4, blocks=7) == want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_a_hot_block_moves_to_the_second_level(spark, folder):
+    """A third of all hashes share 53 bits: their first-level keys overflow, in a batch or over several."""
+    pick = random.Random(8)
+    hot = pick.getrandbits(63) & ~0x7FF
+    values = [hot | pick.getrandbits(11) if i % 3 == 0 else pick.getrandbits(63) for i in range(900)]
+    values += [values[i] ^ (1 << pick.randrange(63)) for i in range(0, 900, 9)] + [values[3]] * 40
+    df = spark.createDataFrame(list(enumerate(values)), "record_id long, phash long")
+    want = {}
+    for i, h in enumerate(values):
+        nearest = min(((h ^ other).bit_count() for other in values[:i]), default=99)
+        if nearest <= 6:
+            want[i] = nearest
+    assert photo_stream(spark, df, f"{folder}/a", 4, blocks=7, bound=60) == set(want.items())
+    assert photo_stream(spark, df, f"{folder}/b", 1, blocks=7, bound=60) == set(want.items())
+
+
+def test_blocks_follow_the_expected_number_of_hashes():
+    few, many = (photos.choose_blocks(n, row_cost=photo_state.ROW_COST) for n in (10_000_000, 10_000_000_000))
+    assert few == 7 and many > 7
+    masks = photo_state.second_masks(7, 6)
+    # each choice opens other bits than its first key, and together they cover all that it leaves open
+    for kept, opened in zip(photos.block_masks(7, 6), masks.tolist(), strict=True):
+        union = 0
+        for mask in opened:
+            assert mask & (kept % 2**64) == 0
+            union |= mask
+        assert union | (kept % 2**64) == 2**64 - 1
+
+
+def test_forgotten_photos_make_no_duplicates(spark, folder):
+    df = spark.createDataFrame([(1, 5), (2, 5)], "record_id long, phash long")
+    assert photo_stream(spark, df, f"{folder}/kept", 2, blocks=7, expire_ms=600_000) == {(2, 0)}
+    assert photo_stream(spark, df, f"{folder}/lost", 2, blocks=7, expire_ms=1) == set()
 
 
 def test_late_rows_leave_the_counts(spark, folder):
