@@ -2,14 +2,36 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
 from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: accented Latin letters and the plain letters they decompose to
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
-UNACCENTED = "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
+
+@cache
+def ascii_folds() -> tuple[str, str, dict[str, str]]:
+    """Characters whose compatibility decomposition holds ASCII: those with one such character, what they become, and the others."""
+    single, longer = {}, {}
+    for code in range(0x80, 0x110000):
+        if not 0xD800 <= code < 0xE000:
+            plain = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+            if plain:
+                (single if len(plain) == 1 else longer)[chr(code)] = plain
+    return "".join(single), "".join(single.values()), longer
+
+
+def ascii_fold(text) -> Column:
+    """Text as ASCII: accents and compatibility forms resolved (ā, ő, ﬁ, ²), other characters left out."""
+    single, plain, longer = ascii_folds()
+    folded = F.translate(_col(text), single, plain)
+    # what becomes several characters is rare, so it is looked up only where such a one stands
+    pairs = F.create_map(*[F.lit(v) for pair in longer.items() for v in pair])
+    spelled = F.array_join(F.transform(F.split(folded, ""), lambda c: F.coalesce(pairs[c], c)), "")
+    several = F.when(folded.rlike(f"[{''.join(longer)}]"), spelled).otherwise(folded)
+    return F.regexp_replace(several, r"[^\x00-\x7f]", "")
+
 
 
 def _col(c) -> Column:
@@ -112,8 +134,7 @@ def ascii_slug(title, max_len: int = 60) -> Column:
     stem = F.regexp_replace(_col(title), "^File:", "")
     stem = F.regexp_replace(stem, r"^.*/", "")
     stem = F.regexp_replace(stem, r"(?<=.)\.[^.]+$", "")
-    plain = F.regexp_replace(F.translate(stem, ACCENTED, UNACCENTED), r"[^\x00-\x7f]", "")
-    slug = F.lower(F.regexp_replace(F.regexp_replace(plain, r"[^a-zA-Z0-9]+", "-"), r"^-+|-+$", ""))
+    slug = F.lower(F.regexp_replace(F.regexp_replace(ascii_fold(stem), r"[^a-zA-Z0-9]+", "-"), r"^-+|-+$", ""))
     return F.substring(F.coalesce(F.nullif(slug, F.lit("")), F.lit("photo")), 1, max_len)
 
 

@@ -13,6 +13,8 @@ from basinlens.constants import DUPLICATE_MAX_HAMMING
 from basinlens.operators.photos import choose_blocks, hash_keys
 from basinlens.sources.segments import SegmentTable
 
+ROW_COST = 300.0  # a listed key is written, merged tier by tier and read again (see choose_blocks)
+
 
 def _ends(rows: DataFrame) -> DataFrame:
     ends = [F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"), F.sum("n").alias("n"), F.max("_seq").alias("_seq")]
@@ -24,7 +26,7 @@ class HashIndex:
         """A new index lists hashes under ``blocks`` blocks, by default those that suit ``expected`` hashes; an old one keeps its own."""
         self.k = k
         self.table = SegmentTable(spark, path, _ends, ["key"], **options)
-        self.blocks = self.table.state()["meta"].get("blocks") or blocks or choose_blocks(expected, k)
+        self.blocks = self.table.state()["meta"].get("blocks") or blocks or choose_blocks(expected, k, ROW_COST)
 
     def append(self, stored: DataFrame, batch: int | None = None) -> bool:
         """``stored``: phash, first_id, last_id, n (see ``photos.stored_hashes``)."""

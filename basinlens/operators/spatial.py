@@ -220,27 +220,77 @@ def polygons_meeting(
     return polygons_within(candidates, regions, 0.0, cell_size, key)
 
 
-def polygon_sample_points(edges: DataFrame, step: float, key: str = "polygon_id") -> DataFrame:
-    """Centres of the grid cells that lie inside each polygon.
+def ring_signs(edges: DataFrame, key: str) -> DataFrame:
+    """``edges`` with ``_sign``: 1 if the ring's interior lies left of its sides, else -1.  The outside of a hole's ring is the polygon's inside."""
+    part = F.col("part") if "part" in edges.columns else F.lit(0)
+    ring = F.col("ring") if "ring" in edges.columns else F.lit(0)
+    named = edges.withColumns({"_part": part, "_ring": ring})
+    # relative to a corner of the ring, to keep precision
+    corner = named.groupBy(key, "_part", "_ring").agg(F.min("x1").alias("_x"), F.min("y1").alias("_y"))
+    rel = named.join(corner, [key, "_part", "_ring"])
+    twice = (F.col("x1") - F.col("_x")) * (F.col("y2") - F.col("_y")) - (F.col("x2") - F.col("_x")) * (F.col("y1") - F.col("_y"))
+    turned = rel.groupBy(key, "_part", "_ring").agg(F.sum(twice).alias("_twice"))
+    sign = F.when(F.col("_twice") >= 0, 1).otherwise(-1) * F.when(F.col("_ring") > 0, -1).otherwise(1)
+    signed = turned.select(key, "_part", "_ring", sign.alias("_sign"), F.abs(F.col("_twice") / 2).alias("_ring_area"))
+    return named.join(signed, [key, "_part", "_ring"])
+
+
+def _strips(sides: DataFrame, step: float, prefix: str, *kept: str) -> DataFrame:
+    """Sides cut at multiples of ``step`` in x, left end first, with the sign of the area below them.
+
+    A polygon is the signed sum of what lies below its sides: sides that run back count for
+    it, sides that run forth against it (interior to the left).  Vertical sides bound nothing.
+    """
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    cut = sides.where("x1 <> x2").withColumn("strip", F.explode(cell_range(low, high, step)))
+    start, end = F.greatest(low, F.col("strip") * step), F.least(high, (F.col("strip") + 1) * step)
+
+    def height(x: Column) -> Column:
+        return F.col("y1") + (x - F.col("x1")) * ((F.col("y2") - F.col("y1")) / (F.col("x2") - F.col("x1")))
+
+    sign = F.when(F.col("x1") > F.col("x2"), F.col("_sign")).otherwise(-F.col("_sign"))
+    parts = {"a": start, "b": end, "ya": height(start), "yb": height(end), "s": sign}
+    return cut.select("strip", *kept, *[c.alias(f"{prefix}{n}") for n, c in parts.items()]).where(F.col(f"{prefix}a") < F.col(f"{prefix}b"))
 
-    Cells are ``step`` wide, and for a small polygon halved until four span its shorter
-    side, so that none is too small to be seen.
+
+def overlap_areas(left: DataFrame, right: DataFrame, pairs: DataFrame, step: float, key: str = "polygon_id") -> DataFrame:
+    """(left_id, right_id, area, share): the area that each pair of polygons has in common, in square units of the coordinates.
+
+    Two polygons share the sum, over their pairs of sides, of the signed area below both
+    sides: an integral of the lower of two lines.  Sides only meet within strips of x of
+    width ``step``, which bounds the pairs and does not change the sum.  ``share`` is of the
+    left polygon's own area.  Parts of one polygon must not overlap.
     """
-    side = F.least(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))
-    halvings = F.when(side > 0, F.greatest(F.lit(0.0), F.ceil(F.log2(F.lit(4 * step) / side)))).otherwise(0.0)
-    box = polygon_boxes(edges, key).withColumn("_step", F.lit(step) / F.pow(F.lit(2.0), F.least(halvings, F.lit(20.0))))
-
-    def cells(low: str, high: str) -> Column:
-        return F.sequence(F.floor(F.col(low) / F.col("_step")), F.floor(F.col(high) / F.col("_step")))
-
-    # rows first, then columns of a row: the box is never held as one array of cells
-    rows = box.withColumn("_gy", F.explode(cells("ymin", "ymax")))
-    grid = rows.withColumn("_gx", F.explode(cells("xmin", "xmax")))
-    half = F.col("_step") / 2
-    centres = grid.select(
-        key, (F.col("_gx") * F.col("_step") + half).alias("lon"), (F.col("_gy") * F.col("_step") + half).alias("lat")
+    own = ring_signs(left, key)
+    rings = own.groupBy(key, "_part", "_ring").agg(F.first("_ring_area").alias("_a"))
+    size = rings.groupBy(F.col(key).alias("left_id")).agg(F.sum(F.when(F.col("_ring") > 0, -F.col("_a")).otherwise(F.col("_a"))).alias("own"))
+    boxes = polygon_boxes(left, key).select(F.col(key).alias("left_id"), F.col("xmin").alias("_x0"), F.col("ymin").alias("_y0"), "xmax", "ymax")
+    wanted = pairs.select("left_id", "right_id").join(boxes, "left_id")
+    a = _strips(own.withColumnRenamed(key, "left_id"), step, "l_", "left_id")
+    b = _strips(ring_signs(right, key).withColumnRenamed(key, "right_id"), step, "r_", "right_id")
+    met = a.join(wanted, "left_id").join(b, ["right_id", "strip"])
+    # a right side below the left polygon's box lies below as much of it from above as from below: nothing
+    met = met.where(F.greatest("r_ya", "r_yb") > F.col("_y0"))
+    low, high = F.greatest("l_a", "r_a"), F.least("l_b", "r_b")
+    met = met.withColumns({"_lo": low, "_hi": high}).where("_lo < _hi")
+
+    def at(prefix: str, x: str) -> Column:
+        share = (F.col(x) - F.col(f"{prefix}a")) / (F.col(f"{prefix}b") - F.col(f"{prefix}a"))
+        return F.col(f"{prefix}ya") + share * (F.col(f"{prefix}yb") - F.col(f"{prefix}ya")) - F.col("_y0")
+
+    met = met.withColumns({"_l1": at("l_", "_lo"), "_l2": at("l_", "_hi"), "_r1": at("r_", "_lo"), "_r2": at("r_", "_hi")})
+    d1, d2 = F.col("_l1") - F.col("_r1"), F.col("_l2") - F.col("_r2")
+    total = F.abs(d1) + F.abs(d2)
+    # the mean distance of the two lines, which may cross once
+    apart = F.when(d1 * d2 >= 0, total / 2).otherwise((d1 * d1 + d2 * d2) / (2 * total))
+    lower = (F.col("_l1") + F.col("_l2") + F.col("_r1") + F.col("_r2")) / 4 - apart / 2
+    summed = met.groupBy("left_id", "right_id").agg(
+        F.sum(F.col("l_s") * F.col("r_s") * (F.col("_hi") - F.col("_lo")) * lower).alias("area"),
+        F.first((F.col("xmax") - F.col("_x0")) * (F.col("ymax") - F.col("_y0"))).alias("_box"),
     )
-    return flag_inside_own_polygon(centres, edges, key, step * 16).where("inside").drop("inside")
+    # what rounding leaves of polygons that share no area
+    real = summed.where(F.col("area") > F.col("_box") * 1e-12)
+    return real.join(size, "left_id").select("left_id", "right_id", "area", (F.col("area") / F.col("own")).alias("share"))
 
 
 def assign_largest_overlap(
@@ -251,35 +301,90 @@ def assign_largest_overlap(
     cell_size: float,
     key: str = "polygon_id",
 ) -> DataFrame:
-    """Region sharing most area with each candidate, null where none does.
+    """Region sharing most area with each candidate, and its share of the candidate; null and 0 where none does.
 
-    Area is counted in grid cells of ``step``, or finer ones for small candidates; equal
-    counts go to the region listed first in ``region_order`` (key, pos).
+    Equal areas (to nine decimals of the candidate's) go to the region listed first in
+    ``region_order`` (key, pos).  ``step``: see ``overlap_areas``.
     """
-    points = polygon_sample_points(candidates, step, key).withColumnRenamed(key, "candidate_id")
-    shared = points_in_polygons(points, regions, cell_size, key).groupBy("candidate_id", key).agg(F.count(F.lit(1)).alias("n"))
-    ranked = shared.join(region_order.select(key, "pos"), key)
-    best = ranked.groupBy("candidate_id").agg(
-        F.max_by(F.struct(key, "n"), F.struct("n", -F.col("pos"))).alias("b")
+    shared = overlap_areas(candidates, regions, polygons_meeting(candidates, regions, cell_size, key), step, key)
+    ranked = shared.join(region_order.select(F.col(key).alias("right_id"), "pos"), "right_id")
+    best = ranked.groupBy(F.col("left_id").alias("candidate_id")).agg(
+        F.max_by(F.struct("right_id", "share"), F.struct(F.round("share", 9), -F.col("pos"))).alias("b")
     )
     ids = candidates.select(F.col(key).alias("candidate_id")).distinct()
     return ids.join(best, "candidate_id", "left").select(
-        "candidate_id", F.col(f"b.{key}").alias("region_id"), F.coalesce("b.n", F.lit(0)).alias("shared_cells")
+        "candidate_id", F.col("b.right_id").alias("region_id"), F.coalesce("b.share", F.lit(0.0)).alias("shared_share")
     )
 
 
-def dissolve_outline(edges: DataFrame, groups: DataFrame, key: str = "polygon_id") -> DataFrame:
-    """Outer sides of merged polygons: sides that occur once in their group.
+# --- union of polygons ----------------------------------------------------------
+
 
-    ``groups``: group_id, key.  Polygons must share exact vertices along common sides.
+def split_sides(sides: DataFrame, group: str, side: str, cell_size: float) -> DataFrame:
+    """Sides cut wherever another side of their group touches or crosses them: consecutive pieces, in the side's direction.
+
+    ``sides``: group, side (an id), x1, y1, x2, y2.  Two sides are compared in one cell
+    only, the first that both are listed under; a crossing is computed once for both.
+    """
+    xs = cell_range(F.least("x1", "x2"), F.greatest("x1", "x2"), cell_size)
+    ys = cell_range(F.least("y1", "y2"), F.greatest("y1", "y2"), cell_size)
+    listed = sides.select(group, side, *EDGE_STRUCT, xs.alias("_xs"), ys.alias("_ys"))
+    listed = listed.withColumn("xcell", F.explode("_xs")).withColumn("ycell", F.explode("_ys"))
+    first = {"_fx": F.col("_xs")[0], "_fy": F.col("_ys")[0]}
+    listed = listed.withColumns(first).drop("_xs", "_ys")
+    a = listed.select(group, "xcell", "ycell", *[F.col(c).alias(f"a_{c}") for c in (side, *EDGE_STRUCT, "_fx", "_fy")])
+    b = listed.select(group, "xcell", "ycell", *[F.col(c).alias(f"b_{c}") for c in (side, *EDGE_STRUCT, "_fx", "_fy")])
+    ax1, ay1, ax2, ay2 = (F.col(f"a_{c}") for c in EDGE_STRUCT)
+    bx1, by1, bx2, by2 = (F.col(f"b_{c}") for c in EDGE_STRUCT)
+    met = a.join(b, [group, "xcell", "ycell"]).where(F.col(f"a_{side}") < F.col(f"b_{side}"))
+    met = met.where((F.col("xcell") == F.greatest("a__fx", "b__fx")) & (F.col("ycell") == F.greatest("a__fy", "b__fy")))
+    met = met.where(segments_touch((ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2)))
+    o1, o2 = _orientation(ax1, ay1, ax2, ay2, bx1, by1), _orientation(ax1, ay1, ax2, ay2, bx2, by2)
+    o3, o4 = _orientation(bx1, by1, bx2, by2, ax1, ay1), _orientation(bx1, by1, bx2, by2, ax2, ay2)
+    t = F.try_divide((bx1 - ax1) * (by2 - by1) - (by1 - ay1) * (bx2 - bx1), (ax2 - ax1) * (by2 - by1) - (ay2 - ay1) * (bx2 - bx1))
+
+    def point(x: Column, y: Column) -> Column:
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    def within(x: Column, y: Column, p: Sequence[Column]) -> Column:
+        return x.between(F.least(p[0], p[2]), F.greatest(p[0], p[2])) & y.between(F.least(p[1], p[3]), F.greatest(p[1], p[3]))
+
+    box_a, box_b = (ax1, ay1, ax2, ay2), (bx1, by1, bx2, by2)
+    crossing = F.when((o1 * o2 < 0) & (o3 * o4 < 0), point(ax1 + t * (ax2 - ax1), ay1 + t * (ay2 - ay1)))
+    ends_on_a = [F.when((o1 == 0) & within(bx1, by1, box_a), point(bx1, by1)), F.when((o2 == 0) & within(bx2, by2, box_a), point(bx2, by2))]
+    ends_on_b = [F.when((o3 == 0) & within(ax1, ay1, box_b), point(ax1, ay1)), F.when((o4 == 0) & within(ax2, ay2, box_b), point(ax2, ay2))]
+    on_a = met.select(group, F.col(f"a_{side}").alias(side), F.explode(F.array_compact(F.array(crossing, *ends_on_a))).alias("p"))
+    on_b = met.select(group, F.col(f"b_{side}").alias(side), F.explode(F.array_compact(F.array(crossing, *ends_on_b))).alias("p"))
+    ends = sides.select(group, side, F.explode(F.array(point(F.col("x1"), F.col("y1")), point(F.col("x2"), F.col("y2")))).alias("p"))
+    points = on_a.unionByName(on_b).unionByName(ends).distinct().join(sides.select(group, side, *EDGE_STRUCT), [group, side])
+    along = (F.col("p.x") - F.col("x1")) * (F.col("x2") - F.col("x1")) + (F.col("p.y") - F.col("y1")) * (F.col("y2") - F.col("y1"))
+    ordered = points.withColumn("_q", F.lead("p").over(W.partitionBy(group, side).orderBy(along, "p")))
+    return ordered.where("_q is not null").select(group, side, "p", F.col("_q").alias("q"))
+
+
+def dissolve_outline(edges: DataFrame, groups: DataFrame, key: str = "polygon_id", cell_size: float = 1 / 64) -> DataFrame:
+    """Sides of the union of each group's polygons, cut where sides met.
+
+    ``groups``: group_id, key.  Polygons may overlap, lie within one another, or meet in
+    parts of sides; what is covered on both sides is not part of the outline.
     """
-    forward = (F.col("x1") < F.col("x2")) | ((F.col("x1") == F.col("x2")) & (F.col("y1") <= F.col("y2")))
-    a, b = F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"))
-    sided = edges.join(groups, key).select(
-        "group_id", F.when(forward, a).otherwise(b).alias("p"), F.when(forward, b).otherwise(a).alias("q")
+    signed = ring_signs(edges, key).join(groups.select("group_id", key), key).where("x1 <> x2 or y1 <> y2")
+    sides = signed.withColumn("_side", F.struct(key, "_part", "_ring", *EDGE_STRUCT))
+    pieces = split_sides(sides.select("group_id", "_side", *EDGE_STRUCT).distinct(), "group_id", "_side", cell_size)
+    pieces = pieces.join(sides.select("group_id", "_side", F.col(key).alias("_owner"), "_sign").distinct(), ["group_id", "_side"])
+    forward = F.col("p") < F.col("q")
+    left = (F.col("_sign") > 0) == forward
+    turned = pieces.select(
+        "group_id", F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q"), "_owner", left.alias("_left")
     )
-    once = sided.groupBy("group_id", "p", "q").agg(F.count(F.lit(1)).alias("n")).where("n = 1")
-    return once.select(
+    sided = turned.groupBy("group_id", "p", "q").agg(F.bool_or("_left").alias("_l"), F.bool_or(~F.col("_left")).alias("_r")).where("_l <> _r")
+    # another member may cover both sides of a piece
+    middle = sided.select("group_id", "p", "q", ((F.col("p.x") + F.col("q.x")) / 2).alias("lon"), ((F.col("p.y") + F.col("q.y")) / 2).alias("lat"))
+    inside = points_in_polygons(middle, edges, cell_size, key).join(groups.select("group_id", key), ["group_id", key], "left_semi")
+    owners = turned.select("group_id", "p", "q", F.col("_owner").alias(key))
+    covered = inside.join(owners, ["group_id", "p", "q", key], "left_anti").select("group_id", "p", "q").distinct()
+    outline = sided.join(covered, ["group_id", "p", "q"], "left_anti")
+    return outline.select(
         "group_id", F.col("p.x").alias("x1"), F.col("p.y").alias("y1"), F.col("q.x").alias("x2"), F.col("q.y").alias("y2")
     )
 

@@ -95,24 +95,29 @@ def polygons_in_region(t: Tables) -> DataFrame:
     return spatial.polygons_meeting(t.parcel_edges, regions, CELL)
 
 
-STEP = 1 / 256
-_GRID = f"""(select polygon_id, (gx+0.5e0)*{STEP!r}e0 lon, (gy+0.5e0)*{STEP!r}e0 lat from (select polygon_id, unnest(range(cast(floor(xmin*256) as bigint), cast(floor(xmax*256) as bigint)+1)) gx, ymin, ymax
-    from (select polygon_id, min(x1) xmin, max(x1) xmax, min(y1) ymin, max(y1) ymax from a_parcel_edges group by 1)),
-    lateral (select unnest(range(cast(floor(ymin*256) as bigint), cast(floor(ymax*256) as bigint)+1)) gy))"""
+STEP = 1 / 32  # degrees; strips in which sides meet
+
+
+def _heights(alias: str) -> str:
+    """Height of a side at both ends of the common stretch lo..hi."""
+    line = "({0}.y1+({1}-{0}.x1)*(({0}.y2-{0}.y1)/({0}.x2-{0}.x1)))"
+    return f"{line.format(alias, 'greatest(least(a.x1,a.x2),least(b.x1,b.x2))')} {alias}1, {line.format(alias, 'least(greatest(a.x1,a.x2),greatest(b.x1,b.x2))')} {alias}2"
 
 
 @query(
     "largest_overlap",
-    f"""with g as {_GRID}, own as (select g.polygon_id, g.lon, g.lat from g join a_parcel_edges e using (polygon_id) group by 1,2,3 having {crossing()}),
-   hit as (select o.polygon_id, o.lon, o.lat, e.mws_id from own o, a_edges e group by 1,2,3,4 having {crossing()}),
-   n as (select h.polygon_id, h.mws_id, m.pos, count(*) n from hit h join a_mws m using (mws_id) group by 1,2,3),
-   best as (select *, row_number() over (partition by polygon_id order by n desc, pos) rn from n)
-   select p.polygon_id candidate_id, b.mws_id region_id, coalesce(b.n, 0) shared_cells from a_parcels p left join best b on p.polygon_id=b.polygon_id and rn=1""",
+    f"""with prs as (select a.polygon_id, b.mws_id, sign(a.x1-a.x2)*sign(b.x1-b.x2) s, least(greatest(a.x1,a.x2),greatest(b.x1,b.x2))-greatest(least(a.x1,a.x2),least(b.x1,b.x2)) w,
+     {_heights('a')}, {_heights('b')} from a_parcel_edges a join a_edges b on a.x1<>a.x2 and b.x1<>b.x2 and least(greatest(a.x1,a.x2),greatest(b.x1,b.x2))>greatest(least(a.x1,a.x2),least(b.x1,b.x2))),
+   summed as (select polygon_id, mws_id, sum(s*w*((a1+a2+b1+b2)/4-case when (a1-b1)*(a2-b2)>=0 then abs(a1-b1+a2-b2)/4 else (pow(a1-b1,2)+pow(a2-b2,2))/(4*(abs(a1-b1)+abs(a2-b2))) end)) area from prs group by 1,2),
+   own as (select polygon_id, abs(sum(x1*y2-x2*y1))/2 own from a_parcel_edges group by 1),
+   n as (select polygon_id, mws_id, pos, area/own share from summed join own using (polygon_id) join a_mws using (mws_id) where area/own > 1e-9),
+   best as (select *, row_number() over (partition by polygon_id order by round(share, 9) desc, pos) rn from n)
+   select p.polygon_id candidate_id, b.mws_id region_id, {q6('coalesce(b.share, 0)')} shared_share from a_parcels p left join best b on p.polygon_id=b.polygon_id and rn=1""",
 )
 def largest_overlap(t: Tables) -> DataFrame:
     regions = t.edges.withColumnRenamed("mws_id", "polygon_id")
     order = t.mws.select(F.col("mws_id").alias("polygon_id"), "pos")
-    return spatial.assign_largest_overlap(t.parcel_edges, regions, order, STEP, CELL)
+    return spatial.assign_largest_overlap(t.parcel_edges, regions, order, STEP, CELL).withColumn("shared_share", r6("shared_share"))
 
 
 @query(

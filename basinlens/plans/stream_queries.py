@@ -17,7 +17,7 @@ from basinlens.plans.record_queries import HASHES, NOW, SCORED, VISUAL
 from basinlens.plans.registry_queries import slug
 from basinlens.plans.scoring_queries import GATED
 from basinlens.plans.tables import Tables
-from basinlens.session import scratch_path
+from basinlens.session import cut_lineage, scratch_path
 from basinlens.streaming import ingest, live_counts, photo_state
 
 
@@ -53,7 +53,8 @@ def stream_ingest(t: Tables) -> DataFrame:
     def photos_of(batch: DataFrame) -> DataFrame:
         return both_photos(batch, "record_id")
 
-    body = ingest.ingest_batch(t.spark, t.mws, t.edges, photos_of, out, F.lit(NOW).cast("timestamp_ntz"))
+    expected = 2 * t.base("orders").count()
+    body = ingest.ingest_batch(t.spark, t.mws, t.edges, photos_of, out, F.lit(NOW).cast("timestamp_ntz"), expected=expected)
 
     def start(orders: DataFrame) -> StreamingQuery:
         arriving = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -96,7 +97,7 @@ def stream_duplicates(t: Tables) -> DataFrame:
         found = photo_state.stream_duplicates(photos, expected).writeStream.format("parquet")
         return found.option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    in_parts(t, orders, "o_orderkey", 3, start, photo_state.state_session(t.spark))
+    in_parts(t, orders, "o_orderkey", 2, start, photo_state.state_session(t.spark))
     return photo_state.least_distances(t.spark.read.schema(photo_state.OUTPUT).parquet(out))
 
 
@@ -134,9 +135,9 @@ def stream_backlog(t: Tables) -> DataFrame:
     rows = rows.select("record_id", "version", "arrival", live_counts.status_groups().alias("groups"))
 
     def start(stream: DataFrame) -> StreamingQuery:
-        return live_counts.keep_sums(live_counts.count_changes(stream, "record_id", "version", "groups"), out, checkpoint)
+        return live_counts.keep_sums(stream, live_counts.count_batch(t.spark, out, "record_id", "version", "groups"), checkpoint)
 
-    in_parts(t, rows, "arrival", 3, start, photo_state.state_session(t.spark))
+    in_parts(t, cut_lineage(rows), "arrival", 3, start)
     return live_counts.split_group(live_counts.current_sums(t.spark, out))
 
 

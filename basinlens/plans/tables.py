@@ -12,25 +12,35 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basinlens import constants as C
 from basinlens.functions.geo import hash_from_halves
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
-_CODE = "substr('AMVMSMPTNCBNLSLHOM', cast(1+2*({k}%9) as int), 2)"
+_CODE = f"substr('{''.join(C.CATEGORY_CODES)}', cast(1+2*({{k}}%9) as int), 2)"
 _RING = [(0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0.5, 0.5), (0.5, 0.5, 0, 1), (0, 1, 0, 0)]
 
 
-def _ring(key: str, source: str, width: str) -> str:
+def _sides(width: str) -> list[dict[str, str]]:
     """Five sides of a concave ring at (x0, y0)."""
+    corner = {"x1": "x0+{0}e0*{w}", "y1": "y0+{1}e0*{w}", "x2": "x0+{2}e0*{w}", "y2": "y0+{3}e0*{w}"}
+    return [{"edge": str(i)} | {c: form.format(*side, w=width) for c, form in corner.items()} for i, side in enumerate(_RING)]
+
+
+def _ring(key: str, source: str, width: str) -> str:
     return " union all ".join(
-        f"select {key}, 0 part, 0 ring, {i} edge, x0+{a}e0*{width} x1, y0+{b}e0*{width} y1, "
-        f"x0+{c}e0*{width} x2, y0+{d}e0*{width} y2 from {{{source}}}"
-        for i, (a, b, c, d) in enumerate(_RING)
+        f"select {key}, 0 part, 0 ring, {', '.join(f'{value} {name}' for name, value in side.items())} from {{{source}}}" for side in _sides(width)
     )
 
 
+def _ring_inline(key: str, source: str, width: str) -> str:
+    """The same rows for Spark, which would read the source once per select of a union."""
+    structs = [f"named_struct({', '.join(f"'{name}', {value}" for name, value in side.items())})" for side in _sides(width)]
+    return f"select {key}, 0 part, 0 ring, inline(array({', '.join(structs)})) from {{{source}}}"
+
+
 ADAPTERS: dict[str, str] = {
     # watersheds on a 5 x 5 grid, some without a window bound
     "a_mws": """select concat('W', n_nationkey) mws_id, n_name name, concat('S', n_regionkey) state, n_nationkey pos,
@@ -106,6 +116,11 @@ ADAPTERS: dict[str, str] = {
     "a_cells": """select distinct user_id cell_id, user_id%10 zone_id from {events}""",
 }
 
+SPARK_FORMS = {
+    "a_edges": _ring_inline("mws_id", "a_mws", "0.125e0"),
+    "a_parcel_edges": _ring_inline("polygon_id", "a_parcels", "w"),
+}
+
 
 def _needed(text: str) -> list[str]:
     """Adapters used by ``text``, in order of definition."""
@@ -152,7 +167,7 @@ class Tables:
     def _text(self, name: str) -> str:
         names = {t: f"parquet.`{self.folder}/{t}.parquet`" for t in BASE}
         names |= {a: f"({self._text(a)})" for a in ADAPTERS if a in re.findall(r"\{(\w+)\}", ADAPTERS[name])}
-        return ADAPTERS[name].format(**names)
+        return SPARK_FORMS.get(name, ADAPTERS[name]).format(**names)
 
     def __getattr__(self, name: str) -> DataFrame:
         """``tables.records`` is the adapter ``a_records``."""

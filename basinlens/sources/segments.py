@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basinlens.operators.common import latest_by_key
-from basinlens.session import cut_lineage
 
 HIDDEN = ("_seq", "_range")
 _NOTHING = {"version": 0, "batch": None, "segments": [], "meta": {}}
@@ -110,7 +109,7 @@ class SegmentTable:
 
     def _write_segment(self, rows: DataFrame, tier: int) -> dict:
         """``rows`` (with _seq) merged, counted and written by range."""
-        rows = cut_lineage(self.merge(rows))
+        rows = self.merge(rows).persist()
         count = rows.count()
         bits = max(0, math.ceil(math.log2(max(1, count) / self.range_rows)))
         folder = f"segments/{uuid.uuid4().hex}"
@@ -118,6 +117,7 @@ class SegmentTable:
         if bits:
             ranged = ranged.repartition("_range")
         ranged.write.partitionBy("_range").parquet(f"{self.path}/{folder}")
+        rows.unpersist()
         return {"path": folder, "tier": tier, "bits": bits, "rows": count, "schema": rows.schema.json()}
 
     def append(self, rows: DataFrame, batch: int | None = None, meta: dict | None = None) -> bool:

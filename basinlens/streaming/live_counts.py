@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from basinlens.sources.segments import SegmentTable
 
@@ -50,80 +45,73 @@ def current_counts(written: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 # --- counts of what records are now ---------------------------------------------------------
 
-_RECORD = T.StructType([T.StructField("record", T.StringType())])
-_LAST = T.StructType([T.StructField("version", T.LongType()), T.StructField("groups", T.ArrayType(T.StringType()))])
-CHANGE = T.StructType([T.StructField("group", T.StringType()), T.StructField("delta", T.LongType())])
-
-
-class _Changes(StatefulProcessor):
-    """Keeps each record's last version and the groups that count it; emits what a newer version takes away and adds."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", _RECORD, _LAST)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        newest: dict[str, tuple[int, list[str]]] = {}
-        for part in rows:
-            for record, version, groups in zip(part["record"], part["version"].tolist(), part["groups"], strict=True):
-                offered = (version, sorted(groups) if groups is not None else [])
-                if record not in newest or offered > newest[record]:
-                    newest[record] = offered
-        changes: Counter[str] = Counter()
-        for record, (version, groups) in newest.items():
-            before = self.last.getValue((record,))
-            if before is not None:
-                if version < before[0] or (version == before[0] and groups <= sorted(before[1])):
-                    continue
-                changes.subtract(before[1])
-            changes.update(groups)
-            self.last.updateValue((record,), (version, groups))
-        changed = {g: d for g, d in changes.items() if d}
-        if changed:
-            yield pd.DataFrame({"group": list(changed), "delta": np.array(list(changed.values()), dtype=np.int64)})
-
-    def close(self) -> None:
-        pass
-
-
-def count_changes(records: DataFrame, record: str, version: str, groups: str, buckets: int = 2048) -> DataFrame:
-    """(group, delta): how the number of records in each group changes as new versions of them arrive.
-
-    ``groups``: the groups that count a record, an array of texts; null or empty retracts it.
-    Only a newer version changes anything; of two rows of one version the one with the
-    larger groups counts.  ``records`` is a stream of a session made by
-    ``photo_state.state_session``.  Records are dealt to ``buckets`` groups of state by
-    hash, a number fixed for the life of a checkpoint; changes leave a bucket added up.
-    """
-    rows = records.select(
-        F.pmod(F.xxhash64(F.col(record).cast("string")), F.lit(buckets)).alias("bucket"),
-        F.col(record).cast("string").alias("record"),
-        F.col(version).cast("bigint").alias("version"),
-        F.col(groups).alias("groups"),
-    )
-    # rows without a record or version count for nothing
-    rows = rows.where("record is not null and version is not null")
-    return rows.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Changes(), outputStructType=CHANGE, outputMode="Append", timeMode="None")
+def _newest(rows: DataFrame) -> DataFrame:
+    """One row per record: the newest version; of two rows of one version the one with the larger groups."""
+    return rows.groupBy("record").agg(F.max(F.struct("version", "groups")).alias("_v"), F.max("_seq").alias("_seq")).select("record", "_v.*", "_seq")
 
 
 def _sums(rows: DataFrame) -> DataFrame:
     return rows.groupBy("group").agg(F.sum("delta").alias("delta"), F.max("_seq").alias("_seq"))
 
 
-def keep_sums(changes: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Add each batch's changes, once, to the table of sums at ``path``."""
-    spark = changes.sparkSession
+def _tables(spark: SparkSession, path: str, **options) -> tuple[SegmentTable, SegmentTable]:
+    return SegmentTable(spark, f"{path}/records", _newest, ["record"], **options), SegmentTable(spark, f"{path}/sums", _sums, ["group"])
+
+
+def count_changes(fresh: DataFrame, last: DataFrame | None) -> DataFrame:
+    """(group, delta): what the newest versions in ``fresh`` take away from and add to the groups that count records.
+
+    Both sides: record, version, groups (sorted), one row per record.  Changes are added up
+    per group before they meet.
+    """
+    if last is None:
+        moved = fresh.withColumn("_old", F.array().cast("array<string>"))
+    else:
+        known = last.select("record", F.struct("version", "groups").alias("_known"))
+        met = fresh.join(known, "record", "left").where("_known is null or struct(version, groups) > _known")
+        moved = met.withColumn("_old", F.coalesce("_known.groups", F.array().cast("array<string>")))
+    signed = F.concat(
+        F.transform("groups", lambda g: F.struct(g.alias("group"), F.lit(1).cast("bigint").alias("delta"))),
+        F.transform("_old", lambda g: F.struct(g.alias("group"), F.lit(-1).cast("bigint").alias("delta"))),
+    )
+    changes = moved.select(F.inline(signed))
+    return changes.groupBy("group").agg(F.sum("delta").alias("delta")).where("delta <> 0")
+
+
+def count_batch(spark: SparkSession, path: str, record: str, version: str, groups: str, **options) -> Callable[[DataFrame, int], None]:
+    """``foreachBatch`` body: keeps ``path/records`` (last version of each record) and ``path/sums``.
+
+    ``groups``: the groups that count a record, an array of texts; null or empty retracts
+    it.  Only a newer version changes anything.  Rows without a record or version count for
+    nothing.  A batch reads the ranges of its own records, as they were before it, and both
+    tables hold it once: repeated after a crash it adds nothing twice.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        records, sums = _tables(spark, path, **options)
+        rows = batch.select(
+            F.col(record).cast("string").alias("record"),
+            F.col(version).cast("bigint").alias("version"),
+            F.array_sort(F.coalesce(F.array_compact(F.col(groups)), F.array().cast("array<string>"))).alias("groups"),
+            F.lit(batch_id).cast("bigint").alias("_seq"),
+        )
+        fresh = _newest(rows.where("record is not null and version is not null")).drop("_seq").persist()
+        sums.append(count_changes(fresh, records.read(fresh, before=batch_id)), batch_id)
+        records.append(fresh, batch_id)
+        fresh.unpersist()
+
+    return run
 
-    def add(batch: DataFrame, batch_id: int) -> None:
-        SegmentTable(spark, path, _sums, ["group"]).append(batch, batch_id)
 
+def keep_sums(stream: DataFrame, body: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     trigger = trigger or {"availableNow": True}
-    return changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return stream.writeStream.foreachBatch(body).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def current_sums(spark: SparkSession, path: str) -> DataFrame:
     """(group, n) of the groups that count any record now."""
-    sums = SegmentTable(spark, path, _sums, ["group"]).read()
-    sums = spark.createDataFrame([], CHANGE) if sums is None else sums
+    sums = _tables(spark, path)[1].read()
+    sums = spark.createDataFrame([], "group string, delta bigint") if sums is None else sums
     return sums.where("delta <> 0").select("group", F.col("delta").alias("n"))
 
 

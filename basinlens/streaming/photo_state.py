@@ -1,7 +1,7 @@
 """Near-duplicate search over an endless stream, with one state entry per hash and key.
 
 Each photo hash is listed under its block choices (see ``operators.photos``); the state of
-a key maps the hashes seen there to their first record, whatever the number of records that
+a key lists the hashes seen there, each once, with their first record, whatever the number of records that
 share a hash.  A key that comes to hold more than ``bound`` hashes (many photos with a dark
 corner, say) hands its entries on to a second level and keeps none from then on: hashes
 under one key agree in its blocks, so the second level cuts the remaining bits into blocks
@@ -27,8 +27,7 @@ OUTPUT = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("
 _LEVEL = T.StructType(
     [T.StructField("key", T.LongType()), T.StructField("record_id", T.LongType()), T.StructField("phash", T.LongType()), T.StructField("distance", T.IntegerType())]
 )
-_HASH = T.StructType([T.StructField("phash", T.LongType())])
-_FIRST = T.StructType([T.StructField("first_id", T.LongType())])
+_ENTRY = T.StructType([T.StructField("phash", T.LongType()), T.StructField("first_id", T.LongType())])
 _MOVED = T.StructType([T.StructField("moved", T.BooleanType())])
 
 ROW_COST = 300_000.0  # a keyed row costs a state access; comparisons are vectorised (see choose_blocks)
@@ -62,7 +61,8 @@ class _NearHashes(StatefulProcessor):
         self.k, self.bound, self.masks, self.expire_ms = k, bound, masks, expire_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", _HASH, _FIRST, self.expire_ms)
+        # a list, since its entries are read and appended many at a time
+        self.seen = handle.getListState("seen", _ENTRY, self.expire_ms)
         self.moved = handle.getValueState("moved", _MOVED) if self.bound else None
 
     def _second(self, key: int, choice: int, hashes: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
@@ -120,15 +120,17 @@ class _NearHashes(StatefulProcessor):
             if self.bound and len(stored.keys() | pending.keys()) > self.bound:
                 yield from self._move(key, choice, stored, pending)
                 return
-            for h, i in pending.items():
-                if h not in stored or i < stored[h]:
-                    self.seen.updateValue((h,), (i,))
+            new = [entry for entry in pending.items() if entry[0] not in stored]
+            if any(i < stored.get(h, i) for h, i in pending.items()):  # a smaller id of a known hash came later
+                self.seen.put([(h, min(i, pending.get(h, i))) for h, i in stored.items()] + new)
+            elif new:
+                self.seen.appendList(new)
             found = self._compare(stored, pending)
             if len(found):
                 yield found
 
     def _stored(self) -> dict[int, int]:
-        return {h: i for (h,), (i,) in self.seen.iterator()} if self.seen.exists() else {}
+        return dict(self.seen.get()) if self.seen.exists() else {}
 
     def _move(self, key: int, choice: int, stored: dict[int, int], pending: dict[int, int]) -> Iterator[pd.DataFrame]:
         self.moved.update((True,))

@@ -1,6 +1,8 @@
 """Hand cases at the edges of the scoring rules."""
 
 import datetime as dt
+import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -351,3 +353,13 @@ def test_temporal_rule(spark):
     df = spark.createDataFrame(rows, "asset_id string, ts timestamp_ntz, stage string")
     got = {r["asset_id"]: r["temporal_score"] for r in scoring.temporal_score(df).collect()}
     assert got == {"up": 10, "one": 5, "back": 0, "flat": 0, "skip": 10}
+
+
+def test_slugs_fold_like_unicode(spark):
+    titles = ["File:Rājā ő ﬁne ² Šipka.jpg", "½ ㎏ Ⅷ Å ø.png", "കേരളം.jpg", "𝐁old ｆull.x", "àÿ Ñ.jpeg", "a" * 80, "", "…dots.", "ＦＩＬＥ"]
+    df = spark.createDataFrame(list(enumerate(titles)), "i int, t string")
+    for row in df.select("i", text.ascii_slug("t").alias("s")).collect():
+        name = titles[row["i"]].removeprefix("File:")
+        stem = re.sub(r"(?<=.)\.[^.]+$", "", name.split("/")[-1])
+        plain = unicodedata.normalize("NFKD", stem).encode("ascii", "ignore").decode()
+        assert row["s"] == (re.sub(r"[^a-zA-Z0-9]+", "-", plain).strip("-").lower() or "photo")[:60], titles[row["i"]]

@@ -1,5 +1,6 @@
 """File formats, refusals, and stream = batch."""
 
+import collections
 import datetime as dt
 import json
 import random
@@ -8,9 +9,10 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from basinlens.operators import integrity, photos, records, registry
+from basinlens import constants
+from basinlens.operators import integrity, photos, records, registry, scoring
 from basinlens.plans.tables import Tables
-from basinlens.sources import files, geojson, report_html
+from basinlens.sources import files, geojson, report_html, segments
 from basinlens.streaming import ingest, live_counts, photo_state
 
 PAGE = """<table id="t"><thead><tr><td>not in the body</td></tr></thead><tbody>
@@ -243,3 +245,61 @@ def test_nested_series_documents(spark):
 def test_stored_hash_counts(spark):
     df = spark.createDataFrame([(3, 7), (1, 7), (2, None)], "record_id long, phash long")
     assert [tuple(r) for r in photos.stored_hashes(df).collect()] == [(7, 1, 3, 2)]
+
+
+def test_live_counts_follow_changes(spark, folder):
+    """Several batches with updates, resent and retracted records; equal to counting the newest rows."""
+    pick, out = random.Random(2), f"{folder}/out"
+    body = live_counts.count_batch(spark, out, "record_id", "version", "groups", range_rows=10)
+    newest: dict = {}
+    schema = "record_id long, version int, groups array<string>"
+    for batch in range(6):
+        rows = [(pick.randrange(30), pick.randrange(4), pick.choice([None, [], ["a"], ["a", "b"], ["b", "c"], ["c", None]])) for _ in range(20)]
+        rows += [(None, 9, ["a"]), (3, None, ["b"])]
+        for record, version, groups in rows:
+            if record is not None and version is not None:
+                offered = (version, sorted(g for g in groups or [] if g is not None))
+                newest[record] = max(newest.get(record, offered), offered)
+        df = spark.createDataFrame(rows, schema)
+        body(df, batch)
+        body(df, batch)  # again, as after a crash
+        want = collections.Counter(g for _, groups in newest.values() for g in groups)
+        assert {r["group"]: r["n"] for r in live_counts.current_sums(spark, out).collect()} == dict(want)
+
+
+def test_live_counts_survive_a_crash_between_their_tables(spark, folder, monkeypatch):
+    out = f"{folder}/out"
+    body = live_counts.count_batch(spark, out, "record_id", "version", "groups")
+    df = spark.createDataFrame([(1, 1, ["a"])], "record_id long, version int, groups array<string>")
+    append = segments.SegmentTable.append
+
+    def crash(self, rows, batch=None, meta=None):
+        if self.path.endswith("records"):
+            raise OSError("lost")
+        return append(self, rows, batch, meta)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(segments.SegmentTable, "append", crash)
+        with pytest.raises(OSError, match="lost"):
+            body(df, 0)
+    body(df, 0)
+    body(spark.createDataFrame([(1, 2, ["b"])], df.schema), 1)
+    assert {r["group"]: r["n"] for r in live_counts.current_sums(spark, out).collect()} == {"b": 1}
+
+
+def test_live_backlog_equals_backlog_and_bands(spark, folder):
+    """Updates that change status and band, over three batches, against the batch operators on the newest rows."""
+    pick, slugs, bands = random.Random(6), constants.STATUS_SLUGS, [None, *constants.BANDS]
+    body = live_counts.count_batch(spark, f"{folder}/out", "record_id", "version", "groups")
+    newest = {}
+    schema = "record_id long, version int, mws_id string, band string, pre_slug string, mid_slug string, post_slug string"
+    for batch in range(3):
+        rows = [(r, batch, f"W{r % 4}", pick.choice(bands), *(pick.choice(slugs) for _ in range(3))) for r in pick.sample(range(60), 40)]
+        newest |= {r[0]: r for r in rows}
+        body(spark.createDataFrame(rows, schema).withColumn("groups", live_counts.status_groups()), batch)
+    live = {(r["kind"], r["name"], r["value"]): r["n"] for r in live_counts.split_group(live_counts.current_sums(spark, f"{folder}/out")).collect()}
+    now = spark.createDataFrame(list(newest.values()), schema)
+    for row in registry.stage_backlog(now).collect():
+        assert [live.get(("stage", row["stage"], s), 0) for s in slugs] == [row[s] for s in slugs]
+    for row in scoring.band_stats(now, now).collect():
+        assert [live.get(("band", row["mws_id"], b), 0) for b in [*constants.BANDS, "unscored"]] == [row[b] for b in [*constants.BANDS, "unscored"]]
