@@ -6,8 +6,12 @@ index name in ``by``).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
+from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,25 +67,64 @@ def number_units(controls: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return joined.select(*by, "unit_id", (F.col("_at") - F.col("_first")).alias("k"), "_units")
 
 
-def bootstrap_draws(units: DataFrame, draws: int, seed: int, by: Sequence[str] = (), per_task: int = 20) -> DataFrame:
-    """(by, b, k): the units of every resample, n draws of a group's n units with replacement.
+def drawn_times(draws: Sequence[int], units: int, seed: int) -> np.ndarray:
+    """(draws, units): how often each resample of ``units`` draws with replacement holds each unit.
 
-    Draw ``i`` of resample ``b`` is the first 32 bits of md5("seed-b-i") modulo n, so every
-    engine and every rerun draws the same units, and a group's draws depend on its own
-    units alone.  Resamples are dealt to tasks in sets of ``per_task`` before they are
-    drawn, so few units still keep a cluster busy, and one resample's draws lie together
-    for the map-side aggregation that follows.
+    Draw ``i`` of resample ``b`` is the first 32 bits of md5("seed-b-i") modulo ``units``, so
+    every engine and every rerun draws the same units, and a group's draws depend on its own
+    units alone.
     """
-    spark = units.sparkSession
-    sets = F.sequence(F.lit(0), F.lit((draws - 1) // per_task))
-    dealt = units.select(*by, "k", "_units").withColumn("_set", F.explode(sets))
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_set")
-    first = F.col("_set") * per_task
-    last = F.least(first + (per_task - 1), F.lit(draws - 1))
-    slots = dealt.withColumn("b", F.explode(F.sequence(first, last)))
-    text = F.concat(F.lit(f"{seed}-"), F.col("b").cast("string"), F.lit("-"), F.col("k").cast("string"))
-    number = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return slots.select(*by, "b", (number % F.col("_units")).alias("k"))
+    times = np.zeros((len(draws), units), dtype=np.float64)
+    for row, b in enumerate(draws):
+        start = hashlib.md5(f"{seed}-{b}-".encode(), usedforsecurity=False)
+        for at in range(0, units, 65_536):
+            first = []
+            for i in range(at, min(units, at + 65_536)):
+                digest = start.copy()
+                digest.update(b"%d" % i)
+                first.append(digest.digest()[:4])
+            drawn = np.frombuffer(b"".join(first), dtype=">u4").astype(np.int64) % units
+            times[row] += np.bincount(drawn, minlength=units)
+    return times
+
+
+def _resample(parts: Iterator[pd.DataFrame], by: list[str], start_year: int, draws: int, seed: int, per_task: int) -> Iterator[pd.DataFrame]:
+    """Effects of a set of resamples: its matrix of draws times the units' values, block of units by block."""
+
+    def effects(key: tuple, state: dict) -> pd.DataFrame:
+        years, treated = state["years"], state["treated"]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            gap = treated - state["sum"] / state["n"]
+        held = state["n"] > 0
+        sides = []
+        for side in (years >= start_year, years < start_year):
+            n = (held & side).sum(axis=1)
+            total = np.where(held & side, gap, 0.0).sum(axis=1)
+            sides.append(np.divide(total, n, out=np.full(len(n), np.nan), where=n > 0))
+        effect = sides[0] - sides[1]
+        rows = pd.DataFrame({"b": state["draws"], "effect": effect})
+        for name, value in zip(by, key, strict=False):
+            rows[name] = value
+        return rows[np.isfinite(effect)][[*by, "b", "effect"]]
+
+    current, state = None, {}
+    for part in parts:
+        for key, rows in part.groupby([*by, "_set"], sort=False, dropna=False):
+            if key != current:
+                if current is not None:
+                    yield effects(current, state)
+                first = rows.iloc[0]
+                some = np.arange(first["_set"] * per_task, min(draws, (first["_set"] + 1) * per_task))
+                years, treated = np.array(first["_years"]), np.array(first["_treated"], dtype=float)
+                empty = np.zeros((len(some), len(years)))
+                state = {"draws": some, "times": drawn_times(some.tolist(), int(first["_units"]), seed), "years": years, "treated": treated, "sum": empty, "n": empty.copy()}
+                current = key
+            values = np.array(rows["_values"].tolist(), dtype=float)  # null: no value in that year
+            times = state["times"][:, rows["k"].to_numpy()]
+            state["sum"] += times @ np.nan_to_num(values)
+            state["n"] += times @ np.isfinite(values).astype(float)
+    if current is not None:
+        yield effects(current, state)
 
 
 def bootstrap_effects(
@@ -91,23 +134,38 @@ def bootstrap_effects(
     draws: int = C.BOOTSTRAP_DRAWS,
     seed: int = 42,
     by: Sequence[str] = (),
+    per_task: int = 20,
 ) -> DataFrame:
     """(by, b, effect) of every resample with years on both sides.
 
     Years the treated series lacks are dropped first, and several rows of a unit and year
-    count as their mean.  A mean over a resample is the mean over its draws, so each unit's
-    values are summed as often as it was drawn.
+    count as their mean.  A mean over a resample is the mean over its draws: its times a
+    unit was drawn, as a row of a matrix, times the matrix of units' values by year.  A task
+    has ``per_task`` resamples of one group and takes the units in blocks.
     """
     units = number_units(controls, by)
     own = treated.select(*by, "year", F.col("value").alias("treated")).where("treated is not null")
+    own = own.groupBy(*by, "year").agg(F.first("treated").alias("treated"))
+    years = own.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("year", "treated"))).alias("_own"))
     values = controls.where("value is not null").groupBy(*by, "unit_id", "year").agg(F.avg("value").alias("value"))
-    usable = values.join(own, [*by, "year"]).join(units.drop("_units"), [*by, "unit_id"])
-    drawn = bootstrap_draws(units, draws, seed, by).groupBy(*by, "b", "k").agg(F.count(F.lit(1)).alias("_times"))
-    long = sized_join(drawn, usable.select(*by, "k", "year", "value", "treated"), [*by, "k"])
-    mean = F.sum(F.col("value") * F.col("_times")) / F.sum("_times")
-    gaps = long.groupBy(*by, "b", "year").agg((F.first("treated") - mean).alias("gap"))
-    sides = gaps.groupBy(*by, "b").agg(*_effect_columns(start_year, years=False))
-    return sides.select(*by, "b", (F.col("_post") - F.col("_pre")).alias("effect")).where("effect is not null")
+    series = values.groupBy(*by, "unit_id").agg(F.map_from_entries(F.collect_list(F.struct("year", "value"))).alias("_by_year"))
+    known = series.join(units, [*by, "unit_id"])
+    rows = known.join(years, list(by)) if by else attach_scalars(known, years)
+    rows = rows.select(
+        *by,
+        "k",
+        "_units",
+        F.col("_own.year").alias("_years"),
+        F.col("_own.treated").alias("_treated"),
+        F.transform("_own", lambda y: F.col("_by_year")[y["year"]]).alias("_values"),
+    )
+    sets = F.sequence(F.lit(0), F.lit((draws - 1) // per_task))
+    # few values mean much work here, so small partitions must not be put together
+    tasks = int(treated.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_set", F.explode(sets)).repartition(tasks, *by, "_set").sortWithinPartitions(*by, "_set", "k")
+    fields = "".join(f"{treated.schema[c].simpleString().replace(':', ' ')}, " for c in by)
+    run = partial(_resample, by=list(by), start_year=start_year, draws=draws, seed=seed, per_task=per_task)
+    return dealt.mapInPandas(run, f"{fields}b bigint, effect double")
 
 
 def percentile_bounds(effects: DataFrame, ci: float = C.BOOTSTRAP_CI, by: Sequence[str] = ()) -> DataFrame:
