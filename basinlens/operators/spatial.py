@@ -166,14 +166,27 @@ def segment_distance_sq(a: Sequence[Column], b: Sequence[Column]) -> Column:
 
 
 def _edges_in_cells(edges: DataFrame, key: str, prefix: str, cell_size: float, margin: float) -> DataFrame:
+    """Sides listed under the grid cells that lie within ``margin`` of them: column by column, the rows that a side passes there.
+
+    A diagonal side takes as many rows as it has cells, not as its box has.
+    """
     m = F.lit(float(margin))
-    xs = cell_range(F.least("x1", "x2") - m, F.greatest("x1", "x2") + m, cell_size)
-    ys = cell_range(F.least("y1", "y2") - m, F.greatest("y1", "y2") + m, cell_size)
+    low, high = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = edges.withColumn("xcell", F.explode(cell_range(low - m, high + m, cell_size)))
+    slope = F.coalesce(F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")), F.lit(0.0))
+
+    def height(x: Column) -> Column:
+        return F.col("y1") + (F.greatest(low, F.least(high, x)) - F.col("x1")) * slope
+
+    # the stretch within reach of the column, a little wider than rounding
+    slack = F.lit(cell_size * 1e-9)
+    near, far = height(F.col("xcell") * cell_size - m - slack), height((F.col("xcell") + 1) * cell_size + m + slack)
+    steep = F.col("x1") == F.col("x2")
+    bottom = F.when(steep, F.least("y1", "y2")).otherwise(F.least(near, far)) - m - slack
+    top = F.when(steep, F.greatest("y1", "y2")).otherwise(F.greatest(near, far)) + m + slack
     named = [F.col(c).alias(f"{prefix}{c}") for c in EDGE_STRUCT]
-    return (
-        edges.withColumn("xcell", F.explode(xs))
-        .withColumn("ycell", F.explode(ys))
-        .select("xcell", "ycell", F.col(key).alias(f"{prefix}id"), *named)
+    return columns.withColumn("ycell", F.explode(cell_range(bottom, top, cell_size))).select(
+        "xcell", "ycell", F.col(key).alias(f"{prefix}id"), *named
     )
 
 
@@ -209,8 +222,17 @@ def polygons_within(
 
 
 def neighbours(edges: DataFrame, buffer: float, cell_size: float, key: str = "polygon_id") -> DataFrame:
-    """Pairs of different polygons within ``buffer`` of each other."""
-    return polygons_within(edges, edges, buffer, cell_size, key).where("left_id <> right_id")
+    """Pairs of different polygons within ``buffer`` of each other, both ways round; each is looked for once."""
+    a = _edges_in_cells(edges, key, "l_", cell_size, buffer)
+    b = _edges_in_cells(edges, key, "r_", cell_size, 0.0)
+    near = segment_distance_sq([F.col(f"l_{c}") for c in EDGE_STRUCT], [F.col(f"r_{c}") for c in EDGE_STRUCT])
+    met = a.hint("merge").join(b, ["xcell", "ycell"]).where(F.col("l_id") < F.col("r_id"))
+    close = met.where(near <= F.lit(buffer * buffer)).select("l_id", "r_id")
+    inside = points_in_polygons(_anchor_points(edges, key), edges, cell_size, key).where(F.col("anchor_id") != F.col(key))
+    nested = inside.select(F.least("anchor_id", key).alias("l_id"), F.greatest("anchor_id", key).alias("r_id"))
+    once = close.unionByName(nested).distinct()
+    both = F.array(F.struct(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id")), F.struct(F.col("r_id").alias("left_id"), F.col("l_id").alias("right_id")))
+    return once.select(F.inline(both))
 
 
 def polygons_meeting(

@@ -161,3 +161,20 @@ def test_union_of_random_concave_rings(spark):
     out = outline_of(spark, members, groups)
     check_union(members, out["one"])
     check_union({i: members[i] for g, i in groups if g == "two"}, out["two"])
+
+
+def test_a_side_is_listed_under_the_cells_that_it_passes(spark):
+    pick = random.Random(3)
+    rows = [("d", 0, 0, 0, 0.0, 0.0, 50.0, 50.0), ("v", 0, 0, 0, 2.0, 1.0, 2.0, 9.0), ("h", 0, 0, 0, 8.0, 2.5, 1.0, 2.5)]
+    rows += [(f"r{i}", 0, 0, 0, *(round(pick.uniform(0, 9), 2) for _ in range(4))) for i in range(30)]
+    for margin in (0.0, 0.7):
+        listed = spatial._edges_in_cells(spark.createDataFrame(rows, EDGES), "polygon_id", "l_", 1.0, margin).collect()
+        cells = {}
+        for r in listed:
+            cells.setdefault(r["l_id"], set()).add((r["xcell"], r["ycell"]))
+        assert len(cells["d"]) <= 4 * (50 + 2) * (1 + 2 * margin)  # its box has 2,500
+        for name, _, _, _, x1, y1, x2, y2 in rows:
+            for step in range(101):
+                x, y = x1 + (x2 - x1) * step / 100, y1 + (y2 - y1) * step / 100
+                for dx, dy in ((0, 0), (margin, 0), (-margin, 0), (0, margin), (0, -margin), (margin * 0.7, margin * 0.7)):
+                    assert (int((x + dx) // 1), int((y + dy) // 1)) in cells[name], (name, x, y)
