@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 import numpy as np
@@ -29,8 +29,10 @@ CONTAINERS = set(
 )
 BREAKS = CONTAINERS | HEADINGS | {"p", "pre", "hr", "caption", "legend", "option", "optgroup", "head", "frameset"}
 MARGIN = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "search", "fieldset"}
-# elements whose content is not text of the page
-UNREAD = "script style noscript template title textarea select button iframe object svg math canvas audio video map datalist".split()
+# elements whose content is not text of the page: up to their end tag, or else to the end of the page ...
+RAW = "script style title textarea".split()
+# ... or, left open, up to the next tag
+UNREAD = set("noscript template select button iframe object svg math canvas audio video map datalist".split())
 # words in class, id and role that tell what a container is for
 MARGIN_WORDS = set(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promotions banner banners cookie "
@@ -42,11 +44,14 @@ MARGIN_WORDS = set(
 # those whose container is for texts by others or of other pages, articles within it included
 OTHER_WORDS = set("comment comments commentlist reply replies respond discussion disqus related recommended recommendations sponsored".split())
 MAIN_WORDS = set("article content post entry story main articlebody".split())
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# the first word of a class that says what its element has, lacks or deals with, not what it is for
+MODIFIERS = set("with has have no not without is category categories cat tag tagged topic type format status about".split())
+TELLING = {"class", "id", "role", "hidden", "style", "aria-hidden"}
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 PARTS = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    rf"|<(?P<unread>{'|'.join(UNREAD)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=unread)\s*>|\Z)"
+    rf"|<(?P<raw>{'|'.join(RAW)})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/](?:[^>]*)(?:>|\Z)",
     re.S | re.I,
@@ -66,7 +71,10 @@ class Block:
 def _purpose(name: str, rest: str) -> str:
     """What a container is for: 'aside' (said to be none of the article's), 'margin', 'header', 'main' (the article) or ''."""
     words: set[str] = set()
+    whole: set[str] = set()  # margin words that are all of a class name
     for key, *values in ATTRIBUTE.findall(rest) if rest else ():
+        if key.lower() not in TELLING:
+            continue
         value = next((v for v in values if v), "")
         if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
             return "aside"
@@ -74,7 +82,13 @@ def _purpose(name: str, rest: str) -> str:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                 return "aside"
             continue
-        words |= {w.lower() for w in WORD.findall(value)}
+        for token in value.split():
+            found = [w.lower() for w in WORD.findall(token)]
+            if found and found[0] not in MODIFIERS:
+                words.update(found)
+                whole.update(found if MARGIN_WORDS.issuperset(found) else ())
+    # an article is not judged by a word in the name of its subject
+    words = words - (MARGIN_WORDS - whole) if name in ("article", "main") else words
     if name == "header" or words & MARGIN_WORDS == {"header"}:
         return "header"
     if words & OTHER_WORDS:
@@ -107,7 +121,8 @@ def blocks_of(page: str) -> list[Block]:
         pieces, linked = [], []
 
     at = 0
-    for part in PARTS.finditer(page):
+    never_closed: set[str] = set()  # elements without an end tag in the rest of the page
+    while (part := PARTS.search(page, at)) is not None:
         if part.start() > at:
             text = page[at : part.start()]
             pieces.append(text)
@@ -118,7 +133,14 @@ def blocks_of(page: str) -> list[Block]:
         if name is None:
             continue
         name = name.lower()
-        if name == "br":
+        if name in UNREAD:
+            if not part["close"] and not part["rest"].endswith("/"):
+                end = None if name in never_closed else re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                if end is None:
+                    never_closed.add(name)
+                    end = re.compile("[^<]*").match(page, at)
+                at = end.end()
+        elif name == "br":
             pieces.append(" ")
         elif name == "a":
             in_link = not part["close"]
@@ -215,15 +237,26 @@ LABELLED_PAGES = [
     f"<div><a>- home</a></div><main><p><a>+ a link</a></p><p>+ word</p><p><a>+ b link</a></p></main><div><a>- end</a></div><p>- {_LONG}</p>",
     f"<ul><li><a>- a</a><li><a>- b</a></ul><h2>+ title</h2><p>+ {_LONG}</p><p>+ {_SHORT}</p><p>+ {_LONG}</p><p>- (c) all rights</p><p><a>- terms</a></p>",
     f"<div><a>- a</a></div><p>- login</p><h1>+ title words here</h1><p>+ {_LONG}</p><p>+ {_LONG}</p><p>- imprint</p><div><a>- up</a></div>",
+    f"<div><a>- home</a></div><h1>+ title</h1><p>+ {_SHORT}</p><p>+ {_SHORT}</p><p>+ {_LONG}</p><p>- imprint</p><div><a>- up</a></div>",
+    f"<p><a>- home</a> <a>- all</a></p><h2>+ title</h2><p>+ {_SHORT}</p><h3>+ part</h3><p>+ {_SHORT}</p><p>+ word</p><p>+ {_LONG}</p><div><a>- up</a></div>",
     f"<header><h1>- site name</h1></header><article><h2>+ title</h2><p>+ {_LONG}</p></article><aside><h3>- related</h3><p>- {_LONG}</p></aside>",
 ]
 
 
+def labelled_blocks(page: str) -> tuple[list[Block], list[bool]]:
+    """The blocks of a labelled page without their marks, and which of them are the article's."""
+    blocks = blocks_of(page)
+    plain = [
+        replace(b, text=b.text[2:], words=max(1, b.words - 1), links=b.links if b.links in (0.0, 1.0) else min(1.0, b.links * b.words / max(1, b.words - 1)))
+        for b in blocks
+    ]
+    return plain, [b.text.startswith("+") for b in blocks]
+
+
 def trained_tree(pages: Sequence[str] = LABELLED_PAGES) -> Tree:
-    rows = [blocks_of(p) for p in pages]
-    x = np.vstack([features_of(r) for r in rows])
-    y = np.array([float(b.text.startswith("+")) for r in rows for b in r])
-    return grow(x, y)
+    rows = [labelled_blocks(p) for p in pages]
+    x = np.vstack([features_of(blocks) for blocks, _ in rows])
+    return grow(x, np.array([float(of_article) for _, told in rows for of_article in told]))
 
 
 def main_text(page: str | None, tree: Tree) -> str:

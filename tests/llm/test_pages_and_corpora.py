@@ -21,15 +21,14 @@ LONG = " ".join(f"w{i * 7919 % 1009}" for i in range(30_000))
 
 def test_every_operator_is_registered():
     names = {re.match(r"op(\d+)_", n)[1] for n in entry.queries() if n.startswith("op")}
-    assert names == {str(i) for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {str(i) for i in range(1, 14)} and "pipeline" in entry.queries()
 
 
 def test_labelled_pages_are_told_apart():
     tree = html_text.trained_tree()
     for page in html_text.LABELLED_PAGES:
-        blocks = html_text.blocks_of(page)
-        told = [tree.says(r) for r in html_text.features_of(blocks).tolist()]
-        assert told == [b.text.startswith("+") for b in blocks]
+        blocks, want = html_text.labelled_blocks(page)
+        assert [tree.says(r) for r in html_text.features_of(blocks).tolist()] == want
 
 
 PAGE = """<!DOCTYPE html><html><head><title>No</title><style>p{}</style><script>var t="</p><p>no";</script></head><body class="post">
@@ -46,6 +45,22 @@ def test_page_with_all_kinds_of_blocks():
     assert text == "T &amp; C\nOne link and éé text.\nTwo lines\nc1\nc2\nall link\nOk"
 
 
+def test_articles_are_not_lost():
+    tree = html_text.trained_tree()
+    words = "A sentence of the article that says a little more than its title does."
+    body = f"<h1>Title</h1>{{}}<p>{words}</p><p>{words} {words}</p>"
+    want = f"Title\n{words}\n{words} {words}"
+    for inside in ("<svg/>", "<svg viewBox='0 0 1 1' />", "<video-player src=x></video-player>", "<map-view>", "<button>", "<select>", "<script src='a.js'/>", "<p><button>no</button>"):
+        assert html_text.main_text(f"<nav><a>Home</a></nav><article>{body.format(inside)}</article><footer>end</footer>", tree) == want, inside
+    for start in ("data-id='ad-12'", "data-role=advert", "class='post related-to-x'", "class='category-legal post'", "title='a notice of class=ad'", "class=tag-newsletter"):
+        assert html_text.main_text(f"<nav><a>Home</a></nav><article {start}>{body.format('')}</article><footer>end</footer>", tree) == want, start
+    page = f"<div class='layout with-sidebar'><div><a>Home</a></div>{body.format('')}<p>{words}</p><div class=sidebar><p>no {words}</p></div></div>"
+    assert html_text.main_text(page, tree) == f"{want}\n{words}"
+    for lost in ("class=comment", "class='promo advert'", "hidden", "id=cookieNotice"):
+        assert html_text.main_text(f"<main>{body.format('')}<article {lost}><p>{words}</p></article></main>", tree) == want, lost
+    assert html_text.main_text("<article><p>One</p>" + "<button>" * 5000 + "<p>Two</p></article>", tree) == "One\nTwo"
+
+
 def test_pages_of_a_table(spark):
     got = {r.page_id: (r.text, r.n_chars) for r in queries.op1_html_text(spark, FOLDER).collect()}
     for r in table(spark, FOLDER, "pages").collect():
