@@ -48,6 +48,18 @@ def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return df.hint("broadcast" if at_most(df, limit) else "merge")
 
 
+def sampled(df: DataFrame, most: int, keys: Sequence[str]) -> DataFrame:
+    """All rows of ``df`` (a written table) if there are at most ``most``, else about so many, by the hash of ``keys``.
+
+    Rows whose hash lies in a share of the range: a task hands on its share, not its own
+    best ``most``.  The limit only counts where very many rows have equal keys.
+    """
+    rows = df.count()
+    if rows <= most:
+        return df
+    return df.where(F.xxhash64(*keys) < F.lit(int(most / rows * 2**64) - 2**63)).limit(2 * most)
+
+
 def total(df: DataFrame, value: Column) -> int:
     return int(df.agg(F.coalesce(F.sum(value), F.lit(0)).alias("v")).first()["v"])
 

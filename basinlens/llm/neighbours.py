@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from basinlens.llm.common import written
+from basinlens.llm.common import sampled, written
 
 FIT_ROWS = 6_000  # sample for graph and network, smallest id hashes first
 HELD_OUT = 600  # of them, to choose the number of parts to search
@@ -227,7 +227,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
     ``score`` is the Euclidean distance in double precision; equal ones rank by id.  All
     rows are searched but those with the query's own id.  Null or zero vectors, those with
     null or non-finite components, of another length than most, or without an id take no
-    part.  Rows of one id are found each for itself; an id asks once, with one of its vectors.  An empty table
+    part.  Rows of one id are found each for itself; an id asks once, with the smallest of its vectors.  An empty table
     gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
@@ -235,7 +235,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
     total = rows.count()
     if not total:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).select("v").toArrow()
+    sample = sampled(rows, FIT_ROWS, ["vec_id"]).orderBy(F.xxhash64("vec_id"), "vec_id", "v").select("v").toArrow()
     model, probes = fit_router(_matrix(sample.column("v").combine_chunks()), total, k)
     router = spark.sparkContext.broadcast(model)  # its size is the network's
     indexed = rows.mapInArrow(partial(_index, router=router), "vec_id bigint, v array<double>, part int")
@@ -244,7 +244,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
     for r in indexed.groupBy("part").count().collect():  # one row per part
         sizes[r["part"]] = r["count"]
     copies = rows.groupBy("vec_id").agg(F.count(F.lit(1)).alias("copies"))
-    asked = rows.where(queries).select("vec_id", "v").dropDuplicates(["vec_id"]).join(copies, "vec_id")
+    asked = rows.where(queries).groupBy("vec_id").agg(F.min("v").alias("v")).join(copies, "vec_id")
     routed = asked.mapInArrow(
         partial(_route, router=router, probes=probes, sizes=sizes, k=k), "query_id bigint, q array<double>, part int"
     )

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basinlens.llm.common import binary_rows, forget_process, sized, written
+from basinlens.llm.common import binary_rows, forget_process, sampled, sized, written
 
 MAX_TRAINING = 20_000  # labelled documents the regression is fitted on, smallest key hash first
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
@@ -153,7 +153,8 @@ def assess(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     features = written(source.mapInArrow(_features, f"{fields}, " + ", ".join(f"{f} double" for f in FEATURES)), "features")
 
     known = labels.where("quality is not null").groupBy(F.col(key).alias("_key")).agg(F.avg("quality").alias("quality"))
-    training = features.join(known, "_key").orderBy(F.xxhash64("_key"), "row_hash").limit(MAX_TRAINING)
+    labelled = features.join(known, "_key")
+    training = sampled(labelled, MAX_TRAINING, ["_key", "row_hash"]).orderBy(F.xxhash64("_key"), "row_hash")
     rows = training.select("quality", *FEATURES).toPandas().to_numpy(dtype=float)
     model = fit(rows[:, 1:], rows[:, 0])
 
