@@ -11,33 +11,39 @@ from basinlens.llm.common import table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose posterior chance of being good is at least one half stay."""
+    """Documents whose posterior chance of being good is at least one half stay.
+
+    A null text is judged as an empty one; equal rows are judged alike and all stay or go.
+    """
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the one with the smallest id.
 
-    Repeated rows of an id are copies, of which one stays.  Documents without words, or
-    without an id, are in no group and stay.
+    Of rows that share an id, one stays for each different text (a null text being the empty
+    one).  Documents without words, or without an id, are in no group and stay.
     """
     kept = ngram_join.similar_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
     kept = written(kept, "kept")
     alone = docs.where("doc_id is null").unionByName(docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi"))
-    return alone.unionByName(docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    shared = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi")
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    return alone.unionByName(shared.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of a mixture of their sources.
 
     Target weights are document counts to the power 0.75.  Every document appears at least
-    once; documents of sources below their weight appear again, as often as it asks.
+    once; documents of sources below their weight appear again, as often as it asks.  A null
+    source is a source of its own; texts play no part; an empty table stays empty.
     """
     return mixing.mix(docs, ordered=True).select(*docs.columns)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per row: the number and digest of its token ids, and the digest of what they decode to."""
+    """Per row: the number and digest of its token ids, and the digest of what they decode to.  A null text counts as empty."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.token_digests(docs, ranks, public_tokenizers.PATTERN, keep=("lang", "source"))
 
