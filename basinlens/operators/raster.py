@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -213,35 +216,55 @@ def class_shares(labelled: DataFrame, polygons: DataFrame, key: str = "polygon_i
     )
 
 
+TILE = 256  # pixels along a tile's side
+
+
+def _gradient(z: np.ndarray, seen: np.ndarray, axis: int, size: float) -> np.ndarray:
+    """Differences along an axis of the inner pixels of a tile with a border of one: central, one-sided where a neighbour is missing."""
+    pick = [slice(1, -1), slice(1, -1)]
+
+    def moved(values: np.ndarray, by: int) -> np.ndarray:
+        place = list(pick)
+        place[axis] = slice(1 + by, values.shape[axis] - 1 + by)
+        return values[tuple(place)]
+
+    own, z0, z1, before, after = moved(z, 0), moved(z, -1), moved(z, 1), moved(seen, -1), moved(seen, 1)
+    one_sided = np.where(after, (z1 - own) / size, np.where(before, (own - z0) / size, np.nan))
+    return np.where(before & after, (z1 - z0) / (2 * size), one_sided)
+
+
+def _tile_slopes(rows: pa.Table, dx: float, dy: float, side: int) -> pa.Table:
+    r, c, z = (rows.column(n).to_numpy() for n in ("r", "c", "_z"))
+    i, j = r - rows.column("_tr")[0].as_py() * side + 1, c - rows.column("_tc")[0].as_py() * side + 1
+    heights, seen = np.full((side + 2, side + 2), np.nan), np.zeros((side + 2, side + 2), dtype=bool)
+    heights[i, j], seen[i, j] = z, True
+    own = (i >= 1) & (i <= side) & (j >= 1) & (j <= side)
+    slope = np.degrees(np.arctan(np.hypot(_gradient(heights, seen, 1, dx), _gradient(heights, seen, 0, dy))))[i[own] - 1, j[own] - 1]
+    kept = rows.filter(pa.array(own)).drop_columns(["_z", "_tr", "_tc"])
+    return kept.append_column("slope_deg", pa.array(slope, pa.float64(), mask=np.isnan(slope)))
+
+
 def slope_degrees(
-    dem: DataFrame, step_x_deg: float, step_y_deg: float, mean_lat_deg: float, tile: Sequence[str] = ()
+    dem: DataFrame, step_x_deg: float, step_y_deg: float, mean_lat_deg: float, tile: Sequence[str] = (), side: int = TILE
 ) -> DataFrame:
     """Slope per pixel from elevation: central differences, one-sided at the grid's edge.
 
-    ``dem``: tile columns, r, c, z.  No-data heights are null and make the slopes that
-    use them null.  Each window holds one raster row or column of a tile.
+    ``dem``: tile columns, r, c, z, one row per pixel.  No-data heights are null and make
+    the slopes that use them null.  The grid is cut into squares that carry a copy of the
+    pixels around them, so one shuffle serves both directions and a task holds one square.
     """
-    import math
-
     dx = step_x_deg * C.M_PER_DEG_LON_EQUATOR * math.cos(math.radians(mean_lat_deg))
     dy = step_y_deg * C.M_PER_DEG_LAT
-    z = F.when(F.col("z") >= C.ELEVATION_NODATA_BELOW, F.col("z"))
-    grid = dem.withColumn("_z", z)
-
-    def gradient(along: str, across: str, size: float) -> Column:
-        w = W.partitionBy(*tile, across).orderBy(along)
-        before = F.coalesce(F.lag(along).over(w) == F.col(along) - 1, F.lit(False))
-        after = F.coalesce(F.lead(along).over(w) == F.col(along) + 1, F.lit(False))
-        z0, z1 = F.lag("_z").over(w), F.lead("_z").over(w)
-        return (
-            F.when(before & after, (z1 - z0) / (2 * size))
-            .when(after, (z1 - F.col("_z")) / size)
-            .when(before, (F.col("_z") - z0) / size)
-        )
-
-    both = grid.withColumn("_dx", gradient("c", "r", dx)).withColumn("_dy", gradient("r", "c", dy))
-    steep = F.degrees(F.atan(F.sqrt(F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))))
-    return both.select(*dem.columns, steep.alias("slope_deg"))
+    z = F.when(F.col("z") >= C.ELEVATION_NODATA_BELOW, F.col("z")).cast("double")
+
+    def square(r_by: int, c_by: int) -> Column:
+        return F.struct(F.floor((F.col("r") + r_by) / side).alias("_tr"), F.floor((F.col("c") + c_by) / side).alias("_tc"))
+
+    squares = F.array_distinct(F.array(*[square(*by) for by in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))]))
+    dealt = dem.withColumn("_z", z).select("*", F.inline(squares))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dem.schema)
+    squares_of = dealt.groupBy(*tile, "_tr", "_tc")
+    return squares_of.applyInArrow(lambda rows: _tile_slopes(rows, dx, dy, side), f"{fields}, slope_deg double")
 
 
 def mean_slope(slopes: DataFrame, labels: DataFrame, key: str = "polygon_id") -> DataFrame:

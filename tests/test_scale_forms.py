@@ -1,6 +1,7 @@
 """Skew-proof and indexed forms against plain brute force, including hot keys."""
 
 import hashlib
+import math
 import random
 
 from hypothesis import HealthCheck, given, settings
@@ -279,3 +280,26 @@ def test_zones_across_180_degrees(spark):
     got = {(r["place_id"], r["pixel_id"]) for r in spatial.near_pairs(places, pixels, 50.0, "place_id", "pixel_id").collect()}
     assert got == {("p", 1), ("q", 2)}
     assert {(r["place_id"], r["zone"]) for r in spatial.build_zones(places, pixels).collect()} == {("p", "treated"), ("q", "treated")}
+
+
+def test_slopes_do_not_depend_on_squares(spark):
+    """Holes, no-data heights, negative places and several grids: small squares give what one square gives, and what a plain loop gives."""
+    pick = random.Random(4)
+    rows = [(g, r, c, None if pick.random() < 0.1 else -9999.0 if pick.random() < 0.1 else pick.uniform(0, 50), f"{g}{r}{c}") for g in ("a", "b") for r in range(-4, 7) for c in range(-3, 9) if pick.random() < 0.8]
+    dem = spark.createDataFrame(rows, "grid string, r long, c int, z double, name string")
+    height = {(g, r, c): None if z is None or z < -1000 else z for g, r, c, z, _ in rows}
+    dx, dy = 111_320.0 * math.cos(math.radians(26.0)) / 100, 110_574.0 / 50
+
+    def gradient(g, r, c, by, size):
+        before, own, after = (height.get((g, r + by[0] * s, c + by[1] * s), "none") for s in (-1, 0, 1))
+        pair = (after, before, 2) if "none" not in (before, after) else (after, own, 1) if after != "none" else (own, before, 1) if before != "none" else (None, None, 1)
+        return None if None in pair[:2] else (pair[0] - pair[1]) / (pair[2] * size)
+
+    want = {}
+    for g, r, c, _, _ in rows:
+        sides = gradient(g, r, c, (0, 1), dx), gradient(g, r, c, (1, 0), dy)
+        want[g, r, c] = None if None in sides else math.degrees(math.atan(math.hypot(*sides)))
+    for side in (2, 5, 256):
+        out = raster.slope_degrees(dem, 1 / 100, 1 / 50, 26.0, ["grid"], side).collect()
+        assert len(out) == len(rows) and all(r["name"] == f"{r['grid']}{r['r']}{r['c']}" for r in out)
+        assert {(r["grid"], r["r"], r["c"]): r["slope_deg"] and round(r["slope_deg"], 9) for r in out} == {k: v and round(v, 9) for k, v in want.items()}
