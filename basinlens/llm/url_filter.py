@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from basinlens.llm.common import sized, written
 
 MAX_BITS = 1 << 27  # of one level: 16 MB on the driver and in each task
-MAX_PATH_LENGTHS = 64  # different lengths of the rules' paths
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -151,7 +150,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", blocked_words: I
 
     A null or empty URL, or one without ``://``, has an empty host and path.  Repeated rows
     and an empty table come through as they are; columns named like the new ones are
-    replaced.  Rules that name no key of the corpus take no space.  Should a level outgrow
+    replaced.  Rules that name no key of the corpus take no space.  A page is looked up once
+    per host suffix and length of the rules' paths, however many lengths there are.  Should a level outgrow
     MAX_BITS, that list is joined instead.
     """
     added = ["host", "path", "rule", "verdict"]
@@ -161,10 +161,8 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", blocked_words: I
     rules = written(
         rules.where("rule is not null and verdict in ('allow', 'block')").groupBy("rule").agg(F.max("verdict").alias("verdict")), "rules"
     )
-    lengths = [r[0] for r in rules.select(F.length("rule") - F.locate("/", "rule") + 1).distinct().limit(MAX_PATH_LENGTHS + 1).collect()]
-    if len(lengths) > MAX_PATH_LENGTHS:
-        raise ValueError(f"rules have paths of more than {MAX_PATH_LENGTHS} lengths")
-    lengths = sorted(lengths)
+    # different lengths of paths: no more than the longest path has characters
+    lengths = sorted(r[0] for r in rules.select(F.length("rule") - F.locate("/", "rule") + 1).distinct().collect())
     keys = candidate_keys(F.col("_host"), F.col("_path"), lengths) if lengths else F.array().cast("array<string>")
     keys = F.concat(keys, host_words(F.col("_host")))
     words = [(f"#{w.lower()}", "block") for w in sorted(set(blocked_words))]
