@@ -100,6 +100,13 @@ def test_urls_equal_sql_and_edges(spark):
     assert {r.verdict for r in url_filter.judge(frame, rules.limit(0)).collect()} == {"allow"}
 
 
+def test_rules_of_many_path_lengths(spark):
+    made = [(f"x.org/{'a' * n}", "block" if n % 2 else "allow") for n in range(70)]
+    frame = spark.createDataFrame([(n, f"http://w.x.org/{'a' * n}/end") for n in (0, 1, 33, 64, 69, 90)], "page_id int, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(frame, spark.createDataFrame(made, "rule string, verdict string")).collect()}
+    assert got == {n: made[min(n, 69)] for n in (0, 1, 33, 64, 69, 90)}
+
+
 def test_cascade_is_exact_and_falls_back(spark, monkeypatch):
     keys = spark.range(6000).select(F.xxhash64("id").alias("h1"), F.xxhash64(F.lit(1), "id").alias("h2"), (F.col("id") % 3 == 0).alias("listed"))
     cascade = url_filter.build_cascade(keys)
@@ -314,3 +321,40 @@ def test_pipeline(spark, folder):
     assert {r.doc_id for r in out.collect()} == set(groups.values())
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), FOLDER).collect() == []
+
+
+def test_mixture_with_equal_rows_and_many_passes(spark):
+    """Equal rows lie together, none is lost, and positions have no gaps, whatever the blocks."""
+    rows = [(i % 40, "hot", "x" * (i % 3)) for i in range(300)] + [(1, "tiny", "t")] + [(i, None, "n") for i in range(20)] + [(7, "same", "s")] * 50
+    frame = spark.createDataFrame(rows, "doc_id int, source string, text string")
+    for weights, block in ((None, 4), ({"hot": 1, "tiny": 2, None: 1, "same": 1}, 7), ({"tiny": 1, "hot": 1}, 64)):
+        out = mixing.mix(frame, weights=weights, block_rows=block, ordered=True).toPandas()
+        assert sorted(out.position) == list(range(len(out))) and list(out.position) == sorted(out.position)
+        assert out.sort_values("position").slot.is_monotonic_increasing
+        first = out[out.pass_no == 0]
+        assert collections.Counter(zip(first.doc_id, first.source.fillna(""), first.text)) == collections.Counter((d, s or "", t) for d, s, t in rows)
+        for _, some in out.groupby(out.source.fillna("")):
+            assert set(some.pass_no) == set(range(some.pass_no.max() + 1))
+            assert some.sort_values("position").block.is_monotonic_increasing
+        assert {r.source: r.rows for r in mixing.shares(frame, weights=weights).collect()}.keys() >= {"hot"}
+
+
+def test_mixture_of_the_table_equals_brute_force(spark):
+    """Documents of each source by hash, cut into blocks, repeated as weights ask, blocks run in the order of the schedule."""
+    docs = table(spark, FOLDER, "documents")
+    hashed = docs.select("doc_id", "source", F.xxhash64(*docs.columns).alias("h"), F.sha2("text", 256).alias("digest")).collect()
+    sources: dict = {}
+    for row in sorted(hashed, key=lambda r: r.h):
+        sources.setdefault(row.source, []).append(row)
+    names = sorted(sources, key=lambda s: (-len(sources[s]), f"={s}"))
+    counts = [len(sources[s]) for s in names]
+    rows = mixing.lengths(counts, [n**0.75 for n in counts], None)
+    streams = [[(sources[s][i % n], i // n) for i in range(r)] for s, n, r in zip(names, counts, rows, strict=True)]
+    want, done = [], collections.Counter()
+    for slot, s in enumerate(mixing.pfair_order([-(-r // 64) for r in rows]).tolist()):
+        block = done[s]
+        done[s] += 1
+        want += [(row.doc_id, row.source, pass_no, block, slot, row.digest) for row, pass_no in streams[s][64 * block : 64 * block + 64]]
+    got = sorted(queries.op5_mixing(spark, FOLDER).collect(), key=lambda r: r.position)
+    assert [(r.doc_id, r.source, r.pass_no, r.block, r.slot, r.text_sha256) for r in got] == want
+    assert [r.position for r in got] == list(range(len(want)))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 
-from basinlens.llm import byte_bpe, ngram_join, queries, token_files
+from basinlens.llm import byte_bpe, common, ngram_join, queries, token_files
 from basinlens.llm.common import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -208,3 +208,27 @@ def test_token_files_as_the_unmodified_library(spark, folder):
     got = {r.doc_id: r.ids for r in token_files.read_token_files(spark, f"{folder}/added").collect()}
     assert got == {i: [*library.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
     assert 50256 in got[0]
+
+
+def test_star_rounds_join_links_like_one_task(spark, monkeypatch):
+    """Beyond FEW_LINKS links are joined in rounds; forced here on the table and on chains, stars and copies."""
+    monkeypatch.setattr(common, "FEW_LINKS", 0)
+    docs = {r.doc_id: r.text for r in table(spark, FOLDER, "documents").collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_ngram_jaccard(spark, FOLDER).collect()}
+    assert got == brute_force(docs)
+    pick = random.Random(3)
+    links = [(i, i + 1) for i in range(100, 140)] + [(200, i) for i in range(201, 240)] + [(pick.randrange(300, 420), pick.randrange(300, 420)) for _ in range(90)]
+    parent = {x: x for link in links for x in link}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame(links + [(b, a) for a, b in links[:20]], "a long, b long")
+    out = {r.node: r.label for r in common.connected_components(frame, "test").collect()}
+    touched = {x for a, b in links if a != b for x in (a, b)}
+    assert out == {x: root(x) for x in touched}
