@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basinlens import constants as C
 from basinlens.operators import evaluation, ranking, scoring, visual
 from basinlens.plans.catalogue import q6, query, r6
 from basinlens.plans.record_queries import SCORED, VISUAL, scored_records
@@ -299,7 +300,7 @@ def confusion_counts(t: Tables) -> DataFrame:
     return evaluation.confusion_counts(t.eval)
 
 
-_CODES = ["AM", "VM", "SM", "PT", "NC", "BN", "LS", "LH", "OM", "UNKNOWN"]
+_CODES = [*C.CATEGORY_CODES, "UNKNOWN"]
 
 
 @query(

@@ -106,10 +106,10 @@ ADAPTERS: dict[str, str] = {
           case when o_orderkey%31<>0 and o_orderkey%29=0 then ',"mood":"fine"' else '' end, ',"evidence":"',
           case when o_orderkey%31<>0 and o_orderkey%29<>0 and o_orderkey%23<>0 and o_orderkey%19=0 then '' else 'pond with water' end, '"}}}}') end raw_json
         from {{orders}}""",
-    "a_eval": """select doc_id, doc_id%4 model, case when doc_id%10=9 then 'NONE' else substr('AMVMSMPTNCBNLSLHOM', cast(1+2*(doc_id%10) as int), 2) end gt,
-        case when doc_id%43=0 then null when (doc_id*3+quality)%10=9 then 'UNKNOWN' else substr('AMVMSMPTNCBNLSLHOM', cast(1+2*((doc_id*3+quality)%10) as int), 2) end pred,
+    "a_eval": f"""select doc_id, doc_id%4 model, case when doc_id%10=9 then 'NONE' else substr('{''.join(C.CATEGORY_CODES)}', cast(1+2*(doc_id%10) as int), 2) end gt,
+        case when doc_id%43=0 then null when (doc_id*3+quality)%10=9 then 'UNKNOWN' else substr('{''.join(C.CATEGORY_CODES)}', cast(1+2*((doc_id*3+quality)%10) as int), 2) end pred,
         case when doc_id%43=0 then 'timeout' else null end error,
-        case when toxic=1 then 'Classifier response invalid after 2 attempt(s): x' else 'seen' end evidence from {labels}""",
+        case when toxic=1 then 'Classifier response invalid after 2 attempt(s): x' else 'seen' end evidence from {{labels}}""",
     "a_stage": """select user_id asset_id, event_id, ts, case event_type when 'signup' then 'not_started' when 'click' then 'under_construction'
         when 'purchase' then 'completed' when 'error' then 'damaged' else 'unclear' end stage from {events}""",
     "a_rain": """select user_id cell_id, cast(ts as date) as day, value mm from {events}""",
