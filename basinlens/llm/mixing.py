@@ -118,8 +118,10 @@ def mix(
     empty table gives an empty result.  Columns of ``docs`` named like the new ones are
     replaced.
 
-    The rows are dealt once by (source, hash), so a source with a third of all rows lies
-    in as many ranges as others; numbering needs only the size of each range.
+    Only hashes are sorted to number the documents of a source; where a block begins is a
+    hash then, so a document finds its blocks by itself, in a search among at most
+    ``MAX_SLOTS`` bounds, and whole documents move once, to their places in the mixture.
+    Rows that are equal in all columns lie in one block.
     """
     added = ["pass_no", "block", "slot", "position"]
     docs = docs.drop(*added)
@@ -130,41 +132,101 @@ def mix(
         return docs.select("*", *(F.lit(0).cast("bigint").alias(c) for c in added))
     rows = lengths([n for _, n, _ in groups], [w for *_, w in groups], max_passes)
     size = max(block_rows, -(-sum(rows) // MAX_SLOTS))
-    blocks = [-(-r // size) for r in rows]
-    order = pfair_order(blocks)
-    block = np.empty(len(order), dtype=np.int64)
-    for s in range(len(groups)):
-        at = np.flatnonzero(order == s) if len(groups) <= 64 else None
-        if at is not None:
-            block[at] = np.arange(len(at))
-    if len(groups) > 64:
-        by_source = np.argsort(order, kind="stable")
-        first = np.cumsum([0, *blocks[:-1]])
-        block[by_source] = np.arange(len(order)) - first[order[by_source]]
-    filled = np.minimum(size, np.array(rows)[order] - block * size)
-    plan = pd.DataFrame({"_g": order, "block": block, "slot": np.arange(len(order)), "_base": np.cumsum(filled) - filled})
-    plan = F.broadcast(spark.createDataFrame(plan))  # at most MAX_SLOTS + MAX_SOURCES + 1 rows
-    ids = pd.DataFrame({"_group": [g for g, *_ in groups], "_g": range(len(groups)), "_n": [n for _, n, _ in groups], "_rows": rows})
-    ids = F.broadcast(spark.createDataFrame(ids))
-
+    order = pfair_order([-(-r // size) for r in rows])
+    ids = F.broadcast(spark.createDataFrame(pd.DataFrame({"_group": [g for g, *_ in groups], "_g": range(len(groups))})))
     pool = next((i for i, g in enumerate(groups) if g[0] == POOL), None)
-    placed = docs.withColumn("_group", named).join(ids.select("_group", "_g"), "_group", "left")
-    placed = placed.withColumn("_g", F.coalesce("_g", F.lit(pool).cast("bigint"))).drop("_group")
+    placed = docs.withColumn("_group", named).join(ids, "_group", "left").withColumn("_g", F.coalesce("_g", F.lit(pool).cast("bigint"))).drop("_group")
     hashed = placed.withColumn("_h", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    dealt = hashed.repartitionByRange("_g", "_h").sortWithinPartitions("_g", "_h").withColumn("_mid", F.monotonically_increasing_id())
-    dealt = written(dealt.drop("_h"), "dealt").withColumn("_part", F.shiftright("_mid", 33))
-    sizes = dealt.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_first"))
+
+    schedule = Schedule([n for _, n, _ in groups], rows, size, order)
+    schedule.bound(_hashes_at(hashed.select("_g", "_h"), schedule.ranks()))
+    shared = spark.sparkContext.broadcast(schedule)
+
+    @F.pandas_udf("array<struct<pass_no: bigint, block: bigint, slot: bigint>>")
+    def places(g: pd.Series, h: pd.Series) -> pd.Series:
+        return shared.value.places(g.to_numpy(), h.to_numpy())
+
+    out = hashed.withColumn("_places", places("_g", "_h")).select(*docs.columns, "_h", F.inline_outer("_places"))  # never empty; an inner one would place rows twice, to filter them
+    if ordered:
+        out = out.repartitionByRange("slot")
+    base = F.broadcast(spark.createDataFrame(pd.DataFrame({"slot": np.arange(len(order)), "_base": schedule.bases()})))  # a row per slot
+    within = W.partitionBy("slot").orderBy("pass_no", "_h")
+    numbered = out.withColumn("_at", F.row_number().over(within)).join(base, "slot")
+    return numbered.select(*docs.columns, "pass_no", "block", "slot", (F.col("_base") + F.col("_at") - 1).alias("position"))
+
+
+class Schedule:
+    """Where the blocks of each source begin, and the slots in which they run."""
+
+    def __init__(self, counts: list[int], rows: list[int], size: int, order: np.ndarray):
+        self.counts, self.rows, self.size, self.order = counts, rows, size, order
+        self.starts = [np.append(np.arange(0, r, size), r) for r in rows]  # of blocks, in rows of the source's passes; and the end
+        by_source = np.argsort(order, kind="stable")
+        self.slots = np.split(by_source, np.cumsum([len(s) - 1 for s in self.starts])[:-1])  # of each source's blocks
+
+    def ranks(self) -> pd.DataFrame:
+        """The ranks, within their source, of the documents with which blocks begin (or the last pass ends)."""
+        parts = [pd.DataFrame({"_g": g, "_k": np.unique(s % n)}) for g, (s, n) in enumerate(zip(self.starts, self.counts, strict=True))]
+        return pd.concat(parts, ignore_index=True)
+
+    def bound(self, hashes: pd.DataFrame) -> None:
+        """Take the hashes (_g, _k, _h) of those documents and how many of the source come before (_first: equal hashes go together)."""
+        known = {g: part for g, part in hashes.groupby("_g")}
+        self.bounds: list[dict[int, tuple[int, np.ndarray]]] = []  # by source and pass: blocks begun before the pass, hashes where blocks begin
+        self.passes: list[tuple[int, int | None]] = []  # whole passes, and the hash at which the last one ends
+        for g, n in enumerate(self.counts):
+            part = known[g].set_index("_k")
+            number, rank = np.divmod(self.starts[g], n)
+            h, first = part["_h"].reindex(rank).to_numpy(np.int64), part["_first"].reindex(rank).to_numpy(np.int64)
+            self.starts[g] = number * n + first
+            h = np.where(first == 0, np.iinfo(np.int64).min, h)
+            end = int(number[-1]), (int(h[-1]) if first[-1] else None)
+            number, h = number[:-1], h[:-1]
+            cuts = np.searchsorted(number, np.arange(end[0] + 2))
+            self.bounds.append({p: (int(cuts[p]), h[cuts[p] : cuts[p + 1]]) for p in range(end[0] + 1)})
+            self.passes.append(end)
+
+    def bases(self) -> np.ndarray:
+        """The first position of each slot."""
+        held = np.empty(len(self.order), dtype=np.int64)
+        for slots, starts in zip(self.slots, self.starts, strict=True):
+            held[slots] = np.diff(starts)
+        return np.cumsum(held) - held
+
+    def places(self, g: np.ndarray, h: np.ndarray) -> pd.Series:
+        """For each document: the passes in which it appears, with block and slot."""
+        out = np.empty(len(g), dtype=object)
+        for source in np.unique(g).tolist():
+            at = np.flatnonzero(g == source)
+            whole, last = self.passes[source]
+            lists: list[list[dict]] = [[] for _ in at]
+            for number, (before, bounds) in self.bounds[source].items():
+                some = np.arange(len(at)) if number < whole else np.flatnonzero(h[at] < last) if last is not None else at[:0]
+                blocks = before + np.searchsorted(bounds, h[at[some]], side="right") - 1
+                for i, block, slot in zip(some.tolist(), blocks.tolist(), self.slots[source][blocks].tolist(), strict=True):
+                    lists[i].append({"pass_no": number, "block": block, "slot": slot})
+            for i, found in zip(at.tolist(), lists, strict=True):
+                out[i] = found
+        return pd.Series(out)
+
+
+def _hashes_at(hashes: DataFrame, ranks: pd.DataFrame) -> pd.DataFrame:
+    """(_g, _k, _h, _first) of the given ranks within sources: at most one for each block and source.
+
+    Hashes are sorted in ranges and written; a hash's rank is its place in its range plus
+    the sizes of the ranges before, so a source with a third of all rows lies in as many
+    ranges as others.
+    """
+    spark = hashes.sparkSession
+    dealt = hashes.repartitionByRange("_g", "_h").sortWithinPartitions("_g", "_h").withColumn("_mid", F.monotonically_increasing_id())
+    dealt = written(dealt, "dealt").withColumn("_part", F.shiftright("_mid", 33))
+    sizes = dealt.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_c"), F.min("_mid").alias("_start"))
     before = W.partitionBy("_g").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_g", "_part", "_first", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    offsets = sizes.select("_g", "_part", "_start", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
     offsets = written(offsets, "offsets")  # one row per range and source within it
-
-    counted = dealt.join(sized(offsets), ["_g", "_part"]).join(ids.drop("_group"), "_g")
-    number = F.col("_before") + F.col("_mid") - F.col("_first")
-    counted = counted.withColumn("_k", number).withColumn(
-        "pass_no", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_rows") - 1 - F.col("_k")) / F.col("_n"))))
-    )
-    at = F.col("pass_no") * F.col("_n") + F.col("_k")
-    counted = counted.withColumn("_q", at).withColumn("block", F.floor(F.col("_q") / size))
-    out = counted.join(plan, ["_g", "block"]).withColumn("position", F.col("_base") + F.col("_q") % size)
-    out = out.select(*docs.columns, *added)
-    return out.repartitionByRange("position").sortWithinPartitions("position") if ordered else out
+    number = (F.col("_before") + F.col("_mid") - F.col("_start")).alias("_k")
+    numbered = dealt.join(sized(offsets), ["_g", "_part"]).select("_g", "_h", number)
+    wanted = numbered.join(F.broadcast(spark.createDataFrame(ranks)), ["_g", "_k"])
+    wanted = written(wanted, "bounds")
+    firsts = numbered.join(F.broadcast(wanted.select("_g", "_h").distinct()), ["_g", "_h"], "left_semi").groupBy("_g", "_h").agg(F.min("_k").alias("_first"))
+    return wanted.join(firsts, ["_g", "_h"]).toPandas()

@@ -64,9 +64,9 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    """Place of every document in a mixture whose sources weigh their document counts to the power 0.75."""
-    docs = table(spark, folder, "documents").select("doc_id", "source")
-    return mixing.mix(docs).select("doc_id", "source", "pass_no", "block", "slot", "position")
+    """The documents in the order of a mixture whose sources weigh their document counts to the power 0.75: places and digests of the texts."""
+    mixed = mixing.mix(table(spark, folder, "documents"), ordered=True)
+    return mixed.select("doc_id", "source", "pass_no", "block", "slot", "position", F.sha2("text", 256).alias("text_sha256"))
 
 
 @query
