@@ -267,7 +267,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     source = docs.select(F.col(key).alias("_key"), F.col(text).cast("string").alias("_text"))
     source = source.where(judged_at_all("_text", F.split(F.lower("_text"), "[^\\p{L}\\p{N}]+")))
     lines = _lines_and_blocks(source).withColumn("_words", words_of(F.col("_line"))).where(judged_at_all("_line", F.col("_words")))
-    lines = lines.withColumn("words", F.concat_ws(" ", "_words")).withColumn("_hash", F.sha2("words", 256)).drop("_words", "_line")
+    lines = lines.withColumn("words", F.concat_ws(" ", "_words")).drop("_words", "_line")
+    # half a digest: what is grouped and joined by it stays narrow
+    lines = lines.withColumn("_hash", F.substring(F.unhex(F.sha2("words", 256)), 1, 16))
     lines = written(lines, "lines")
     paragraphs = lines.select("_hash", "words").distinct().select("_hash", F.split("words", " ").alias("_words"))
     paragraphs = paragraphs.select("_hash", ngrams_of(F.col("_words")).alias("grams"))
@@ -277,21 +279,21 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     # the statements are the labelled table's, a few hundred n-grams each; of the paragraphs' n-grams only theirs are kept
     statements = written(labelled_rows(spark).where(F.col("family") != UNKNOWN), "families")
     known = F.lit(sorted(r[0] for r in statements.select(F.explode("grams")).distinct().collect()))
-    judged = judged.select("_hash", F.array_intersect("grams", known).alias("grams"), F.size("grams").alias("n"), names[place - 1].alias("family"), "p")
+    judged = judged.select("_hash", F.array_intersect("grams", known).alias("grams"), F.size("grams").alias("n"), (place - 1).alias("is"), "p")
     judged = written(judged, "judged")
-    statements = statements.select("id", F.col("family").alias("of"), "label", F.size("grams").alias("own"), F.explode("grams").alias("gram"))
-    shared = judged.select("_hash", "family", "n", F.explode("grams").alias("gram")).join(F.broadcast(statements), "gram")
-    overlaps = shared.groupBy("_hash", "id").agg(
-        F.count(F.lit(1)).alias("common"), *(F.first(c).alias(c) for c in ("n", "own", "family", "of", "label"))
-    )
+    statements = statements.select("id", F.col("label").cast("int").alias("of"), F.size("grams").alias("own"), F.explode("grams").alias("gram"))
+    shared = judged.select("_hash", "is", "n", F.explode("grams").alias("gram")).join(F.broadcast(statements), "gram")
+    # families by number: rows of fixed width are counted in place
+    overlaps = shared.groupBy("_hash", "id").agg(F.count(F.lit(1)).alias("common"), *(F.first(c).alias(c) for c in ("n", "own", "is", "of")))
     enough = F.col("common") >= LEAST
-    full = F.when(enough & (F.col("of") == F.col("family")), F.col("common") / F.col("own"))
-    ratio = F.when(enough & (F.col("of") == F.col("family")), F.col("common") / F.least("n", "own"))
-    held = F.when(enough, F.struct((F.col("common") / F.col("own")).alias("share"), "own", "of", "label"))
+    full = F.when(enough & (F.col("of") == F.col("is")), F.col("common") / F.col("own"))
+    ratio = F.when(enough & (F.col("of") == F.col("is")), F.col("common") / F.least("n", "own"))
+    by_name = F.lit([sorted(families).index(f) for f in families])  # ties go to the last name
+    held = F.when(enough, F.struct((F.col("common") / F.col("own")).alias("share"), "own", by_name[F.col("of")].alias("by_name"), "of"))
     overlaps = overlaps.groupBy("_hash").agg(F.max(ratio).alias("overlap"), F.max(full).alias("full"), F.max(held).alias("held"))
     verdicts = judged.join(overlaps, "_hash", "left").select(
-        "_hash", "family", F.array_max("p").alias("chance"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
-        F.coalesce("full", F.lit(0.0)).alias("full"), "held.share", "held.of", F.col("p")[F.col("held.label").cast("int")].alias("of_chance"),
+        "_hash", names[F.col("is")].alias("family"), F.array_max("p").alias("chance"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"),
+        F.coalesce("full", F.lit(0.0)).alias("full"), "held.share", F.get(names, F.col("held.of")).alias("of"), F.get("p", F.col("held.of")).alias("of_chance"),
     )
     verdicts = written(verdicts, "verdicts")
     out = lines.drop("words").join(sized(verdicts, 50_000), "_hash")
@@ -303,6 +305,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         "chance": F.when(instead, F.col("of_chance")).otherwise(F.col("chance")),
         "overlap": F.when(instead, F.col("share")).otherwise(F.col("overlap")),
     })
+    out = out.drop("_hash", "share", "of", "of_chance")
     alone = F.max(~F.col("whole") & F.col("confirmed")).over(W.partitionBy("_row", "start", "family"))
     out = out.withColumn("_alone", alone).where(~F.col("whole") | (F.col("confirmed") & ~F.col("_alone")))
     # pieces of a statement that stays as a block are no statements of other families
