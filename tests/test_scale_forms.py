@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -303,3 +304,31 @@ def test_slopes_do_not_depend_on_squares(spark):
         out = raster.slope_degrees(dem, 1 / 100, 1 / 50, 26.0, ["grid"], side).collect()
         assert len(out) == len(rows) and all(r["name"] == f"{r['grid']}{r['r']}{r['c']}" for r in out)
         assert {(r["grid"], r["r"], r["c"]): r["slope_deg"] and round(r["slope_deg"], 9) for r in out} == {k: v and round(v, 9) for k, v in want.items()}
+
+
+@pytest.mark.parametrize("large", [2_000_000, 30])
+def test_a_hash_is_shuffled_once_per_lead_and_not_per_key(spark, monkeypatch, large):
+    """84 keys a hash filled the disks; groups beyond the bound (here: most) still lose no pair."""
+    monkeypatch.setattr(photos, "GROUP_ROWS", large)
+    rng = random.Random(large)
+    near = [rng.getrandbits(64) for _ in range(60)]
+    rows = [(i, rng.choice(near) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8)))) for i in range(700)]
+    hot = rng.getrandbits(64)
+    rows += [(700 + i, hot & ~0xFFFFF | rng.getrandbits(20)) for i in range(150)]  # 44 bits in common
+    df = spark.createDataFrame([(i, signed(h)) for i, h in rows], "record_id long, phash long")
+    for every in (False, True):
+        out = photos.duplicate_distance(df, "all" if every else "before", blocks=9)
+        assert {r["record_id"]: r["min_distance"] for r in out.collect()} == brute_least(rows, every=every)
+    if large > len(rows):
+        assert "array(" in (plan := out._jdf.queryExecution().analyzed().toString())
+        assert max(line.count("& ") for line in plan.splitlines() if "explode(" in line) <= 7
+
+
+def test_a_pair_has_one_choice_of_first_blocks():
+    rng = random.Random(5)
+    for blocks, depth in ((7, 1), (9, 1), (9, 2), (9, 3), (11, 2)):
+        choices = photos.leading_choices(blocks, depth)
+        for _ in range(200):
+            flips = sum(1 << b for b in rng.sample(range(64), rng.randrange(7)))
+            met = [1 for lead, rest in choices for mask, differ in rest if not flips & (lead | mask) and all(flips & b for b in differ)]
+            assert len(met) == 1
