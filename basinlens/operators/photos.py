@@ -100,6 +100,14 @@ def leading_choices(blocks: int, depth: int, k: int = DUPLICATE_MAX_HAMMING) ->
     return [(sum(block[i] for i in lead), rest) for lead, rest in out.items()]
 
 
+def lead_keys(hashes: DataFrame, blocks: int, k: int = DUPLICATE_MAX_HAMMING) -> DataFrame:
+    """``hashes`` repeated once per choice of a first equal block, with its number (``choice``) and a ``key``."""
+    leads = [F.col("phash").bitwiseAND(F.lit(_signed(mask))) for mask, _ in leading_choices(blocks, 1, k)]
+    # the choice is part of the key: a key's task looks for the pairs of one choice
+    keys = [F.xxhash64(F.lit(i), lead) for i, lead in enumerate(leads)]
+    return hashes.select("*", F.posexplode(F.array(*keys)).alias("choice", "key"))
+
+
 def choose_depth(n_hashes: int, blocks: int, k: int = DUPLICATE_MAX_HAMMING, rows: int | None = None) -> int:
     """How many blocks a group shares, so that one of evenly spread hashes holds a quarter of ``rows`` at most."""
     rows = GROUP_ROWS if rows is None else rows
@@ -215,17 +223,18 @@ def duplicate_distance(
     """
     readable = photos.where("phash is not null").select("record_id", "phash")
     own = cut_lineage(stored_hashes(readable))  # read several times below
-    n = own.count() + (0 if stored is None else stored.count())
-    if index is not None:
-        blocks = index.blocks
-    if blocks is None:
-        blocks = choose_blocks(n, k, GROUP_COST)
     against = [(own, history)] + ([] if stored is None else [(stored.select("phash", "first_id", "last_id", "n"), "all")])
     entries = None if index is None else index.entries(own, before)
-    against += [] if entries is None else [(entries, "all")]
+    if entries is not None:
+        # entries that are not keyed are the whole history, read for its number and for the search
+        against += [(entries if "key" in entries.columns else cut_lineage(entries), "all")]
+    n = sum(known.count() for known, _ in against if "key" not in known.columns)
+    if blocks is None:
+        blocks = choose_blocks(n, k, GROUP_COST)
     found = []
     for known, which in against:
-        near = near_hashes(own, known, blocks, k, which, n)
+        keyed = "key" in known.columns
+        near = near_hashes(own, known, index.blocks if keyed else blocks, k, which, n)
         joined = split_hot_join(readable, near, "phash", spread="record_id", counts=own)
         found.append(joined.select("record_id", _least_distance(k, which).alias("_d")).where("_d is not null"))
     return reduce(DataFrame.unionByName, found).groupBy("record_id").agg(F.min("_d").alias("min_distance"))

@@ -2,8 +2,9 @@
 
 Each photo hash is listed under its block choices (see ``operators.photos``); the state of
 a key lists the hashes seen there, each once, with their first record, whatever the number of records that
-share a hash.  A key that comes to hold more than ``bound`` hashes (many photos with a dark
-corner, say) hands its entries on to a second level and keeps none from then on: hashes
+share a hash.  A hash is listed under its first equal blocks only (7 keys for distance 6), and
+the longer keys are listed within a key's task.  A key that comes to hold more than ``bound``
+hashes (many photos with a dark corner, say) hands its entries on to a second level and keeps none from then on: hashes
 under one key agree in its blocks, so the second level cuts the remaining bits into blocks
 and lists them by choices of those.  Nothing is lost at either level.
 """
@@ -21,19 +22,23 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from basinlens.constants import DUPLICATE_MAX_HAMMING
-from basinlens.operators.photos import block_masks, choose_blocks, hash_keys
+from basinlens.operators.hash_groups import Choices, near_pairs
+from basinlens.operators.photos import GROUP_COST, choose_blocks, leading_choices, lead_keys
 
 OUTPUT = T.StructType([T.StructField("record_id", T.LongType()), T.StructField("distance", T.IntegerType())])
 _LEVEL = T.StructType(
     [T.StructField("key", T.LongType()), T.StructField("record_id", T.LongType()), T.StructField("phash", T.LongType()), T.StructField("distance", T.IntegerType())]
 )
-_ENTRY = T.StructType([T.StructField("phash", T.LongType()), T.StructField("first_id", T.LongType())])
+# hashes and their first records of one batch, eight bytes each: a key's history is read in a few large values
+_ENTRY = T.StructType([T.StructField("hashes", T.BinaryType()), T.StructField("first_ids", T.BinaryType())])
 _MOVED = T.StructType([T.StructField("moved", T.BooleanType())])
 
-ROW_COST = 300_000.0  # a keyed row costs a state access; comparisons are vectorised (see choose_blocks)
-BOUND = 20_000  # hashes that a key may hold
+ROW_COST = 300_000.0  # of a state whose hashes of one key are all compared: a keyed row costs a state access (see choose_blocks)
+BOUND = 1_000_000  # hashes that a key may hold
 SECOND_BLOCKS = 8  # blocks of the second level
 COMPARED = 1 << 20  # distances computed at a time
+DIRECT = 256  # so many new hashes of a key are compared with all others, more are looked up by longer keys
+FOLDED = 1 << 18  # rows of a batch collected before they are reduced to distinct hashes
 PASSING = 64  # keys by which finished rows pass the second level
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,7 +46,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 def second_masks(blocks: int, k: int) -> np.ndarray:
     """Per choice of the first level (rows): masks of the choices among the bits that it leaves open."""
     out = []
-    for kept in block_masks(blocks, k):
+    for kept, _ in leading_choices(blocks, 1, k):
         free = [b for b in range(64) if not kept >> b & 1]
         cuts = [round(len(free) * i / SECOND_BLOCKS) for i in range(SECOND_BLOCKS + 1)]
         parts = [sum(1 << b for b in free[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
@@ -56,12 +61,26 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(33))
 
 
+Hashes = tuple[np.ndarray, np.ndarray]  # distinct hashes, ascending, and the smallest record id of each
+NONE: Hashes = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _distinct(hashes: list[np.ndarray], ids: list[np.ndarray]) -> tuple[Hashes, np.ndarray]:
+    """The hashes with their smallest record id, and the ids that come after another record of their hash."""
+    h, i = np.concatenate(hashes), np.concatenate(ids)
+    order = np.lexsort((i, h))
+    h, i = h[order], i[order]
+    first = np.append(True, h[1:] != h[:-1]) if len(h) else np.zeros(0, bool)
+    least = i[np.flatnonzero(first)][np.cumsum(first) - 1]
+    return (h[first], i[first]), i[i > least]
+
+
 class _NearHashes(StatefulProcessor):
-    def __init__(self, k: int, bound: int | None, masks: np.ndarray | None, expire_ms: int | None):
-        self.k, self.bound, self.masks, self.expire_ms = k, bound, masks, expire_ms
+    def __init__(self, k: int, bound: int | None, masks: np.ndarray | None, expire_ms: int | None, choices: list[Choices] | None = None):
+        self.k, self.bound, self.masks, self.expire_ms, self.choices = k, bound, masks, expire_ms, choices
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # a list, since its entries are read and appended many at a time
+        # a list, since every batch appends its new hashes as one entry
         self.seen = handle.getListState("seen", _ENTRY, self.expire_ms)
         self.moved = handle.getValueState("moved", _MOVED) if self.bound else None
 
@@ -83,8 +102,8 @@ class _NearHashes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         key, choice = int(key[0]), 0
         moved = self.moved is not None and self.moved.exists()
-        stored: dict[int, int] | None = None
-        pending: dict[int, int] = {}  # of this batch: hash -> smallest record id, whose distance is open
+        stored: Hashes | None = None
+        pending, fresh, held = NONE, [], 0  # of this batch: hashes whose smallest id's distance is open
         for part in rows:
             passing = part[part["distance"].notna()]
             if len(passing):
@@ -93,70 +112,85 @@ class _NearHashes(StatefulProcessor):
                 if not len(part):
                     continue
             hashes, ids = part["phash"].to_numpy(np.int64), part["record_id"].to_numpy(np.int64)
-            choice = int(part["choice"].iloc[0]) if self.bound else 0
+            choice = int(part["choice"].iloc[0]) if self.choices else 0
             if moved:
                 yield self._second(key, choice, hashes, ids)
                 continue
-            order = np.lexsort((ids, hashes))
-            hashes, ids = hashes[order], ids[order]
-            first = np.append(True, hashes[1:] != hashes[:-1])
-            least = ids[np.flatnonzero(first)[np.cumsum(first) - 1]]
-            later = ids[ids > least].tolist()  # records after another of their own hash: distance 0, whatever comes
-            for h, i in zip(hashes[first].tolist(), ids[first].tolist(), strict=True):
-                known = pending.get(h)
-                if known is None or i < known:
-                    pending[h] = i
-                if known is not None and i != known:
-                    later.append(max(i, known))
-            if later:
-                yield self._found(later, [0] * len(later))
-            if self.bound and len(pending) > self.bound // 2:
+            fresh.append((hashes, ids))
+            held += len(ids)
+            if held < FOLDED:
+                continue
+            pending, later = self._fold(pending, fresh)
+            fresh, held = [], 0
+            yield self._found(later, np.zeros(len(later), np.int32))
+            if self.bound and len(pending[0]) > self.bound // 2:
                 stored = self._stored() if stored is None else stored
-                if len(stored.keys() | pending.keys()) > self.bound:
+                if len(np.union1d(stored[0], pending[0])) > self.bound:
                     yield from self._move(key, choice, stored, pending)
-                    moved, pending = True, {}
-        if pending:
+                    moved, pending = True, NONE
+        if fresh:
+            # records after another of their own hash: distance 0, whatever comes
+            pending, later = self._fold(pending, fresh)
+            if len(later):
+                yield self._found(later, np.zeros(len(later), np.int32))
+        if len(pending[0]):
             stored = self._stored() if stored is None else stored
-            if self.bound and len(stored.keys() | pending.keys()) > self.bound:
+            if self.bound and len(np.union1d(stored[0], pending[0])) > self.bound:
                 yield from self._move(key, choice, stored, pending)
                 return
-            new = [entry for entry in pending.items() if entry[0] not in stored]
-            if any(i < stored.get(h, i) for h, i in pending.items()):  # a smaller id of a known hash came later
-                self.seen.put([(h, min(i, pending.get(h, i))) for h, i in stored.items()] + new)
-            elif new:
-                self.seen.appendList(new)
-            found = self._compare(stored, pending)
+            found = self._compare(stored, pending, self.choices[choice] if self.choices else None)
             if len(found):
                 yield found
 
-    def _stored(self) -> dict[int, int]:
-        return dict(self.seen.get()) if self.seen.exists() else {}
+    def _fold(self, pending: Hashes, fresh: list[Hashes]) -> tuple[Hashes, np.ndarray]:
+        return _distinct([pending[0], *(h for h, _ in fresh)], [pending[1], *(i for _, i in fresh)])
+
+    def _stored(self) -> Hashes:
+        if not self.seen.exists():
+            return NONE
+        parts = [[np.frombuffer(bytes(column), np.int64) for column in entry] for entry in self.seen.get()]
+        return _distinct([h for h, _ in parts], [i for _, i in parts])[0] if parts else NONE
 
-    def _move(self, key: int, choice: int, stored: dict[int, int], pending: dict[int, int]) -> Iterator[pd.DataFrame]:
+    def _move(self, key: int, choice: int, stored: Hashes, pending: Hashes) -> Iterator[pd.DataFrame]:
         self.moved.update((True,))
         self.seen.clear()
-        for some in (stored, pending):
-            hashes, ids = np.array(list(some), dtype=np.int64), np.array(list(some.values()), dtype=np.int64)
+        for hashes, ids in (stored, pending):
             for at in range(0, len(hashes), 4096):
                 yield self._second(key, choice, hashes[at : at + 4096], ids[at : at + 4096])
 
-    def _compare(self, stored: dict[int, int], pending: dict[int, int]) -> pd.DataFrame:
+    def _compare(self, stored: Hashes, pending: Hashes, choices: Choices | None) -> pd.DataFrame:
         """The batch joins the state first; "earlier" is then decided by record id alone."""
-        known = dict(stored)
-        for h, i in pending.items():
-            known[h] = min(i, known.get(h, i))
-        h, first = np.array(list(known), dtype=np.int64), np.array(list(known.values()), dtype=np.int64)
-        own, rid = np.array(list(pending), dtype=np.int64), np.array(list(pending.values()), dtype=np.int64)
-        ids, distances = [], []
-        step = max(1, COMPARED // len(h))
-        for at in range(0, len(own), step):
-            some, r = own[at : at + step], rid[at : at + step]
-            distance = np.bitwise_count((some[:, None] ^ h[None, :]).view(np.uint64)).astype(np.int32)
-            distance[first[None, :] >= r[:, None]] = 99
-            least = distance.min(axis=1)
-            ids += r[least <= self.k].tolist()
-            distances += least[least <= self.k].tolist()
-        return self._found(ids, distances)
+        own, rid = pending
+        at = np.searchsorted(stored[0], own)
+        known = at < len(stored[0])
+        known[known] = stored[0][at[known]] == own[known]
+        earlier = np.zeros(len(own), bool)  # their hash has an earlier record: distance 0
+        earlier[known] = stored[1][at[known]] < rid[known]
+        new = ~known
+        new[known] = stored[1][at[known]] > rid[known]  # a smaller id of a known hash came later
+        if new.any():
+            self.seen.appendValue((own[new].tobytes(), rid[new].tobytes()))
+        (h, first), _ = _distinct([stored[0], own[new]], [stored[1], rid[new]])
+        ids, distances = [rid[earlier]], [np.zeros(int(earlier.sum()), np.int32)]
+        own, rid = own[~earlier], rid[~earlier]
+        if choices is None or len(own) <= DIRECT:
+            step = max(1, COMPARED // max(1, len(h)))
+            for start in range(0, len(own), step):
+                some, r = own[start : start + step], rid[start : start + step]
+                distance = np.bitwise_count((some[:, None] ^ h[None, :]).view(np.uint64)).astype(np.int32)
+                distance[first[None, :] >= r[:, None]] = 99
+                least = distance.min(axis=1)
+                ids.append(r[least <= self.k])
+                distances.append(least[least <= self.k])
+            return self._found(np.concatenate(ids), np.concatenate(distances))
+        least = np.full(len(h), 99, np.int32)
+        asks = np.zeros(len(h), bool)
+        asks[np.searchsorted(h, own)] = True
+        for i, j, distance in near_pairs(h.view(np.uint64), choices, self.k):
+            for a, b in ((i, j), (j, i)):
+                use = asks[a] & (first[b] < first[a])
+                np.minimum.at(least, a[use], distance[use].astype(np.int32))
+        return self._found(np.append(ids[0], first[least <= self.k]), np.append(distances[0], least[least <= self.k]))
 
     def close(self) -> None:
         pass
@@ -186,10 +220,11 @@ def stream_duplicates(
     earlier.  With ``expire_ms`` an entry is forgotten so long after it was last written
     (processing time).  Take the least distance per record downstream.
     """
-    blocks = blocks or choose_blocks(expected, k, ROW_COST)
-    listed = hash_keys(photos.select("record_id", "phash"), blocks, k, number="choice").withColumn("distance", F.lit(None).cast("int"))
+    blocks = blocks or choose_blocks(expected, k, GROUP_COST)
+    choices = [rest for _, rest in leading_choices(blocks, 1, k)]
+    listed = lead_keys(photos.select("record_id", "phash"), blocks, k).withColumn("distance", F.lit(None).cast("int"))
     mode = {"outputMode": "Append", "timeMode": "ProcessingTime" if expire_ms else "None"}
-    first = _NearHashes(k, bound, second_masks(blocks, k) if bound else None, expire_ms)
+    first = _NearHashes(k, bound, second_masks(blocks, k) if bound else None, expire_ms, choices)
     found = listed.groupBy("key").transformWithStateInPandas(statefulProcessor=first, outputStructType=_LEVEL, **mode)
     if bound:
         second = _NearHashes(k, None, None, expire_ms)

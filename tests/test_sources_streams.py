@@ -303,3 +303,25 @@ def test_live_backlog_equals_backlog_and_bands(spark, folder):
         assert [live.get(("stage", row["stage"], s), 0) for s in slugs] == [row[s] for s in slugs]
     for row in scoring.band_stats(now, now).collect():
         assert [live.get(("band", row["mws_id"], b), 0) for b in [*constants.BANDS, "unscored"]] == [row[b] for b in [*constants.BANDS, "unscored"]]
+
+
+def test_evenly_spread_hashes_stay_at_the_first_level():
+    """At 60 times sf0.1 every key went over the bound, and 196 rows per hash to the second level."""
+    for expected in (18_000_000, 108_000_000):
+        blocks = photos.choose_blocks(expected, row_cost=photos.GROUP_COST)
+        assert expected / 2 ** (64 // blocks) <= 2 * photo_state.BOUND
+
+
+def test_many_new_hashes_of_a_key_are_looked_up_by_longer_keys(spark, folder, monkeypatch):
+    monkeypatch.setattr(photo_state, "DIRECT", 0)
+    pick = random.Random(12)
+    values = [pick.getrandbits(63) for _ in range(250)]
+    values += [pick.choice(values) ^ sum(1 << b for b in pick.sample(range(63), pick.randrange(9))) for _ in range(350)]
+    pick.shuffle(values)
+    want = {}
+    for i, h in enumerate(values):
+        nearest = min(((h ^ other).bit_count() for other in values[:i]), default=99)
+        if nearest <= 6:
+            want[i] = nearest
+    df = spark.createDataFrame(list(enumerate(values)), "record_id long, phash long")
+    assert photo_stream(spark, df, folder, 3, blocks=9) == set(want.items())
