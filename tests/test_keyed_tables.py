@@ -150,3 +150,29 @@ def test_a_batch_reads_what_its_hashes_need(spark, folder):
     assert part < whole / 3  # 56 keys in 512 ranges
     found = index.entries(few).join(few, "phash").select("phash").distinct()
     assert found.count() == 2
+
+
+def test_an_index_of_few_large_batches_keeps_one_row_per_hash(spark, folder):
+    """Listed under 28 or 84 keys each, the hashes of two large batches were written dozens of times."""
+    pick = random.Random(6)
+    bases = [pick.getrandbits(63) for _ in range(30)]
+    hashes = [pick.choice(bases) ^ sum(1 << b for b in pick.sample(range(63), pick.randrange(9))) for _ in range(400)]
+    index = hash_index.HashIndex(spark, f"{folder}/index", expected=800)
+    got = {}
+    for batch in range(2):
+        some = spark.createDataFrame(list(enumerate(hashes))[batch * 200 : batch * 200 + 200], "record_id long, phash long")
+        near = photos.duplicate_distance(some, index=index, before=batch)
+        got.update((r["record_id"], r["min_distance"]) for r in near.collect())
+        stored = photos.stored_hashes(some)
+        assert index.append(stored, batch)
+        index = hash_index.HashIndex(spark, f"{folder}/index", expected=800)  # as a batch after a restart finds it
+        assert not index.listed and index.table.scan(before=None).count() <= (batch + 1) * 200
+    want = {}
+    for i, h in enumerate(hashes):
+        nearest = min(((h ^ other).bit_count() for other in hashes[:i]), default=99)
+        if nearest <= 6:
+            want[i] = nearest
+    assert got == want
+    small = hash_index.HashIndex(spark, f"{folder}/small", expected=10**6)
+    small.append(stored, 0)
+    assert small.listed
