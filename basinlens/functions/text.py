@@ -92,6 +92,11 @@ def query_param(url, key: str) -> Column:
     return F.when(present, F.try_url_decode(raw))
 
 
+def once(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once: within lambdas Spark evaluates an expression wherever it stands."""
+    return F.transform(F.array(value), use)[0]
+
+
 def unescape(text) -> Column:
     """Decode named and numeric character references; unknown names stay as written.
 
@@ -103,20 +108,21 @@ def unescape(text) -> Column:
     def character(number: Column) -> Column:
         return F.decode(F.unhex(F.lpad(F.conv(number, 10, 16), 8, "0")), "UTF-32")
 
-    def piece(p: Column) -> Column:
-        ref = F.regexp_extract(p, "^&(#?[0-9A-Za-z]+);", 1)
+    def replaced(p: Column, ref: Column) -> Column:
         decimal = F.regexp_extract(ref, "^#([0-9]{1,7})$", 1)
         hexadecimal = F.regexp_extract(ref, "^#[xX]([0-9A-Fa-f]{1,6})$", 1)
-        plain = (
-            F.when(decimal != "", character(decimal))
-            .when(hexadecimal != "", character(F.conv(hexadecimal, 16, 10)))
-            .otherwise(F.try_element_at(names, ref))
-        )
+        number = F.when(decimal != "", character(decimal)).when(hexadecimal != "", character(F.conv(hexadecimal, 16, 10)))
+        plain = F.when(ref.startswith("#"), number).otherwise(F.try_element_at(names, ref))
         rest = F.regexp_replace(p, "^&#?[0-9A-Za-z]+;", "")
-        return F.when((ref == "") | plain.isNull(), p).otherwise(F.concat(plain, rest))
+        return F.when(ref == "", p).otherwise(F.coalesce(once(plain, lambda c: F.concat(c, rest)), p))
+
+    def piece(p: Column) -> Column:
+        return once(F.regexp_extract(p, "^&(#?[0-9A-Za-z]+);", 1), lambda ref: replaced(p, ref))
+
+    def decoded(v: Column) -> Column:
+        return F.array_join(F.transform(F.split(v, "(?=&#?[0-9A-Za-z]+;)"), piece), "")
 
-    decoded = F.array_join(F.transform(F.split(t, "(?=&#?[0-9A-Za-z]+;)"), piece), "")
-    return F.when(t.contains("&"), decoded).otherwise(t)
+    return once(t, lambda v: F.when(v.contains("&"), decoded(v)).otherwise(v))
 
 
 def collapse_spaces(text) -> Column:

@@ -325,3 +325,13 @@ def test_many_new_hashes_of_a_key_are_looked_up_by_longer_keys(spark, folder, mo
             want[i] = nearest
     df = spark.createDataFrame(list(enumerate(values)), "record_id long, phash long")
     assert photo_stream(spark, df, folder, 3, blocks=9) == set(want.items())
+
+
+def test_a_cell_is_cleaned_once_whatever_it_holds(spark):
+    """Decoding wrote its argument three times into the plan, and lambdas evaluate each of them."""
+    from basinlens.sources.report_html import cell_text
+
+    df = spark.createDataFrame([("<b>a</b> &amp;lt; &#65;&#x42; &nope; &#xZZ; &",), ("plain",), (None,)], "t string")
+    out = df.select(cell_text(F.col("t")).alias("t"))
+    assert [r["t"] for r in out.collect()] == ["a &lt; AB &nope; &#xZZ; &", "plain", None]
+    assert out._jdf.queryExecution().analyzed().toString().count("<[^>]*>") == 1
