@@ -3,6 +3,9 @@
 The groups are made by Spark (see ``operators.photos``): a hash is sent to one group per
 choice of its first equal blocks only, seven times for distance 6, and the longer keys,
 dozens per hash, are listed here, in memory, one sort of numbers each.
+
+What a task sends to a group is one row: sorted hashes as differences, ids, and flags, each
+as planes of equal bytes, which the shuffle's own compression shrinks.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 MIX = np.uint64(0x9E3779B97F4A7C15)
+PACKED = 1 << 20  # hashes that a task packs at a time
 HELD = 1 << 20  # pairs kept at a time, before they are reduced to the best per hash and distance
 
 
@@ -115,3 +119,67 @@ def group_search(table: pa.Table, choices: Choices, k: int, ends: Sequence[str],
             out = {"phash": table["phash"].take(pa.array(slot // (k + 1))), "_d": pa.array((slot % (k + 1)).astype(np.int32))}
         out[f"{e}_id"] = table[f"{e}_id"].take(pa.array(by_rank[e][value]))
     return pa.table(out)
+
+
+PACKED_SCHEMA = "_choice int, _lead bigint, rows int, packed binary"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes and so on."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(data: memoryview, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, n).T).view(np.int64).ravel()
+
+
+def pack_groups(batches: Iterator[pa.RecordBatch], leads: Sequence[int], ids: Sequence[str], left_out: frozenset = frozenset()) -> Iterator[pa.RecordBatch]:
+    """Rows (phash, asks, stored, 64-bit ``ids``) under each of ``leads`` (masks), one row a group; groups in ``left_out`` are not listed."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= PACKED:
+            yield from _packed(pa.Table.from_batches(held), leads, ids, left_out)
+            held, rows = [], 0
+    if rows:
+        yield from _packed(pa.Table.from_batches(held), leads, ids, left_out)
+
+
+def _packed(table: pa.Table, leads: Sequence[int], ids: Sequence[str], left_out: frozenset) -> Iterator[pa.RecordBatch]:
+    hashes = table["phash"].to_numpy().view(np.uint64)
+    flags = table["asks"].to_numpy(zero_copy_only=False) + 2 * table["stored"].to_numpy(zero_copy_only=False).astype(np.uint8)
+    columns = [pa.compute.fill_null(table[c], 0).to_numpy() for c in ids]  # rows that only ask have no ids
+    columns = columns[:1] + [c - columns[0] for c in columns[1:]]  # a last record is mostly the first one
+    for choice, mask in enumerate(leads):
+        lead = hashes & np.uint64(mask)
+        order = np.lexsort((hashes, lead))
+        lead = lead[order].view(np.int64)
+        starts = np.flatnonzero(np.append(True, lead[1:] != lead[:-1]))
+        keys, sizes, blobs = [], [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+            if (choice, int(lead[a])) in left_out:
+                continue
+            own = order[a:b]
+            keys.append(lead[a])
+            sizes.append(b - a)
+            apart = np.diff(hashes[own], prepend=np.uint64(0))
+            blobs.append(b"".join([_planes(apart), *(_planes(c[own]) for c in columns), flags[own].tobytes()]))
+        arrays = [pa.array(np.full(len(keys), choice, np.int32)), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, ["_choice", "_lead", "rows", "packed"])
+
+
+def unpacked(table: pa.Table, ids: Sequence[str]) -> pa.Table:
+    """phash, asks, stored and ``ids`` of one group's packed rows."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in ("phash", "asks", "stored", *ids)}
+    for n, blob in zip(table["rows"].to_pylist(), table["packed"].to_pylist(), strict=True):
+        data = memoryview(blob)
+        apart, *columns = (_from_planes(data[8 * n * i : 8 * n * (i + 1)], n) for i in range(1 + len(ids)))
+        flags = np.frombuffer(data[8 * n * (1 + len(ids)) :], np.uint8)
+        parts["phash"].append(np.cumsum(apart.view(np.uint64), dtype=np.uint64).view(np.int64))
+        parts["asks"].append(flags & 1 != 0)
+        parts["stored"].append(flags & 2 != 0)
+        for i, c in enumerate(ids):
+            parts[c].append(columns[i] + columns[0] if i else columns[0])
+    return pa.table({c: np.concatenate(values) for c, values in parts.items()})

@@ -15,7 +15,7 @@ all records costs one row, and no pair of records is ever formed.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 from itertools import combinations
 from math import comb
 from typing import TYPE_CHECKING
@@ -27,13 +27,14 @@ from pyspark.sql import functions as F
 from basinlens.constants import DUPLICATE_MAX_HAMMING
 from basinlens.functions.geo import hamming
 from basinlens.operators.common import split_hot_join
-from basinlens.operators.hash_groups import group_search
+from basinlens.operators.hash_groups import PACKED_SCHEMA, group_search, pack_groups, unpacked
 from basinlens.session import cut_lineage
 
 if TYPE_CHECKING:
     from basinlens.operators.hash_index import HashIndex
 
 GROUP_ROWS = 2_000_000  # hashes that a task searches as one group
+TASK_ROWS = 500_000  # hashes, with their copies, that a task searches in all its groups
 GROUP_COST = 4.0  # a key listed in memory costs about as much as so many chance meetings (see choose_blocks)
 
 
@@ -149,8 +150,9 @@ def _near_in_groups(probe: DataFrame, stored: DataFrame, blocks: int, k: int, en
     """(phash, _d, ids) of near hashes, by groups of hashes that share their first equal blocks.
 
     A hash goes to one group per choice of those (7 for one block and distance 6), and a task
-    lists the longer keys of a group in memory.  Groups of more than ``GROUP_ROWS`` are
-    listed by Spark instead, under all their keys, and joined.
+    lists the longer keys of a group in memory.  Ids that are integers are packed with the
+    hashes, many to a row.  Groups of more than ``GROUP_ROWS`` are listed by Spark instead,
+    under all their keys, and joined.
     """
     ids, same = [f"{e}_id" for e in ends], stored is probe
     before = same and ends == ["first"]
@@ -164,7 +166,10 @@ def _near_in_groups(probe: DataFrame, stored: DataFrame, blocks: int, k: int, en
     listed = rows.select("*", F.posexplode(leads).alias("_choice", "_lead"))
     schema = "phash bigint, _d int, " + ", ".join(f"{c} {stored.schema[c].dataType.simpleString()}" for c in ids)
 
+    numbered = all(stored.schema[c].dataType.typeName() == "long" for c in sides[3:])
+
     def search(key: tuple, table: pa.Table) -> pa.Table:
+        table = unpacked(table, sides[3:]) if numbered else table
         return group_search(table, choices[key[0].as_py()][1], k, ends, before)
 
     large = []
@@ -184,6 +189,11 @@ def _near_in_groups(probe: DataFrame, stored: DataFrame, blocks: int, k: int, en
         keyed = over.select(*sides, F.explode(keys).alias("key"))
         right = keyed.where("stored").select("key", F.col("phash").alias("_other"), *ids)
         parts.append(_met(keyed.where("asks").select("key", "phash"), right, k, ids))
+    if numbered:  # a stored row without an id is nobody's photo
+        kept = rows.where("not stored or first_id is not null")
+        pack = partial(pack_groups, leads=[lead for lead, _ in choices], ids=sides[3:], left_out=frozenset(large))
+        tasks = max(1, -(-n * len(choices) // TASK_ROWS))
+        listed = kept.mapInArrow(pack, PACKED_SCHEMA).repartition(tasks, "_choice", "_lead")
     parts.append(listed.groupBy("_choice", "_lead").applyInArrow(search, schema))
     if same:
         own = stored.where("first_id < last_id") if before else stored
