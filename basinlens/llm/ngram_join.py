@@ -24,11 +24,12 @@ Results are exact up to collisions of 64-bit hashes of n-grams.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ TOKENS_PER_RANGE = 2_000_000  # n-grams that one counting group holds, about 130
 TOKENS_PER_CELL = 1_000_000  # n-grams that one trie holds; larger groups are cut into cells
 TOKENS_PER_CLUSTER = 300_000  # up to this size, all sets that postings connect meet once, in one trie
 FLUSH = 1_000_000  # n-grams a task packs before it hands them on
+FLUSH_SETS = 65_000  # sets it packs at most: their numbers take 16 bits
+COPIED_SETS = 2_000_000  # up to so many sets of several rows are known to every task, 16 bytes each
 COMMON_SHARE = 256  # an n-gram is common if one in so many sets holds it
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -126,78 +129,97 @@ def common_ngrams(described: DataFrame) -> np.ndarray:
     return np.sort(rows.column("token").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _packed(values: np.ndarray, kind: type, bounds: np.ndarray) -> pa.Array:
-    data = np.ascontiguousarray(values, dtype=kind)
-    width = data.dtype.itemsize
-    offsets = pa.py_buffer((bounds * width).astype(np.int32).tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(data.tobytes())])
+def copied_sets(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, ascending, of the sets that rows of several ids have, and the row to count; none of more than COPIED_SETS.
+
+    It only saves work: where a task knows nothing of copies elsewhere, they are dealt as well.
+    """
+    several = classes.where("rep < last").select("d1", "rep").limit(COPIED_SETS + 1).toArrow()
+    if several.num_rows > COPIED_SETS:
+        several = several.slice(0, 0)
+    several = several.combine_chunks().sort_by("d1")
+    return several["d1"].to_numpy(), several["rep"].to_numpy()
+
+
+def _steps(owners: np.ndarray) -> bytes:
+    """Ascending 16-bit numbers as differences, low bytes first, then high ones: runs that a shuffle's compression shrinks."""
+    steps = np.diff(owners, prepend=0).astype("<u2")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 2).T).tobytes()
+
+
+def _from_steps(data: memoryview) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(2, -1).T).view("<u2").ravel()
+    return np.cumsum(steps, dtype=np.int64)
+
+
+def _slices(values: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    return [values[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 def _part(tokens: np.ndarray, ranges: int) -> np.ndarray:
     return (((tokens >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
-def _runs(tokens: np.ndarray, owner: np.ndarray, part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of entries sorted by part and owner: each run's owner and length, and the bounds of the parts in runs and entries."""
-    if not len(tokens):
-        none = np.zeros(0, dtype=np.int64)
-        return none, none, np.zeros(parts + 1, np.int64), np.zeros(parts + 1, np.int64)
-    token_bounds = np.searchsorted(part, np.arange(parts + 1))
-    starts = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])]))
-    return owner[starts], np.diff(np.append(starts, len(tokens))), np.searchsorted(starts, token_bounds), token_bounds
+SENT = "flush bigint, part int, keys binary, slacks binary, owners binary, tokens binary"
+
+
+def _sent(flush: int, part: Sequence[int], **columns: list[bytes]) -> pa.RecordBatch:
+    n = len(part)
+    names = ("keys", "slacks", "owners", "tokens", *(["holders"] if "holders" in columns else []))
+    blobs = [pa.array(columns.get(c, [None] * n), pa.binary()) for c in names]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, flush, np.int64)), pa.array(part, pa.int32()), *blobs], ["flush", "part", *names])
 
 
-def _deal(batches: Iterator[pa.RecordBatch], size: int, ranges: int, common, top: int, bottom: int) -> Iterator[pa.RecordBatch]:
-    """Pack each set's n-grams by hash range: (part, keys, slacks, counts, low halves of the hashes).
+def _deal(batches: Iterator[pa.RecordBatch], size: int, ranges: int, common, copies, top: int, bottom: int) -> Iterator[pa.RecordBatch]:
+    """Pack n-grams by hash range: (flush, part, owners, low halves of the hashes).
 
-    A set's slack is the number of its n-grams that are not common less its prefix length;
-    where it is negative, the prefix ends within the common n-grams, which are handed on,
-    whole hashes, under a negative part.
+    A flush is some sets of one task, numbered by key; its n-grams name their set by that
+    number, so that no key travels with every n-gram.  Keys and slacks go once, under a
+    negative part.  A set's slack is the number of its n-grams that are not common less its
+    prefix length; where it is negative, the prefix ends within the common n-grams, which
+    are handed on, whole hashes with whole keys, under a negative part too.
     """
     forget_process()
-    often = common.value
-    keys: list[int] = []
-    slacks: list[int] = []
-    sets: list[np.ndarray] = []
+    often, (copied, reps) = common.value, copies.value
+    held: dict[int, tuple[int, np.ndarray]] = {}  # key: slack, n-grams that are not common
     direct: list[tuple[int, np.ndarray]] = []
-    names = ["part", "keys", "slacks", "counts", "tokens"]
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if sets:
+        if not held and not direct:
+            return
+        keys = np.array(sorted(held), dtype=np.int64)
+        # named by what it holds: should a task run again with its rows in another order, nothing is mixed up
+        name = int.from_bytes(xxhash.xxh3_64_digest(keys.tobytes()), "little", signed=True)
+        aside = -1 - name % ranges
+        if len(keys):
+            sets = [held[k][1] for k in keys.tolist()]
             tokens = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             part = _part(tokens, ranges)
             order = np.argsort(part, kind="stable")
-            part, owner, tokens = part[order], owner[order], tokens[order]
-            run_owner, counts, run_bounds, token_bounds = _runs(tokens, owner, part, ranges)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(ranges), pa.int32()),
-                    _packed(np.array(keys, dtype=np.int64)[run_owner], np.int64, run_bounds),
-                    _packed(np.array(slacks, dtype=np.int64)[run_owner], np.int32, run_bounds),
-                    _packed(counts, np.uint32, run_bounds),
-                    _packed(tokens & np.uint64(0xFFFFFFFF), np.uint32, token_bounds),
-                ],
-                names,
-            )
+            part, owner, tokens = part[order], owner[order], (tokens[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            bounds = np.searchsorted(part, np.arange(ranges + 1))
+            filled = np.flatnonzero(np.diff(bounds))
+            bounds = np.append(bounds[filled], len(tokens))
+            owners = [_steps(owner[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            yield _sent(name, filled, owners=owners, tokens=_slices(tokens, bounds))
+            slacks = np.array([held[k][0] for k in keys.tolist()], dtype=np.int32)
+            yield _sent(name, [aside], keys=[keys.tobytes()], slacks=[slacks.tobytes()])
         if direct:
-            blobs = [
-                np.array([k for k, _ in direct], dtype=np.int64),
-                np.empty(0, np.int32),
-                np.array([len(t) for _, t in direct], dtype=np.uint32),
-                np.concatenate([t for _, t in direct]),
-            ]
-            columns = [pa.array([b.tobytes()], pa.binary()) for b in blobs]
-            yield pa.RecordBatch.from_arrays([pa.array([-1 - direct[0][0] % ranges], pa.int32()), *columns], names)
-        for kept in (keys, slacks, sets, direct):
-            kept.clear()
-
-    held, seen = 0, set()
+            whole = np.repeat(np.array([k for k, _ in direct], dtype=np.int64), [len(t) for _, t in direct])
+            yield _sent(name, [aside], keys=[whole.tobytes()], tokens=[np.concatenate([t for _, t in direct]).tobytes()])
+        held.clear()
+        direct.clear()
+
+    weight, seen = 0, set()
     for batch in batches:
-        for text in binary_rows(batch.column("text")):
+        for doc_id, text in zip(batch.column("doc_id").to_pylist(), binary_rows(batch.column("text")), strict=True):
             tokens = ngram_set(text, size)
             key = _digest(tokens)[0]
-            if not len(tokens) or key in seen:  # one copy per task is enough: sets are counted, not rows
+            if not len(tokens) or key in seen:  # one copy is enough: sets are counted, not rows
+                continue
+            at = np.searchsorted(copied, key)
+            if at < len(copied) and copied[at] == key and reps[at] != doc_id:
                 continue
             seen.add(key)
             prefix = len(tokens) - (len(tokens) * top + bottom - 1) // bottom + 1
@@ -209,92 +231,68 @@ def _deal(batches: Iterator[pa.RecordBatch], size: int, ranges: int, common, top
                 if len(tokens) < prefix:
                     direct.append((key, shared[: prefix - len(tokens)]))
             if len(tokens):
-                keys.append(key)
-                slacks.append(len(tokens) - prefix)
-                sets.append(tokens)
-            held += len(tokens) + 1
-            if held >= FLUSH:
+                held[key] = len(tokens) - prefix, tokens
+            weight += len(tokens) + 1
+            if weight >= FLUSH or len(held) >= FLUSH_SETS:
                 yield from flush()
-                held, seen = 0, set()
+                weight, seen = 0, set()
     yield from flush()
 
 
-def _unpack(table: pa.Table, name: str, kind: type) -> np.ndarray:
-    return np.concatenate([np.frombuffer(v, dtype=kind) for v in binary_rows(table.column(name))] or [np.empty(0, kind)])
-
-
-def _by_owner(part: int, keys: np.ndarray, slacks: np.ndarray, owner: np.ndarray, tokens: np.ndarray, holders: np.ndarray, owners: int) -> pa.RecordBatch:
-    """Pack entries (set number, n-gram, holders) by the bucket of the set's key."""
-    bucket = (_mixed(keys.view(np.uint64)) % np.uint64(owners)).astype(np.int64)
-    order = np.argsort(bucket[owner], kind="stable")
-    owner, tokens, holders = owner[order], tokens[order], holders[order]
-    run_owner, counts, run_bounds, token_bounds = _runs(tokens, owner, bucket[owner], owners)
-    out = pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.arange(owners), pa.int32()),
-            pa.array(np.full(owners, part), pa.int32()),
-            _packed(keys[run_owner], np.int64, run_bounds),
-            _packed(slacks[run_owner], np.int32, run_bounds),
-            _packed(counts, np.uint32, run_bounds),
-            _packed(tokens, tokens.dtype.type, token_bounds),
-            _packed(holders, np.uint16, token_bounds),
-        ],
-        ["bucket", "part", "keys", "slacks", "counts", "tokens", "holders"],
-    )
-    return out.take(pa.array(np.flatnonzero(np.diff(run_bounds)), pa.int64()))
-
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each hash range: the n-grams that at least two sets hold, with their counts.
 
-def _count(batches: Iterator[pa.RecordBatch], owners: int) -> Iterator[pa.RecordBatch]:
-    """Of each hash range: the n-grams that at least two sets hold, with their counts."""
+    A copy that two flushes hold counts twice: that only keeps n-grams which link nothing.
+    """
     for (part,), table in stream_groups(batches, ["part"]):
-        keys = _unpack(table, "keys", np.int64)
-        counts = _unpack(table, "counts", np.uint32).astype(np.int64)
+        flushes = table.column("flush").to_pylist()
+        rows = {c: binary_rows(table.column(c)) for c in ("owners", "tokens")} if part >= 0 else {}
         if part < 0:
-            tokens, slacks = _unpack(table, "tokens", np.uint64), np.zeros(len(keys), np.int32)
-            owner = np.repeat(np.arange(len(keys)), counts)
-            yield _by_owner(-1, keys, slacks, owner, tokens, np.zeros(len(tokens), np.uint16), owners)
+            table = table.append_column("holders", pa.nulls(table.num_rows, pa.binary()))
+            yield from table.combine_chunks().to_batches()
             continue
-        tokens, slacks = _unpack(table, "tokens", np.uint32), _unpack(table, "slacks", np.int32)
-        unique, first = np.unique(keys, return_index=True)
-        if len(unique) < len(keys):  # the same set met by several tasks
-            keep = np.zeros(len(keys), dtype=bool)
-            keep[first] = True
-            tokens, keys, slacks, counts = tokens[np.repeat(keep, counts)], keys[keep], slacks[keep], counts[keep]
-        owner = np.repeat(np.arange(len(keys)), counts)
+        blobs = [np.frombuffer(v, dtype=np.uint32) for v in rows["tokens"]]
+        tokens = np.concatenate(blobs)
         _, inverse, holders = np.unique(tokens, return_inverse=True, return_counts=True)
-        holders = np.minimum(holders[inverse], 65535)
-        mask = holders >= 2
-        yield _by_owner(part, keys, slacks, owner[mask], tokens[mask], holders[mask], owners)
+        holders = np.minimum(holders[inverse], 65535).astype(np.uint16)
+        at = 0
+        for flush, owners, own in zip(flushes, rows["owners"], blobs, strict=True):
+            among = holders[at : at + len(own)]
+            at += len(own)
+            mask = among >= 2
+            if mask.any():
+                yield _sent(flush, [part], owners=[_steps(_from_steps(owners)[mask])], tokens=[own[mask].tobytes()], holders=[among[mask].tobytes()])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per active set: the n-grams within its prefix that other sets hold too."""
-    for _, table in stream_groups(batches, ["bucket"]):
-        part = table.column("part").to_numpy()
-        for rows, kind in ((table.filter(pa.array(part < 0)), np.uint64), (table.filter(pa.array(part >= 0)), np.uint32)):
-            if not rows.num_rows:
-                continue
-            keys = _unpack(rows, "keys", np.int64)
-            counts = _unpack(rows, "counts", np.uint32).astype(np.int64)
-            tokens = _unpack(rows, "tokens", kind)
-            if kind is np.uint64:
-                full, owner_key = tokens.view(np.int64), np.repeat(keys, counts)
+    for _, table in stream_groups(batches, ["flush"]):
+        keys = None
+        for row in table.filter(pa.compute.less(table.column("part"), 0)).to_pylist():
+            own = np.frombuffer(row["keys"], np.int64)
+            if row["slacks"] is not None:
+                keys, slacks = own, np.frombuffer(row["slacks"], np.int32)
             else:
-                run_part = np.repeat(rows.column("part").to_numpy().astype(np.int64), [len(v) // 8 for v in binary_rows(rows.column("keys"))])
-                unique, which = np.unique(keys, return_inverse=True)
-                room = np.zeros(len(unique), dtype=np.int64)
-                room[which] = -_unpack(rows, "slacks", np.int32).astype(np.int64)
-                # prefix length, less the n-grams that no other set holds
-                room += np.bincount(which, weights=counts, minlength=len(unique)).astype(np.int64)
-                owner = np.repeat(which, counts)
-                full = (np.repeat(run_part, counts) << 32) | tokens.astype(np.int64)
-                mask = room[owner] > 0
-                owner, full, holders = owner[mask], full[mask], _unpack(rows, "holders", np.uint16)[mask]
-                order = np.lexsort((full, holders, owner))
-                owner, full = owner[order], full[order]
-                keep = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(unique)))[owner] < room[owner]
-                full, owner_key = full[keep], unique[owner[keep]]
-            yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(owner_key)], ["token", "key"])
+                tokens = np.frombuffer(row["tokens"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(own)], ["token", "key"])
+        table = table.filter(pa.compute.greater_equal(table.column("part"), 0))
+        if not table.num_rows:
+            continue
+        if keys is None:
+            raise RuntimeError("the keys of some n-grams are missing: a lost task read its rows in another order; write the input first")
+        parts = table.column("part").to_pylist()
+        blobs = [np.frombuffer(v, np.uint32) for v in binary_rows(table.column("tokens"))]
+        owner = np.concatenate([_from_steps(v) for v in binary_rows(table.column("owners"))])
+        holders = np.concatenate([np.frombuffer(v, np.uint16) for v in binary_rows(table.column("holders"))])
+        full = np.concatenate([(p << 32) | b.astype(np.int64) for p, b in zip(parts, blobs, strict=True)])
+        # prefix length, less the n-grams that no other set holds
+        room = np.bincount(owner, minlength=len(keys)) - slacks.astype(np.int64)
+        mask = room[owner] > 0
+        owner, full, holders = owner[mask], full[mask], holders[mask]
+        order = np.lexsort((full, holders, owner))
+        owner, full = owner[order], full[order]
+        keep = np.arange(len(owner)) - np.searchsorted(owner, np.arange(len(keys)))[owner] < room[owner]
+        yield pa.RecordBatch.from_arrays([pa.array(full[keep]), pa.array(keys[owner[keep]])], ["token", "key"])
 
 
 class Trie:
@@ -529,14 +527,12 @@ def similar_groups(
     classes = written(classes, "classes")
 
     ranges = max(16, -(-total(classes, F.col("n")) // TOKENS_PER_RANGE))
-    packed = "keys binary, slacks binary, counts binary, tokens binary"
+    copies = source.sparkSession.sparkContext.broadcast(copied_sets(classes))
     dealt = source.where("doc_id is not null").mapInArrow(
-        partial(_deal, size=size, ranges=ranges, common=common, top=top, bottom=bottom), f"part int, {packed}"
-    )
-    shared = dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(
-        partial(_count, owners=ranges), f"bucket int, part int, {packed}, holders binary"
+        partial(_deal, size=size, ranges=ranges, common=common, copies=copies, top=top, bottom=bottom), SENT
     )
-    postings = shared.repartition(ranges, "bucket").sortWithinPartitions("bucket").mapInArrow(_postings, "token bigint, key bigint")
+    shared = dealt.repartition(ranges, "part").sortWithinPartitions("part").mapInArrow(_count, f"{SENT}, holders binary")
+    postings = shared.repartition(ranges, "flush").sortWithinPartitions("flush").mapInArrow(_postings, "token bigint, key bigint")
     # a set that several tasks dealt may post a common n-gram more than once
     postings = written(postings.distinct(), "prefixes")
 
