@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 
 from basinlens.llm.common import per_process
 
-CACHED_PIECES = 300_000  # encodings of pieces that a worker process keeps, per generation (two are kept)
-CACHED_PREFIXES = 300_000  # last tokens of prefixes that several pieces may share
-CACHED_PAIRS = 400_000
+# A worker process keeps about 100 MB of these when they are full, beside 40 MB of vocabulary; an executor runs several workers.
+CACHED_PIECES = 150_000  # encodings of pieces, per generation (two are kept)
+CACHED_PREFIXES = 100_000  # last tokens of prefixes that several pieces may share
+CACHED_PAIRS = 250_000
+SHORT = (2, 1)  # lengths of tokens that need no look at how they end
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -43,6 +45,13 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        # lengths of the tokens that end in three given bytes, longest first: no other ones need a look
+        endings: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                endings.setdefault(token[-3:], {1, 2}).add(len(token))
+        same = {lengths: lengths for lengths in map(self._descending, endings.values())}
+        self.lengths = {ending: same[self._descending(lengths)] for ending, lengths in endings.items()}
         self.base = max(ranks.values()) + 1
         halves: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[int, dict[int, int]] = {}
@@ -54,10 +63,15 @@ class Vocabulary:
                     self.pairs.setdefault(left, {})[right] = rank
         # tokens that merging their own bytes yields; no others can occur
         self.ranks = {t: r for t, r in ranks.items() if len(t) == 1 or halves[r] is not None}
-        self.right = {r: self._edge(r, halves, 1) for r in self.ranks.values()}
-        self.left = {r: self._edge(r, halves, 0) for r in self.ranks.values()}
+        # each merged token's outer halves: a chain of them leads to what lies at its edge while it is merged
+        self.last_half = {r: both[1] for r, both in halves.items() if both}
+        self.first_half = {r: both[0] for r, both in halves.items() if both}
         self.beside: dict[int, bool] = {}
 
+    @staticmethod
+    def _descending(lengths: set[int]) -> tuple[int, ...]:
+        return tuple(sorted(lengths, reverse=True))
+
     @staticmethod
     def _halves(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
         """The two parts whose merge makes the token, or None if its bytes merge into something else."""
@@ -69,15 +83,6 @@ class Vocabulary:
             parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
         return (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
 
-    @staticmethod
-    def _edge(rank: int, halves: dict, side: int) -> list[tuple[int, int]]:
-        """Tokens that lie at one edge of a token while it is merged, with the rank of the merge that ends each."""
-        out, until = [(rank, 1 << 62)], rank
-        while halves[until] is not None:
-            out.append((halves[until][side], until))
-            until = halves[until][side]
-        return out
-
     def fit(self, a: int, b: int) -> bool:
         """Whether a and b stay apart: no merge across the border comes before its two parts merge otherwise.
 
@@ -87,14 +92,16 @@ class Vocabulary:
         key = a * self.base + b
         known = self.beside.get(key)
         if known is None:
-            known, follow = True, self.left[b]
-            for x, ends in self.right[a]:
+            known, x, ends = True, a, 1 << 62  # the merge of rank ``ends`` takes x into what follows it in the chain
+            while known and x is not None:
                 merges = self.pairs.get(x)
-                if merges is not None and not all(
-                    [(rank := merges.get(y)) is None or rank >= ends or rank > follows for y, follows in follow]
-                ):
-                    known = False
-                    break
+                y, follows = b, 1 << 62
+                while merges is not None and y is not None:
+                    if (rank := merges.get(y)) is not None and rank < ends and rank <= follows:
+                        known = False
+                        break
+                    y, follows = self.first_half.get(y), y
+                x, ends = self.last_half.get(x), x
             if len(self.beside) >= CACHED_PAIRS:
                 self.beside.clear()
             self.beside[key] = known
@@ -117,10 +124,11 @@ class PrefixEncoding:
 
     def _extend(self, until: int) -> None:
         voc, data, last = self.vocabulary, self.data, self.last
-        ranks, beside, base, fit, longest = voc.ranks, voc.beside, voc.base, voc.fit, voc.longest
+        ranks, beside, base, fit, lengths = voc.ranks, voc.beside, voc.base, voc.fit, voc.lengths
         for end in range(len(last) + 1, until + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
+            for length in lengths.get(data[max(0, end - 3) : end], SHORT):
+                start = end - length
+                token = ranks.get(data[start:end]) if start >= 0 else None
                 if token is None:
                     continue
                 if start == 0:
@@ -210,7 +218,7 @@ class Codec:
                 ids = PrefixEncoding(self.vocabulary, data).ids()
             else:
                 ids = self._short(data)
-            found = np.array(ids, dtype="<u4").tobytes()
+            found = b"".join([i.to_bytes(4, "little") for i in ids])
         if len(piece) <= 64:
             if len(self.recent) >= CACHED_PIECES:
                 self.recent, self.older = {}, self.recent
@@ -220,15 +228,16 @@ class Codec:
     def _short(self, data: bytes) -> list[int]:
         """Pieces that begin alike share the entries of their common prefixes."""
         prefixes, voc = self.prefixes, self.vocabulary
-        ranks, beside, base, fit, longest = voc.ranks, voc.beside, voc.base, voc.fit, voc.longest
+        ranks, beside, base, fit, lengths = voc.ranks, voc.beside, voc.base, voc.fit, voc.lengths
         if len(prefixes) >= CACHED_PREFIXES:
             prefixes.clear()
         size = known = len(data)
         while known and data[:known] not in prefixes:
             known -= 1
         for end in range(known + 1, size + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(data[start:end])
+            for length in lengths.get(data[max(0, end - 3) : end], SHORT):
+                start = end - length
+                token = ranks.get(data[start:end]) if start >= 0 else None
                 if token is None:
                     continue
                 if start:

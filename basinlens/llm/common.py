@@ -155,6 +155,7 @@ def per_process(key: str, build: Callable[[], object]) -> object:
     kept = sys.modules.setdefault("_basinlens_process", types.ModuleType("_basinlens_process"))
     if getattr(kept, "key", None) != key:
         kept.key, kept.value = key, None
+        pa.default_memory_pool().release_unused()
         kept.value = build()
     return kept.value
 

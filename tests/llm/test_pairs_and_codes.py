@@ -4,6 +4,8 @@ import base64
 import hashlib
 import os
 import random
+import subprocess
+import sys
 import zlib
 from types import SimpleNamespace
 
@@ -16,6 +18,7 @@ import tiktoken
 from basinlens.llm import byte_bpe, common, ngram_join, queries, token_files
 from basinlens.llm.common import table
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 FOLDER = "/root/testdata/sf0.001"
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 SCHEMA = "doc_id bigint, text string, n_shingles int, slot int, part string, label int"
@@ -166,6 +169,22 @@ def test_prefixes_appends_and_edits(known, codec):
     assert entry.replace(50, 51, b"q") < 500  # far fewer entries than there are bytes
 
 
+def test_full_caches_leave_room_for_other_workers():
+    """Varied words fill all caches of a worker; it grows by less than 140 MB over its libraries."""
+    code = f"""
+import random, re
+from basinlens.llm import byte_bpe
+used = lambda: int(re.search(r"VmRSS:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+before, r = used(), random.Random(5)
+codec = byte_bpe.Codec(byte_bpe.read_ranks({RANK_FILE!r}))
+for _ in range(500):
+    codec.encode(" ".join("".join(r.choices("etaoinshrdlucmfw", k=r.randint(5, 9))) for _ in range(1000)))
+print(used() - before)
+"""
+    run = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": ROOT}, capture_output=True, text=True, check=True)
+    assert float(run.stdout) < 140
+
+
 def test_edited_texts(known, codec):
     r = random.Random(8)
     for text in random_texts(150):
