@@ -17,7 +17,7 @@ from basinlens.plans.record_queries import HASHES, NOW, SCORED, VISUAL
 from basinlens.plans.registry_queries import slug
 from basinlens.plans.scoring_queries import GATED
 from basinlens.plans.tables import Tables
-from basinlens.session import cut_lineage, scratch_path
+from basinlens.session import scratch_path
 from basinlens.streaming import ingest, live_counts, photo_state
 
 
@@ -27,6 +27,13 @@ def table_stream(t: Tables, name: str) -> DataFrame:
     return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}*.parquet")
 
 
+def in_columns(t: Tables, rows: DataFrame) -> DataFrame:
+    """``rows`` written once by column: who looks for the cuts reads the key alone."""
+    path = scratch_path(t.spark, "columns")
+    rows.write.parquet(path)
+    return t.spark.read.schema(rows.schema).parquet(path)
+
+
 def in_parts(t: Tables, rows: DataFrame, key: str, parts: int, start: Callable[[DataFrame], StreamingQuery], spark: SparkSession | None = None) -> None:
     """``rows`` arrive in ``parts`` by ascending ``key``: the stream is started again on its checkpoint after each."""
     spark, folder = spark or t.spark, scratch_path(t.spark, "arriving")
@@ -123,21 +130,22 @@ def stream_backlog(t: Tables) -> DataFrame:
     score = F.expr("visual_score + 50")
     now = t.records.select("record_id", "mws_id").join(work, "record_id").join(t.ai.withColumn("visual_score", visual_score()), "record_id")
     now = now.withColumn("band", scoring.evidence_band(score, needs_review()))
-    k, blank = F.col("record_id"), F.lit("")
+    k = F.col("record_id")
     versions = F.array(F.lit(1), F.lit(2))
     rows = now.select("*", F.explode(F.when(k % 5 == 0, F.array_append(versions, F.lit(0))).otherwise(versions)).alias("version"))
     # first sights in the first half of the arrivals, scored ones in the second; version 0 comes last of all
     rows = rows.withColumn("arrival", F.when(F.col("version") == 1, 1).when(F.col("version") == 2, 2).otherwise(3))
     for stage, status in _SLUGS:
-        text = F.when(F.col("version") == 2, F.col(status)).otherwise(F.when(F.col("version") == 0, F.lit("Rejected")).otherwise(blank))
-        rows = rows.withColumn(f"{stage}_slug", registry.status_slug(text))
+        # slugs of fixed texts are constants: a record's own text is looked at once, not in each version
+        fixed = F.when(F.col("version") == 0, registry.status_slug(F.lit("Rejected"))).otherwise(registry.status_slug(F.lit("")))
+        rows = rows.withColumn(f"{stage}_slug", F.when(F.col("version") == 2, registry.status_slug(F.col(status))).otherwise(fixed))
     rows = rows.withColumn("band", F.when(F.col("version") == 2, F.col("band")))
     rows = rows.select("record_id", "version", "arrival", live_counts.status_groups().alias("groups"))
 
     def start(stream: DataFrame) -> StreamingQuery:
         return live_counts.keep_sums(stream, live_counts.count_batch(t.spark, out, "record_id", "version", "groups"), checkpoint)
 
-    in_parts(t, cut_lineage(rows), "arrival", 3, start)
+    in_parts(t, in_columns(t, rows), "arrival", 3, start)
     return live_counts.split_group(live_counts.current_sums(t.spark, out))
 
 

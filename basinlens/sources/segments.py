@@ -53,8 +53,13 @@ class SegmentTable:
         range_keys: Sequence[str],
         fan: int = 8,
         range_rows: int = 1_000_000,
+        merged: bool = False,
     ):
-        """``merge`` makes one row of each key's rows; it may be applied again to rows it made."""
+        """``merge`` makes one row of each key's rows; it may be applied again to rows it made.
+
+        ``merged``: who appends keeps (persists) one row per key, which is written as it is.
+        """
+        self.merged = merged
         self.spark, self.path, self.merge = spark, path.rstrip("/"), merge
         self.range_keys, self.fan, self.range_rows = list(range_keys), fan, range_rows
 
@@ -107,9 +112,9 @@ class SegmentTable:
     def _range(self, bits: int):
         return F.shiftrightunsigned(F.xxhash64(*self.range_keys), 64 - bits) if bits else F.lit(0).cast("bigint")
 
-    def _write_segment(self, rows: DataFrame, tier: int) -> dict:
-        """``rows`` (with _seq) merged, counted and written by range."""
-        rows = self.merge(rows).persist()
+    def _write_segment(self, rows: DataFrame, tier: int, merged: bool = False) -> dict:
+        """``rows`` (with _seq) merged (unless they are), counted and written by range."""
+        rows = rows if merged else self.merge(rows).persist()
         count = rows.count()
         bits = max(0, math.ceil(math.log2(max(1, count) / self.range_rows)))
         folder = f"segments/{uuid.uuid4().hex}"
@@ -117,7 +122,8 @@ class SegmentTable:
         if bits:
             ranged = ranged.repartition("_range")
         ranged.write.partitionBy("_range").parquet(f"{self.path}/{folder}")
-        rows.unpersist()
+        if not merged:
+            rows.unpersist()
         return {"path": folder, "tier": tier, "bits": bits, "rows": count, "schema": rows.schema.json()}
 
     def append(self, rows: DataFrame, batch: int | None = None, meta: dict | None = None) -> bool:
@@ -126,7 +132,7 @@ class SegmentTable:
         if batch is not None and now["batch"] is not None and now["batch"] >= batch:
             return False
         version = now["version"] + 1
-        segment = self._write_segment(rows.withColumn("_seq", F.lit(version).cast("bigint")), 0)
+        segment = self._write_segment(rows.withColumn("_seq", F.lit(version).cast("bigint")), 0, self.merged)
         segments = [*now["segments"], segment] if segment["rows"] else now["segments"]
         now = {"version": version, "batch": now["batch"] if batch is None else batch, "segments": segments, "meta": now["meta"] | (meta or {})}
         self._commit(now)
@@ -160,9 +166,9 @@ class SegmentTable:
             parts.append(part.drop("_range"))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
-    def scan(self, probe: DataFrame | None = None, before: int | None = None) -> DataFrame | None:
+    def scan(self, probe: DataFrame | None = None, before: int | None = None, state: dict | None = None) -> DataFrame | None:
         """Stored rows, not yet merged, of the ranges that ``probe`` (with the range keys) touches; None of an empty table."""
-        segments = self.state(before)["segments"]
+        segments = (state or self.state(before))["segments"]
         if not segments:
             return None
         bits = max(s["bits"] for s in segments)
@@ -174,8 +180,12 @@ class SegmentTable:
 
     def read(self, probe: DataFrame | None = None, before: int | None = None) -> DataFrame | None:
         """One row per key.  With ``probe`` only keys in the ranges that it touches; None of an empty table."""
-        rows = self.scan(probe, before)
-        return None if rows is None else self.merge(rows).drop(*HIDDEN)
+        state = self.state(before)
+        rows = self.scan(probe, before, state)
+        if rows is None:
+            return None
+        # a segment alone holds one row per key
+        return (rows if len(state["segments"]) == 1 else self.merge(rows)).drop(*HIDDEN)
 
     def vacuum(self, keep: int = 2) -> int:
         """Delete all but the newest ``keep`` manifests, and segments that no manifest names; returns how many segments.

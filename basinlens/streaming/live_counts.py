@@ -55,7 +55,7 @@ def _sums(rows: DataFrame) -> DataFrame:
 
 
 def _tables(spark: SparkSession, path: str, **options) -> tuple[SegmentTable, SegmentTable]:
-    return SegmentTable(spark, f"{path}/records", _newest, ["record"], **options), SegmentTable(spark, f"{path}/sums", _sums, ["group"])
+    return SegmentTable(spark, f"{path}/records", _newest, ["record"], merged=True, **options), SegmentTable(spark, f"{path}/sums", _sums, ["group"])
 
 
 def count_changes(fresh: DataFrame, last: DataFrame | None) -> DataFrame:

@@ -176,3 +176,17 @@ def test_an_index_of_few_large_batches_keeps_one_row_per_hash(spark, folder):
     small = hash_index.HashIndex(spark, f"{folder}/small", expected=10**6)
     small.append(stored, 0)
     assert small.listed
+
+
+def test_rows_that_are_merged_are_not_merged_again(spark, folder):
+    calls = []
+
+    def merge(rows):
+        calls.append(rows)
+        return segments.newest(["id"], ["v"])(rows)
+
+    table = segments.SegmentTable(spark, f"{folder}/table", merge, ["id"], merged=True)
+    table.append(rows(spark, (1, 1, "a"), (2, 1, "b")), 0)
+    assert state(table) == {1: (1, "a"), 2: (1, "b")} and not calls
+    table.append(rows(spark, (1, 2, "c")), 1)
+    assert state(table) == {1: (2, "c"), 2: (1, "b")} and len(calls) == 1
