@@ -63,7 +63,10 @@ class Vocabulary:
                     self.pairs.setdefault(left, {})[right] = rank
         # tokens that merging their own bytes yields; no others can occur
         self.ranks = {t: r for t, r in ranks.items() if len(t) == 1 or halves[r] is not None}
-        # each merged token's outer halves: a chain of them leads to what lies at its edge while it is merged
+        self._keep_halves(halves)
+
+    def _keep_halves(self, halves: dict[int, tuple[int, int] | None]) -> None:
+        """What ``fit`` needs: each merged token's outer halves, whose chain leads to what lies at its edge while it is merged."""
         self.last_half = {r: both[1] for r, both in halves.items() if both}
         self.first_half = {r: both[0] for r, both in halves.items() if both}
         self.beside: dict[int, bool] = {}

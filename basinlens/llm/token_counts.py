@@ -61,9 +61,7 @@ class Merges(Vocabulary):
         self.longest = max(map(len, ranks))
         self.base = max(ranks.values()) + 1
         self.ranks = {t: r for t, r in ranks.items() if len(t) == 1 or self._merged(t) == halves[r]}
-        self.right = {r: self._edge(r, halves, 1) for r in self.ranks.values()}
-        self.left = {r: self._edge(r, halves, 0) for r in self.ranks.values()}
-        self.beside: dict[int, bool] = {}
+        self._keep_halves(halves)
 
     def _merged(self, token: bytes) -> tuple[int, ...]:
         """What is left of the token's bytes before the last merge."""

@@ -56,6 +56,18 @@ def test_every_prefix_has_the_librarys_count(library, counter):
             assert counts.longest(budget) == max((k for k, n in enumerate(want) if n <= budget), default=0), (text, budget)
 
 
+def test_listed_merges_alone_join():
+    """A vocabulary of listed pairs answers what the codec's vocabulary asks of it: "bcd" is a token, "bc" + "d" is not listed."""
+    listed = [("a", "b"), ("b", "c"), ("c", "d"), ("b", "cd"), ("ab", "cd"), ("a", "a"), ("aa", "b"), ("d", "aa")]
+    symbols = ["a", "b", "c", "d"]
+    vocab = {t: i for i, t in enumerate([*symbols, *dict.fromkeys(a + b for a, b in listed)])}
+    bpe = tokenizers.Tokenizer(tokenizers.models.BPE(vocab, listed))
+    merges = token_counts.Merges([(a.encode(), b.encode()) for a, b in listed])
+    counter, pick = token_counts.Counter(merges), random.Random(3)
+    for text in ("".join(pick.choices(symbols, k=pick.randint(1, 24))) for _ in range(500)):
+        assert counter.counts(text).total == len(bpe.encode(text).ids), text
+
+
 def test_questions_encode_nothing_again(counter, monkeypatch):
     counts = counter.counts("Alignment of a watershed's boundaries, told in words. " * 50)
     for piece in counter.splitter.split(counts.text):
