@@ -19,7 +19,7 @@ import os
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -32,14 +32,31 @@ from pyspark.sql import Window as W
 
 from basinlens.llm.byte_bpe import PATTERN, Splitter
 from basinlens.llm.common import per_process
+from basinlens.llm.token_counts import byte_symbols
 
 CACHED_PIECES = 400_000  # as in byte_bpe
 NULL_ID = -(1 << 63)
 BATCH = 10_000  # documents per batch when reading
 
 
+class RecentPieces(dict):
+    """Ids of recent pieces; a piece that is not among them is looked up in the generation before, else encoded."""
+
+    def __init__(self, encode: Callable[[str], bytes], older: dict[str, bytes]):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.encode(piece)
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class PieceTokenizer:
-    """Whole texts through the tokenizers library; where its pieces are independent, each recent piece only once."""
+    """Whole texts through the tokenizers library; where its pieces are independent, each recent piece only once, by its model alone."""
 
     def __init__(self, definition: str, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -55,32 +72,32 @@ class PieceTokenizer:
         self.splitter = Splitter(PATTERN, PATTERN) if alone and byte_level else None
         contents = sorted({t["content"] for t in model.get("added_tokens") or [] if added_tokens or not t.get("special")}, key=len, reverse=True)
         self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
-        self.recent: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.symbols = {b: c for c, b in byte_symbols().items()}
+        self.width = self.kind.itemsize
+        self.recent = RecentPieces(self._piece, {})
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.splitter is None:
-            return self._whole(texts)
+            return [self._whole(t) for t in texts]
         if self.added is None:
             return [self._pieces(self.splitter.split(t)) for t in texts]
         # a text with an added token's string is not split as the pattern says
-        return [self._whole([t])[0] if self.added.search(t) else self._pieces(self.splitter.split(t)) for t in texts]
+        return [self._whole(t) if self.added.search(t) else self._pieces(self.splitter.split(t)) for t in texts]
+
+    def _piece(self, piece: str) -> bytes:
+        """A piece through the library's model, its bytes as their symbols: nothing is split again."""
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.symbols))
+        return b"".join([t.id.to_bytes(self.width, "little") for t in tokens])
 
     def _pieces(self, pieces: list[str]) -> bytes:
-        found = list(map(self.recent.get, pieces))
-        if None in found:
-            new = {p for p, ids in zip(pieces, found, strict=True) if ids is None}
-            fresh = {p: ids for p in new if (ids := self.older.get(p)) is not None}
-            missing = [p for p in new if p not in fresh]
-            fresh.update(zip(missing, self._whole(missing), strict=True))
-            found = [fresh[p] if ids is None else ids for p, ids in zip(pieces, found, strict=True)]
-            if len(self.recent) >= CACHED_PIECES:
-                self.recent, self.older = {}, self.recent
-            self.recent.update((p, ids) for p, ids in fresh.items() if len(p) <= 64)
-        return b"".join(found)
+        if len(self.recent) >= CACHED_PIECES:
+            self.recent.older = {}
+            self.recent = RecentPieces(self._piece, self.recent)
+        return b"".join(map(self.recent.__getitem__, pieces))
 
 
 def _place(folder: str) -> tuple[pa.fs.FileSystem, str]:

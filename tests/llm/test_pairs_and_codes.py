@@ -14,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import tokenizers
 
 from basinlens.llm import byte_bpe, common, ngram_join, queries, token_files
 from basinlens.llm.common import table
@@ -248,6 +249,22 @@ def test_token_files(spark, folder):
     assert token_files.read_token_files(spark, f"{folder}/e").collect() == []
 
 
+def test_unseen_pieces_go_to_the_model_alone(monkeypatch):
+    """Pieces need no call of the whole library, which costs more CPU than their merges; generations of them move on."""
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    with open(file, encoding="utf-8") as f:
+        definition = f.read()
+    library = tokenizers.Tokenizer.from_str(definition)
+    texts = ["it's  new\n\n naïve 中文 🙂 x123", "", "qwzx " * 20 + "y" * 200, "it's Qwzxvy 'll_ \x1c\t!"] * 3
+    texts += [f"word{i * i} of wörd{i}" for i in range(200)]
+    monkeypatch.setattr(token_files, "CACHED_PIECES", 20)
+    pieces = token_files.PieceTokenizer(definition, added_tokens=True)
+    pieces.tokenizer = None
+    got = [np.frombuffer(ids, pieces.kind).tolist() for ids in pieces.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(pieces.recent) + len(pieces.recent.older) < 100
+
+
 def test_token_files_as_the_unmodified_library(spark, folder):
     from tokenizers import Tokenizer
 
