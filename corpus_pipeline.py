@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basinlens.llm import byte_bpe, mixing, ngram_join, quality
-from basinlens.llm.common import table, written
+from basinlens.llm.common import sized, table, written
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,10 +24,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that share an id, one stays for each different text (a null text being the empty
     one).  Documents without words, or without an id, are in no group and stay.
     """
-    kept = ngram_join.similar_groups(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("copies"))
-    kept = written(kept, "kept")
-    alone = docs.where("doc_id is null").unionByName(docs.join(kept.where("copies = 1").select("doc_id"), "doc_id", "left_semi"))
-    shared = docs.join(kept.where("copies > 1").select("doc_id"), "doc_id", "left_semi")
+    groups = ngram_join.similar_groups(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(F.expr("doc_id = component_id")).alias("copies"))
+    aside = written(groups.where("copies <> 1"), "aside")  # ids that go, or that several rows share: far fewer than those that stay
+    alone = docs.join(sized(aside.select("doc_id")), "doc_id", "left_anti")
+    shared = docs.join(sized(aside.where("copies > 1").select("doc_id")), "doc_id", "left_semi")
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
     return alone.unionByName(shared.withColumn("_digest", digest).dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
 

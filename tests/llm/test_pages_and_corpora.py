@@ -358,3 +358,22 @@ def test_mixture_of_the_table_equals_brute_force(spark):
     got = sorted(queries.op5_mixing(spark, FOLDER).collect(), key=lambda r: r.position)
     assert [(r.doc_id, r.source, r.pass_no, r.block, r.slot, r.text_sha256) for r in got] == want
     assert [r.position for r in got] == list(range(len(want)))
+
+
+def test_documents_stay_in_place_when_near_duplicates_go(spark):
+    """No shuffle of whole documents where the ids that go are few, however small Spark's own limit for broadcasts is."""
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame(
+        [(5, text), (3, text + " end"), (3, text + " end"), (9, "one two"), (7, None), (None, text), (8, "a b"), (8, "c d"), (8, "c d"), (6, ""), (6, text)],
+        "doc_id bigint, text string",
+    )
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = corpus_pipeline.near_duplicates(spark, docs, FOLDER)
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        got = sorted(map(tuple, kept.collect()), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == sorted([(3, text + " end"), (9, "one two"), (7, None), (None, text), (8, "a b"), (8, "c d"), (6, ""), (6, text)], key=str)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
